@@ -142,14 +142,38 @@ def _is_in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(at, len(sorted_values) - 1)] == x
 
 
-def prefixes(s: Sets, frequent: np.ndarray) -> np.ndarray:
-    """Mask of each set's prefix, frequent shingles last."""
+def prefixes(s: Sets, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mask of each set's prefix, frequent shingles last, and places in that order."""
     last = _is_in(frequent, s.h)
     order = np.lexsort((s.h, last, s.doc))
     place = np.arange(len(s.h)) - s.edge[s.doc[order]]
     size = s.size[s.doc[order]]
-    out = np.zeros(len(s.h), bool)
+    out, places = np.zeros(len(s.h), bool), np.zeros(len(s.h), np.int64)
     out[order] = place < size - (4 * size + 4) // 5 + 1
+    places[order] = place
+    return out, places
+
+
+def has_partner(token: np.ndarray, ids: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which records, sorted by token and size, may be a first shared shingle.
+
+    Where a shingle is the first that two linked sets share, their sizes allow
+    the link, and enough of either set follows it to reach the intersection.
+    """
+    head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, int)
+    count = np.diff(np.concatenate([head, [len(token)]]))
+    out = np.zeros(len(token), bool)
+    for m in np.unique(count[(count > 1) & (count <= SHORT_LIST)]).tolist():
+        first = head[count == m][:, None]
+        for i, j in zip(*np.triu_indices(m, 1)):
+            a, b = (first + i).ravel(), (first + j).ravel()
+            least = needed(size[a] + size[b])
+            ok = (ids[a] != ids[b]) & (5 * size[a] >= 4 * size[b]) & (size[a] - place[a] >= least) & (size[b] - place[b] >= least)
+            out[a[ok]] = out[b[ok]] = True
+    for h, m in zip(head[count > SHORT_LIST].tolist(), count[count > SHORT_LIST].tolist()):
+        sizes = size[h : h + m]
+        near = np.searchsorted(sizes, sizes * 5 // 4, "right") - np.searchsorted(sizes, (4 * sizes + 4) // 5)
+        out[h : h + m] = near > 1
     return out
 
 
@@ -157,6 +181,19 @@ def _buckets(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(tokens) >> U64(64 - buckets.bit_length() + 1)).astype(np.int64)
 
 
+def _with_heads(dealt: pa.RecordBatch, ids: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """Dealt rows whose runs are of indices, with the ids and sizes these stand for."""
+    heads = [np.frombuffer(x, np.int64) for x in dealt.column("ids").to_pylist()]
+    named, sized = (pa.array([v[h].astype(np.int64).tobytes() for h in heads], pa.binary()) for v in (ids, sizes))
+    return pa.RecordBatch.from_arrays([dealt.column(0), named, *dealt.columns[2:], sized], [*dealt.schema.names, "sizes"])
+
+
+def _per_record(table: pa.Table, name: str) -> np.ndarray:
+    """A value of each run, repeated for its records."""
+    counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()])
+    return np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in table.column(name).to_pylist()]), counts)
+
+
 def shared_prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(id, tokens): shingles of a document's prefix that another set has in its own."""
     buckets = bucket_count(docs.sparkSession)
@@ -172,19 +209,18 @@ def shared_prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 for i, pair in enumerate(zip(*(h.tolist() for h in s.digests()))):
                     fresh[i] = pair not in seen
                     seen.add(pair)
-                use = prefixes(s, known.value) & fresh[s.doc]
-                out = deal(_buckets(s.h[use], buckets), ids[lo:hi][s.doc[use]], s.h[use])
+                use, place = prefixes(s, known.value)
+                use &= fresh[s.doc]
+                out = deal(_buckets(s.h[use], buckets), s.doc[use], s.h[use], place[use])
                 if out is not None:
-                    yield out
+                    yield _with_heads(out, ids[lo:hi], s.size)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "bucket"):
-            ids, h = gather(table, ["<u8"])
-            order = np.argsort(h, kind="stable")
-            ids, h = ids[order], h[order]
-            head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            several = np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head)
-            use = np.repeat(several, np.diff(np.concatenate([head, [len(h)]])))
+            ids, h, place = gather(table, ["<u8", "pos"])
+            size = _per_record(table, "sizes")
+            order = np.lexsort((size, h))
+            use = order[has_partner(h[order], ids[order], size[order], place[order])]
             ids, h = ids[use], h[use]
             if len(ids):
                 order = np.argsort(ids, kind="stable")
@@ -192,7 +228,7 @@ def shared_prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]]).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[:-1]]), pa.array([h[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], ["id", "tokens"])
 
-    rows = docs.mapInArrow(send, "bucket long, ids binary, counts binary, c0 binary")
+    rows = docs.mapInArrow(send, "bucket long, ids binary, counts binary, c0 binary, c1 binary, sizes binary")
     rows = rows.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
     return rows.mapInArrow(meet, "id long, tokens binary")
 
@@ -288,9 +324,9 @@ def families(shared: DataFrame, members: DataFrame) -> DataFrame:
             out = deal(_buckets(token, buckets), index, token)
             if out is None:
                 continue
-            heads = [np.frombuffer(x, np.int64) for x in out.column("ids").to_pylist()]
-            extra = [pa.array([reps[h].tobytes() for h in heads], pa.binary()), pa.array([sizes[h].tobytes() for h in heads], pa.binary()), pa.array([b"".join(bits[i] for i in h.tolist()) for h in heads], pa.binary())]
-            yield pa.RecordBatch.from_arrays([out.column("bucket"), extra[0], *out.columns[2:], *extra[1:]], ["bucket", "ids", "counts", "c0", "sizes", "bits"])
+            maps = [b"".join(bits[i] for i in np.frombuffer(x, np.int64).tolist()) for x in out.column("ids").to_pylist()]
+            out = _with_heads(out, reps, sizes)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(maps, pa.binary())], [*out.schema.names, "bits"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "bucket"):
