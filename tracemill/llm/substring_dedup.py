@@ -6,7 +6,7 @@ however they are aligned, some shift below PERIOD puts both on the cover, and
 the anchor there is within both, since PERIOD - 1 + ANCHOR = WINDOW. So:
 
 1. anchors are dealt by hash; those of two or more documents are candidates;
-2. candidates extend to the windows about them, which are dealt by their 128-bit
+2. candidates extend to the windows about them, which are dealt by their 96-bit
    hash; a window is removed where a document with a smaller doc_id has it too.
 
 Before either shuffle a task settles what its own documents share, and sends
@@ -141,27 +141,47 @@ def candidate_anchors(docs: DataFrame) -> DataFrame:
                     yield from held.add(h[at], ids[w.doc[at]], pos)
         yield from held.flush()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, "bucket"):
-            if table.column("bucket")[0].as_py() < 0:
-                yield from per_id(*gather(table.select(["ids", "counts", "c1"]).rename_columns(["ids", "counts", "c0"]), ["pos"]))
-                continue
-            ids, h, pos = gather(table, ["<u8", "pos"])
-            shared, _ = shared_anchors(h, ids)
-            yield from per_id(ids[shared], pos[shared])
+    def meet(table: pa.Table) -> tuple[np.ndarray, ...]:
+        if table.column("bucket")[0].as_py() < 0:
+            return _settled(table, "c1")
+        ids, h, pos = gather(table, ["<u8", "pos"])
+        shared, _ = shared_anchors(h, ids)
+        return ids[shared], pos[shared]
 
     return _met(docs.mapInArrow(send, dealt_schema(2)), meet)
 
 
 def _met(rows: DataFrame, meet: Callable) -> DataFrame:
-    rows = rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(meet, "id long, found binary")
+    """(id, found), a row per document, of the records that `meet` finds in each bucket."""
+    spark = rows.sparkSession
+    buckets = bucket_count(spark)
+
+    def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, "bucket"):
+            ids, pos = meet(table)
+            batch = deal(ids % buckets, ids, pos)
+            if batch is not None:
+                yield batch
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, "bucket"):
+            yield from per_id(*gather(table, ["pos"]))
+
+    def together(df: DataFrame) -> DataFrame:
+        return df.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+
+    return together(together(rows).mapInArrow(by_document, dealt_schema(1))).mapInArrow(whole, "id long, found binary")
+
+
+def _settled(table: pa.Table, column: str) -> tuple[np.ndarray, ...]:
+    """Records that only pass through."""
+    return gather(table.select(["ids", "counts", column]).rename_columns(["ids", "counts", "c0"]), ["pos"])
 
 
 def covered_windows(candidates: DataFrame, buckets: int) -> DataFrame:
     """(id, found): starts of windows that a document with a smaller id has.
 
-    candidates: (doc_id, text, anchors: array<binary>).
+    candidates: (doc_id, text, anchors).
     """
     shift = U64(64 - buckets.bit_length() + 1)
 
@@ -178,8 +198,8 @@ def covered_windows(candidates: DataFrame, buckets: int) -> DataFrame:
             anchors = batch.column(2).to_pylist()
             for ids, w, lo in _documents(batch):
                 h = w.hashes()
-                h1, h2 = windows(h, WINDOW), windows(second(h), WINDOW)
-                found = [np.concatenate([np.frombuffer(a, "<u4") for a in rows]).astype(np.int64) + f for rows, f in zip(anchors[lo : lo + len(ids)], w.first)]
+                h1, h2 = windows(h, WINDOW), windows(second(h), WINDOW).astype(np.uint32)
+                found = [np.frombuffer(a, "<u4").astype(np.int64) + f for a, f in zip(anchors[lo : lo + len(ids)], w.first)]
                 mark = np.zeros(len(w.start) + 1, bool)
                 for q in found:
                     for back in range(PERIOD):
@@ -190,14 +210,12 @@ def covered_windows(candidates: DataFrame, buckets: int) -> DataFrame:
                     yield from held.add(h1[at], h2[at], ids[w.doc[at]], at - w.first[w.doc[at]])
         yield from held.flush()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, "bucket"):
-            if table.column("bucket")[0].as_py() < 0:
-                yield from per_id(*gather(table.select(["ids", "counts", "c2"]).rename_columns(["ids", "counts", "c0"]), ["pos"]))
-                continue
-            ids, h1, h2, pos = gather(table, ["<u8", "<u8", "pos"])
-            later = later_windows(h1, h2, ids)
-            yield from per_id(ids[later], pos[later])
+    def meet(table: pa.Table) -> tuple[np.ndarray, ...]:
+        if table.column("bucket")[0].as_py() < 0:
+            return _settled(table, "c2")
+        ids, h1, h2, pos = gather(table, ["<u8", "<u4", "pos"])
+        later = later_windows(h1, h2, ids)
+        return ids[later], pos[later]
 
     return _met(candidates.mapInArrow(send, dealt_schema(3)), meet)
 
@@ -209,12 +227,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the words kept, joined by spaces, in UTF-8."""
     d = only(docs, "doc_id", "text")
     known = d.where("doc_id IS NOT NULL")
-    by_doc = lambda found, name: found.groupBy(F.col("id").alias("doc_id")).agg(F.collect_list("found").alias(name))
+    by_doc = lambda found, name: found.select(F.col("id").alias("doc_id"), F.col("found").alias(name))
     # Both joins shuffle the same rows by the same key, so Spark does it once.
     candidates = known.join(by_doc(candidate_anchors(known), "anchors"), "doc_id").select("doc_id", "text", "anchors")
     covered = by_doc(covered_windows(candidates, bucket_count(docs.sparkSession)), "covered")
     rows = known.join(covered, "doc_id", "left").select("doc_id", "text", "covered")
-    rows = rows.union(d.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<binary>")))
+    rows = rows.union(d.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("binary")))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,7 +242,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 counts.append(len(words))
                 if found:
                     edge = np.zeros(len(words) + 1, np.int64)
-                    at = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in found]))
+                    at = np.unique(np.frombuffer(found, "<u4").astype(np.int64))
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + WINDOW, -1)
                     stay = np.cumsum(edge[:-1]) == 0
