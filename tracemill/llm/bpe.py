@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -71,39 +72,44 @@ def cut_points(data: np.ndarray) -> list[int]:
     return cuts if cuts and cuts[-1] == n else [*cuts, n]
 
 
+def _tokens(spec: dict) -> tuple[dict[str, int], dict[bytes, int]]:
+    """Added tokens, and the bytes of all others, with their ids."""
+    added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    alphabet = _byte_alphabet()
+    return added, {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+
+
+def _cost(raw: bytes, ids: list[int] | array) -> int:
+    """Bytes that a kept chunk takes, about."""
+    return len(raw) + 4 * len(ids) + 250
+
+
 class ChunkedBpe:
-    """Encoder and decoder of one vocabulary file, with a cache of chunks."""
+    """Encoder of one vocabulary file, with a cache of chunks."""
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
+        from tokenizers import pre_tokenizers
 
-        spec = json.load(open(path, encoding="utf-8"))
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        alphabet = _byte_alphabet()
-        ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.added}
-        self.table = [b""] * (1 + max([*ranks.values(), *self.added.values()]))
-        for token, i in ranks.items():
-            self.table[i] = token
-        for token, i in self.added.items():
-            self.table[i] = token.encode()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added, ranks = _tokens(spec)
         self.encode = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        self.split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.cache: OrderedDict[bytes, list[int]] = OrderedDict()
+        self.cache: OrderedDict[bytes, array] = OrderedDict()
         self.cached = 0
 
     def chunk(self, raw: bytes) -> list[int]:
-        ids = self.cache.get(raw)
-        if ids is not None:
+        kept = self.cache.get(raw)
+        if kept is not None:
             self.cache.move_to_end(raw)
-            return ids
+            return kept.tolist()
         ids = self.encode(raw.decode())
-        self.cache[raw] = ids
-        self.cached += 9 * len(raw)
-        while self.cached > CACHE_BYTES * 4:
-            old, _ = self.cache.popitem(last=False)
-            self.cached -= 9 * len(old)
+        self.cache[raw] = array("I", ids)
+        self.cached += _cost(raw, ids)
+        while self.cached > CACHE_BYTES:
+            self.cached -= _cost(*self.cache.popitem(last=False))
         return ids
 
     def ends(self, text: str) -> list[int]:
@@ -183,20 +189,38 @@ class ChunkedBpe:
             at = m.end()
         return out + (self.segment(text[at:]) if at < len(text) else [])
 
+
+class Decoder:
+    """The bytes of every id."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            added, ranks = _tokens(json.load(f))
+        self.table = [b""] * (1 + max([*ranks.values(), *added.values()]))
+        for token, i in ranks.items():
+            self.table[i] = token
+        for token, i in added.items():
+            self.table[i] = token.encode()
+
     def decode_ids(self, ids: list[int]) -> str:
         return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def _model(path: str) -> ChunkedBpe:
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> ChunkedBpe:
     return ChunkedBpe(path)
 
 
+@lru_cache(maxsize=1)
+def _decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """documents -> (doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(path)
+        model = _encoder(path)
         for batch in batches:
             ids = [np.array(model.encode_text(t), "<u4") for t in batch.column(1).to_pylist()]
             counts = pa.array([len(i) for i in ids], pa.int64())
@@ -209,7 +233,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids) with the decoded text beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(path)
+        model = _decoder(path)
         for batch in batches:
             texts = [model.decode_ids(np.frombuffer(i, "<u4").tolist()) for i in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])

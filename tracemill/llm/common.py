@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Records in an Arrow batch. Long texts make batches large, so few rows a batch.
 BATCH_ROWS = 256
 #: Bytes of text that the numpy passes take at once (a longer text goes alone).
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 U64 = np.uint64
 _P = U64(0x9E3779B97F4A7C15 | 1)
