@@ -6,8 +6,8 @@ short inverted lists; what follows is probed.
 
 1. Each document gives its set's size, a digest and a parity bitmap; equal sets
    become one. Shingles of very many documents are counted (a bounded number).
-2. The shingles of every prefix are dealt by hash; those that two sets share
-   come back, and meet again with the bitmaps. The distance of two bitmaps
+2. The shingles of every prefix are dealt by hash; sets that share some meet
+   again, once for each distinct list, with the bitmaps. The distance of two bitmaps
    bounds the difference of two sets from below, so a pair that it refutes is
    no link. What is left joins sets into families.
 3. Within a family, T-occurrence search finds the links: short lists are merged
@@ -177,6 +177,18 @@ def has_partner(token: np.ndarray, ids: np.ndarray, size: np.ndarray, place: np.
     return out
 
 
+def meetings(token: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A name for the list of each record, sorted by token, that depends on its members.
+
+    Near copies share very many shingles, all of one list, which then counts once.
+    """
+    if not len(token):
+        return np.zeros(0, U64)
+    head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    names = mix(np.add.reduceat(mix(ids.astype(U64)), head))
+    return np.repeat(names, np.diff(np.concatenate([head, [len(token)]])))
+
+
 def _buckets(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(tokens) >> U64(64 - buckets.bit_length() + 1)).astype(np.int64)
 
@@ -195,7 +207,7 @@ def _per_record(table: pa.Table, name: str) -> np.ndarray:
 
 
 def shared_prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(id, tokens): shingles of a document's prefix that another set has in its own."""
+    """(id, tokens): names of the lists of sets that share a shingle of their prefixes."""
     buckets = bucket_count(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT hashes
 
@@ -221,12 +233,14 @@ def shared_prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             size = _per_record(table, "sizes")
             order = np.lexsort((size, h))
             use = order[has_partner(h[order], ids[order], size[order], place[order])]
-            ids, h = ids[use], h[use]
+            ids, meeting = ids[use], meetings(h[use], ids[use])
             if len(ids):
-                order = np.argsort(ids, kind="stable")
-                ids, h = ids[order], h[order]
+                order = np.lexsort((meeting, ids))
+                ids, meeting = ids[order], meeting[order]
+                fresh = np.concatenate([[True], (ids[1:] != ids[:-1]) | (meeting[1:] != meeting[:-1])])
+                ids, meeting = ids[fresh], meeting[fresh]
                 cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]]).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[:-1]]), pa.array([h[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], ["id", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[:-1]]), pa.array([meeting[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], ["id", "tokens"])
 
     rows = docs.mapInArrow(send, "bucket long, ids binary, counts binary, c0 binary, c1 binary, sizes binary")
     rows = rows.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
@@ -318,7 +332,7 @@ def families(shared: DataFrame, members: DataFrame) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reps, sizes, bits = long_column(batch.column(0)), long_column(batch.column(1)), batch.column(2).to_pylist()
-            found = [np.frombuffer(b"".join(t), U64) for t in batch.column(3).to_pylist()]
+            found = [np.unique(np.frombuffer(b"".join(t), U64)) for t in batch.column(3).to_pylist()]
             index = np.repeat(np.arange(len(reps)), [len(f) for f in found])
             token = np.concatenate([*found, np.zeros(0, U64)])
             out = deal(_buckets(token, buckets), index, token)
