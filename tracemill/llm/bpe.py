@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, _power_tables, only, tune
+from .common import U64, _power_tables, map_batches, only, tune
 
 #: Rolling hash over so many bytes; cut on average every AVERAGE bytes.
 SPAN, AVERAGE, LEAST, MOST = 16, 1024, 256, 8192
@@ -226,7 +226,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             counts = pa.array([len(i) for i in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array([i.tobytes() for i in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return map_batches(only(docs, "doc_id", "text"), run, "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -238,7 +238,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [model.decode_ids(np.frombuffer(i, "<u4").tolist()) for i in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return only(encoded, "doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return map_batches(only(encoded, "doc_id", "n_tokens", "ids"), run, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def vocabulary_path() -> str:

@@ -7,9 +7,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 #: Records in an Arrow batch. Long texts make batches large, so few rows a batch.
 BATCH_ROWS = 256
 #: Bytes of text that the numpy passes take at once (a longer text goes alone).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 U64 = np.uint64
 _P = U64(0x9E3779B97F4A7C15 | 1)
@@ -84,6 +86,25 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def give_back() -> None:
+    """Return freed memory to the system; workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow by workers that keep little between tasks."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 # ------------------------------------------------------------------- hashes
 
 _SPACE = np.zeros(256, bool)
@@ -277,7 +298,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     spark = scratch.spark
     e = edges.toDF("u", "v").where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    e = scratch.keep(e.mapInArrow(_local_stars, "u long, v long").distinct())
+    e = scratch.keep(map_batches(e, _local_stars, "u long, v long").distinct())
     before = None
     while True:
         both = e.union(e.select("v", "u"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, by_task, components, groups, in_blocks, long_column, mix, only, tune
+from .common import U64, Scratch, by_task, components, groups, in_blocks, long_column, map_batches, mix, only, tune
 
 THRESHOLD = 0.93
 #: Width of a quantisation step, and the chance wanted that a pair at the threshold meets.
@@ -91,7 +91,7 @@ def hash_tables(reps: DataFrame, k: int, tables: int) -> DataFrame:
                 ids = np.repeat(long_column(part.column(0)), tables)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.reshape(-1).view(np.int64))], ["rep", "bucket"])
 
-    return reps.select("rep", F.xxhash64("label").alias("l"), "v").mapInArrow(run, "rep long, bucket long")
+    return map_batches(reps.select("rep", F.xxhash64("label").alias("l"), "v"), run, "rep long, bucket long")
 
 
 def _linked(x: np.ndarray, threshold: float) -> np.ndarray:
@@ -133,7 +133,7 @@ def bucket_edges(rows: DataFrame, threshold: float) -> DataFrame:
                 if len(e):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[e[:, 0]]), pa.array(ids[e[:, 1]])], ["a", "b"])
 
-    return by_task(rows.select("task", "rep", "v")).mapInArrow(run, "a long, b long")
+    return map_batches(by_task(rows.select("task", "rep", "v")), run, "a long, b long")
 
 
 def link_counts(rows: DataFrame, threshold: float) -> DataFrame:
@@ -154,7 +154,7 @@ def link_counts(rows: DataFrame, threshold: float) -> DataFrame:
                     out[lo : lo + 512] = near @ copies
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(out)], ["rep", "links"])
 
-    return by_task(rows.select("task", "rep", "v", "copies", "side", "home")).mapInArrow(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+    return map_batches(by_task(rows.select("task", "rep", "v", "copies", "side", "home")), run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
 
 def deduplicate(emb: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:

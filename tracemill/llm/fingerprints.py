@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import BLOCK_BYTES, U64, Scratch, _power_tables, groups, long_column, mix, only, partitions, tune
+from .common import BLOCK_BYTES, U64, Scratch, _power_tables, groups, long_column, map_batches, mix, only, partitions, tune
 
 CHAIN = 2
 #: Hashes that a fingerprint spells out.
@@ -181,7 +181,7 @@ def compare_edits(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 yield _of_bin(table)
 
     rows = with_followers(docs, scratch)
-    return rows.repartition(partitions(scratch.spark), "bin").sortWithinPartitions("bin").mapInArrow(run, SCHEMA)
+    return map_batches(rows.repartition(partitions(scratch.spark), "bin").sortWithinPartitions("bin"), run, SCHEMA)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

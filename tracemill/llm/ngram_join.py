@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (
-    U64, Scratch, Words, blocks, bucket_count, by_task, components, deal, gather, groups, in_blocks, long_column, mix, only, partitions, second, tune, union_find, windows,
+    map_batches, U64, Scratch, Words, blocks, bucket_count, by_task, components, deal, gather, groups, in_blocks, long_column, mix, only, partitions, second, tune, union_find, windows,
 )
 
 N = 5
@@ -120,7 +120,7 @@ def profiles(docs: DataFrame) -> DataFrame:
         if held:
             yield counts()
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bits binary, seen long")
+    return map_batches(docs, run, "doc_id long, n long, h1 long, h2 long, bits binary, seen long")
 
 
 def frequent_shingles(profile: DataFrame) -> np.ndarray:
@@ -242,9 +242,9 @@ def shared_prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]]).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[:-1]]), pa.array([meeting[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], ["id", "tokens"])
 
-    rows = docs.mapInArrow(send, "bucket long, ids binary, counts binary, c0 binary, c1 binary, sizes binary")
+    rows = map_batches(docs, send, "bucket long, ids binary, counts binary, c0 binary, c1 binary, sizes binary")
     rows = rows.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(meet, "id long, tokens binary")
+    return map_batches(rows, meet, "id long, tokens binary")
 
 
 class Bitmaps:
@@ -356,9 +356,9 @@ def families(shared: DataFrame, members: DataFrame) -> DataFrame:
             far = np.flatnonzero(root != np.arange(len(reps)))
             yield pa.RecordBatch.from_arrays([pa.array(reps[far]), pa.array(reps[root[far]])], ["a", "b"])
 
-    dealt = rows.mapInArrow(send, "bucket long, ids binary, counts binary, c0 binary, sizes binary, bits binary")
+    dealt = map_batches(rows, send, "bucket long, ids binary, counts binary, c0 binary, sizes binary, bits binary")
     dealt = dealt.repartition(partitions(shared.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(meet, "a long, b long")
+    return map_batches(dealt, meet, "a long, b long")
 
 
 class Lists:
@@ -443,7 +443,7 @@ def links(rows: DataFrame) -> DataFrame:
                 a, b = np.array(edges).T
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
-    return by_task(rows).mapInArrow(run, "a long, b long")
+    return map_batches(by_task(rows), run, "a long, b long")
 
 
 def classes(docs: DataFrame, scratch: Scratch) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Words, blocks, only, tune
+from .common import Words, blocks, map_batches, only, tune
 from .spans import CodePoints, Span, free_of, join_spans, sha256, table_of
 
 KINDS = ("email", "ip", "card", "phone")
@@ -328,7 +328,7 @@ def find(docs: DataFrame, model: Crf | None = None) -> DataFrame:
             cols = zip(*rows) if rows else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    return only(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+    return map_batches(only(docs, "doc_id", "text"), run, SCHEMA)
 
 
 def redact_text(text: str, spans: list[Span]) -> str:
@@ -366,7 +366,7 @@ def redact(docs: DataFrame, model: Crf | None = None) -> DataFrame:
                 cols["n_chars"] = pa.array([n if o is t else len(o) for n, o, t in zip(cols["n_chars"].to_pylist(), out, texts)], pa.int64())
             yield pa.RecordBatch.from_arrays(list(cols.values()), names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import blocks, only, tune
+from .common import blocks, map_batches, only, tune
 from .spans import CodePoints, Span, free_of, join_spans, runs, sha256, table_of
 
 KINDS = ("assign", "access", "hex")
@@ -247,7 +247,7 @@ def scan(docs: DataFrame, model: CharCnn | None = None) -> DataFrame:
             cols = zip(*rows) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    return only(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+    return map_batches(only(docs, "doc_id", "text"), run, SCHEMA)
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (
-    U64, Words, blocks, bucket_count, deal, dealt_schema, gather, groups, long_column, only, partitions, per_id, second, tune, windows,
+    map_batches, U64, Words, blocks, bucket_count, deal, dealt_schema, gather, groups, long_column, only, partitions, per_id, second, tune, windows,
 )
 
 WINDOW = 13
@@ -148,7 +148,7 @@ def candidate_anchors(docs: DataFrame) -> DataFrame:
         shared, _ = shared_anchors(h, ids)
         return ids[shared], pos[shared]
 
-    return _met(docs.mapInArrow(send, dealt_schema(2)), meet)
+    return _met(map_batches(docs, send, dealt_schema(2)), meet)
 
 
 def _met(rows: DataFrame, meet: Callable) -> DataFrame:
@@ -170,7 +170,8 @@ def _met(rows: DataFrame, meet: Callable) -> DataFrame:
     def together(df: DataFrame) -> DataFrame:
         return df.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
 
-    return together(together(rows).mapInArrow(by_document, dealt_schema(1))).mapInArrow(whole, "id long, found binary")
+    parts = map_batches(together(rows), by_document, dealt_schema(1))
+    return map_batches(together(parts), whole, "id long, found binary")
 
 
 def _settled(table: pa.Table, column: str) -> tuple[np.ndarray, ...]:
@@ -217,7 +218,7 @@ def covered_windows(candidates: DataFrame, buckets: int) -> DataFrame:
         later = later_windows(h1, h2, ids)
         return ids[later], pos[later]
 
-    return _met(candidates.mapInArrow(send, dealt_schema(3)), meet)
+    return _met(map_batches(candidates, send, dealt_schema(3)), meet)
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept binary"
@@ -252,7 +253,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept"])
 
-    return rows.mapInArrow(keep, SCHEMA)
+    return map_batches(rows, keep, SCHEMA)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, _power_tables, blocks, mix, only, tune
+from .common import U64, _power_tables, blocks, map_batches, mix, only, tune
 
 #: Most labelled rows of each label that the model is fitted on.
 SAMPLE_ROWS = 1500
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> O
     sample = known.where("toxic = 1").orderBy(*order).limit(sample_rows).union(known.where("toxic = 0").orderBy(*order).limit(sample_rows))
     # At most twice sample_rows rows, so they fit anywhere.
     rows = only(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    got = sorted(rows.mapInArrow(_sample_features, "doc_id long, toxic int, keys binary").collect(), key=lambda r: r.doc_id)
+    got = sorted(map_batches(rows, _sample_features, "doc_id long, toxic int, keys binary").collect(), key=lambda r: r.doc_id)
     toxic = np.array([r.toxic for r in got], int)
     if len(set(toxic)) < 2:
         return OrdinalModel(np.zeros(1 << BITS), np.full(GRADES - 1, 30.0))
@@ -200,7 +200,7 @@ def clean(docs: DataFrame, model: OrdinalModel) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_above(shared.value, batch.column(at))[:, 0] <= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
@@ -217,7 +217,7 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
                 ["doc_id", "severity", "grade", "p_toxic", "toxic"],
             )
 
-    return only(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+    return map_batches(only(docs, "doc_id", "text"), run, SCHEMA)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, only, partitions, tune
+from .common import Scratch, map_batches, only, partitions, tune
 
 #: An archive is closed once it has this many compressed bytes.
 ARCHIVE_BYTES = 16 << 20
@@ -193,7 +193,7 @@ def write_archives(pages: DataFrame, scratch: Scratch, archive_bytes: int = ARCH
         if out is not None:
             yield close()
 
-    return scratch.keep(plan_records(pages).select("page_id", "url", "html", "refers_to").mapInArrow(write, "path string, records long"))
+    return scratch.keep(map_batches(plan_records(pages).select("page_id", "url", "html", "refers_to"), write, "path string, records long"))
 
 
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -225,7 +225,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                     yield batch_of(rows)
 
     paths = only(archives, "path").repartition(partitions(archives.sparkSession), F.xxhash64("path"))
-    return paths.mapInArrow(read, READ_SCHEMA + (", payload binary" if with_payload else ""))
+    return map_batches(paths, read, READ_SCHEMA + (", payload binary" if with_payload else ""))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
