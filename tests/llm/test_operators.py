@@ -10,6 +10,7 @@ import pytest
 
 from tracemill.llm import bpe, embedding_dedup, fingerprints, mixing, ngram_join, pii, secrets, substring_dedup, toxicity, warc
 from tracemill.llm.common import Scratch, components, tune
+from tracemill.llm.spans import Covered
 
 LONG = " ".join(f"w{i % 997}x{i % 13}" for i in range(30_000))
 ODD = [(1, None), (2, ""), (3, "  \t\n"), (4, "one"), (5, "a b c"), (6, LONG), (7, LONG), (8, LONG), (None, "some text without an id"), (9, "é漢 🙂 <|endoftext|> it's"), (9, "é漢 🙂 <|endoftext|> it's")]
@@ -341,6 +342,27 @@ def test_pii(spark, docs):
     assert pii.find(docs([])).count() == 0
 
 
+def test_patterns_of_odd_texts():
+    """Against the plain patterns, on texts that nearly match; and very long words."""
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(4)
+    for _ in range(3000):
+        t = "".join(rng.choice("ab1.@%-é 2") for _ in range(rng.randint(0, 40)))
+        assert pii.emails(t) == [("email", m.start(), m.end()) for m in email.finditer(t)]
+        assert [m.span() for m in pii.IP.finditer(t)] == [m.span() for m in ip.finditer(t)]
+    assert len(pii.base_spans("a" * 300_000 + " " + "1" * 300_000 + " x@y.zz")) == 1
+
+
+def test_covered():
+    rng = random.Random(5)
+    for _ in range(300):
+        spans = [("k", s, s + rng.randint(1, 9)) for s in (rng.randrange(40) for _ in range(rng.randint(0, 5)))]
+        a = rng.randrange(45)
+        b = a + rng.randint(1, 9)
+        assert Covered(spans).free(a, b) == all(e <= a or s >= b for _, s, e in spans)
+
+
 def test_crf_held_out():
     shapes, labels, lengths = pii.padded(pii.labelled_table(200, seed=77))
     got = pii.train().decode(shapes, lengths)

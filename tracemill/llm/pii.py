@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import Words, blocks, map_batches, only, tune
-from .spans import CodePoints, Span, free_of, join_spans, sha256, table_of
+from .spans import CodePoints, Covered, Span, join_spans, sha256, table_of
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: What may stand before the @ of an address, and what follows it.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -51,11 +53,23 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def emails(text: str) -> list[Span]:
+    """Addresses, found from each @ backwards: linear also in very long words."""
+    out: list[Span] = []
+    low, at = 0, text.find("@")
+    while at >= 0:
+        start = low + len(text[low:at].rstrip(LOCAL))
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            out.append(("email", start, m.end()))
+        low = m.end() if m else at + 1
+        at = text.find("@", low)
+    return out
+
+
 def base_spans(text: str) -> list[Span]:
     """Matches of the fixed patterns, by kind and then start."""
-    out: list[Span] = []
-    if "@" in text:
-        out += [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
+    out = emails(text)
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
             out.append(("ip", m.start(), m.end()))
@@ -300,8 +314,9 @@ def find_block(data: np.ndarray, offsets: np.ndarray, texts: list[str], model: C
     marked = (digits[offsets[1:]] > digits[offsets[:-1]]).tolist()
     base = [base_spans(t) if m or "@" in t else [] for t, m in zip(texts, marked)]
     added: list[list[Span]] = [[] for _ in texts]
+    covered = [Covered(b) for b in base]
     for d, span in crf_spans(data, offsets, model):
-        if free_of(base[d], span[1], span[2]):
+        if covered[d].free(span[1], span[2]):
             added[d].append(span)
     return list(zip(base, added))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import blocks, map_batches, only, tune
-from .spans import CodePoints, Span, free_of, join_spans, runs, sha256, table_of
+from .spans import CodePoints, Covered, Span, join_spans, runs, sha256, table_of
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -217,7 +217,8 @@ def scan_block(data: np.ndarray, offsets: np.ndarray, texts: list[str], model: C
         doc = np.searchsorted(offsets, start, "right") - 1
         points = CodePoints(data, offsets)
         s, e = points.at(doc, start).tolist(), points.at(doc, end).tolist()
-        open_ = np.array([free_of(base[d], a, b) for d, a, b in zip(doc.tolist(), s, e)])
+        covered = {d: Covered(base[d]) for d in np.unique(doc).tolist()}
+        open_ = np.array([covered[d].free(a, b) for d, a, b in zip(doc.tolist(), s, e)])
         for part in np.array_split(np.flatnonzero(open_), max(1, int(open_.sum()) // 512)):
             if len(part):
                 p = model.probability(encode_windows(data, offsets[doc[part]], offsets[doc[part] + 1], start[part], end[part]))

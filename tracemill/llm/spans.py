@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 
@@ -49,6 +51,14 @@ class CodePoints:
         return self.before[position] - self.before[self.offsets[doc]]
 
 
-def free_of(spans: list[Span], start: int, end: int) -> bool:
-    """Whether no span overlaps [start, end)."""
-    return all(e <= start or s >= end for _, s, e in spans)
+class Covered:
+    """Tells whether some of a text's spans overlap a stretch, by bisection."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        pairs = sorted((s, e) for _, s, e in spans)
+        self.start = [s for s, _ in pairs]
+        self.reach = list(accumulate((e for _, e in pairs), max))
+
+    def free(self, start: int, end: int) -> bool:
+        before = bisect_left(self.start, end)
+        return not before or self.reach[before - 1] <= start
