@@ -179,3 +179,13 @@ def test_filter_reaches_the_scan(spark):
     events = day_log(spark, "/root/testdata/sf0.001").where(F.col("activity") == "click")
     plan = events.select("case_id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,click)]" in plan
+
+
+def test_seconds(spark):
+    """Also of sums beyond 2**53 microseconds, and of an infinite fence."""
+    from tracemill.functions.stats import seconds
+
+    rows = [(1_500_000.0, 1.5), (0.0, 0.0), (-2_000_000.0, -2.0), (3.2174064e16, 32174064000.0), (float("inf"), float("inf"))]
+    got = spark.createDataFrame(rows, "us double, want double").select(seconds("us").alias("s"), "want").collect()
+    assert [r.s for r in got] == [r.want for r in got]
+    assert spark.range(1).select(seconds((F.col("id") + 32174064000000000)).alias("s")).first().s == 32174064000.0

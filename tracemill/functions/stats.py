@@ -19,9 +19,12 @@ _NUDGE = 0.1234567
 
 
 def seconds(us: Column | str) -> Column:
-    """Seconds, cut to the microsecond, of a number of microseconds."""
+    """Seconds, cut to the microsecond, of a number of microseconds.
+
+    Beyond the whole numbers that a double holds there is nothing to cut.
+    """
     x = F.col(us) if isinstance(us, str) else us
-    return F.when(F.abs(x) < 9e15, F.floor(x + _NUDGE) / 1e6).otherwise(x.cast("double"))
+    return F.when(F.abs(x) < 9e15, F.floor(x + _NUDGE) / 1e6).otherwise(x.cast("double") / 1e6)
 
 
 def micros(ts: str) -> Column:
