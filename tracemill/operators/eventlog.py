@@ -26,6 +26,17 @@ class EventLog:
 
     def __init__(self, events: DataFrame) -> None:
         self.events = events
+        self._kept: DataFrame | None = None
+
+    def keep(self) -> EventLog:
+        """Computes the steps once for all that follows, until `release`."""
+        self._kept = self.steps().persist()
+        return self
+
+    def release(self) -> None:
+        if self._kept is not None:
+            self._kept.unpersist()
+            self._kept = None
 
     def between(self, start: str | None = None, end: str | None = None) -> EventLog:
         """Cases that start in [start, end), with all their events."""
@@ -56,6 +67,8 @@ class EventLog:
 
     def steps(self) -> DataFrame:
         """One row per event, with its place in the case and its neighbours."""
+        if self._kept is not None:
+            return self._kept
         case = W.Window.partitionBy("case_id").orderBy("occ", "activity", "source_event_id")
         same = W.Window.partitionBy("case_id", "activity").orderBy("occ", "source_event_id")
         df = self.timed()

@@ -152,13 +152,14 @@ class Findings:
 def upsert_findings(old: DataFrame, new: DataFrame) -> DataFrame:
     """Stored findings after a run: found again, new, or resolved where open and gone.
 
-    old: (fingerprint, status, narrative, impact_score); a resolved finding that
-    is found again stays resolved.
+    old: fingerprint, status, narrative and columns of new, which are measured anew
+    where the finding is found again. A resolved finding that is found again stays resolved.
     """
-    o, n = old.alias("o"), new.select("fingerprint", "impact_score").alias("n")
+    shared = [c for c in new.columns if c in old.columns and c != "fingerprint"]
+    o, n = old.alias("o"), new.select("fingerprint", *shared).alias("n")
     gone = F.col("n.fingerprint").isNull()
     return o.join(n, F.col("o.fingerprint") == F.col("n.fingerprint"), "full_outer").select(
         F.coalesce("o.fingerprint", "n.fingerprint").alias("fingerprint"),
         F.when(F.col("o.fingerprint").isNull(), "open").when(gone & (F.col("o.status") == "open"), "resolved").otherwise(F.col("o.status")).alias("status"),
-        F.col("o.narrative").alias("narrative"), F.coalesce("n.impact_score", "o.impact_score").alias("impact_score"),
+        F.col("o.narrative").alias("narrative"), *[F.when(gone, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in shared],
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .files import new_events
 from .tables import conform
@@ -21,13 +22,23 @@ class Store:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def _folder(self, path: str):
+        """(file system, path) of a folder."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
     def exists(self, table: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        fs, p = self._folder(self.path(table))
+        return fs.exists(p)
 
     def read(self, table: str, process_id: str | None = None) -> DataFrame:
-        """Rows of this tenant; tenant and process prune partitions."""
-        df = self.spark.read.parquet(self.path(table)).where(F.col("tenant_id") == self.tenant_id)
+        """Rows of this tenant; tenant and process prune partitions.
+
+        Both are read as text: by themselves, the tenants 1 and 01 would become one number.
+        """
+        found = self.spark.read.parquet(self.path(table)).schema
+        schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in ("tenant_id", "process_id") else f.dataType) for f in found])
+        df = self.spark.read.schema(schema).parquet(self.path(table)).where(F.col("tenant_id") == self.tenant_id)
         return df if process_id is None else df.where(F.col("process_id") == process_id)
 
     def append(self, table: str, df: DataFrame, process_id: str) -> None:
@@ -35,8 +46,13 @@ class Store:
         self._tagged(df, process_id).write.mode("append").partitionBy("tenant_id", "process_id").parquet(self.path(table))
 
     def replace(self, table: str, df: DataFrame, process_id: str) -> None:
-        """This process's rows anew; those of others stay. The rows are fixed first."""
+        """This process's rows anew, or none; those of others stay. The rows are fixed first."""
         df = self._tagged(df, process_id).checkpoint()
+        if df.isEmpty():  # a dynamic overwrite of nothing would leave the old rows
+            escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+            fs, p = self._folder(f"{self.path(table)}/tenant_id={escape(self.tenant_id)}/process_id={escape(process_id)}")
+            fs.delete(p, True)
+            return
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", "process_id").parquet(self.path(table))
 
     def insert_events(self, incoming: DataFrame, process_id: str) -> tuple[int, int]:
