@@ -342,6 +342,22 @@ def test_pii(spark, docs):
     assert pii.find(docs([])).count() == 0
 
 
+def test_pii_adjacent_items():
+    """What only the CRF can see stays found beside a match of the patterns."""
+    for text, base, added in [
+        ("jörg@müller.de a@b.com", ["a@b.com"], [("crf_email", "jörg@müller.de")]),
+        ("to anna.berg@mail.example.com jörg@müller.de now", ["anna.berg@mail.example.com"], [("crf_email", "jörg@müller.de")]),
+        ("pay 4111111111111111\n4111111111111112 now", ["4111111111111111"], [("crf_card", "4111111111111112")]),
+        ("pay 4111 1111 1111 1111\n4111 1111 1111 1112 now", ["4111 1111 1111 1111"], [("crf_card", "4111 1111 1111 1112")]),
+    ]:
+        raw = text.encode()
+        (got, more), = pii.find_block(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), [text], pii.train())
+        assert [text[s:e] for _, s, e in got] == base
+        assert [(k, text[s:e]) for k, s, e in more] == added
+        out = pii.redact_text(text, got + more)
+        assert not any(x in out for x in [*base, *(x for _, x in added)])
+
+
 def test_patterns_of_odd_texts():
     """Against the plain patterns, on texts that nearly match; and very long words."""
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

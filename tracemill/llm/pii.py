@@ -5,8 +5,9 @@ number or none, from the shapes of the word and its neighbours. It is trained by
 maximum likelihood on a small labelled table and decoded by Viterbi, many
 stretches of words at a time in numpy. A stretch is a run of words of which
 each is within two words of one with a digit, `@` or `+`; all other words are
-none by the model's definition. Runs of words with one label become spans of
-kind `crf_...` where no pattern has matched; matches of the patterns stay.
+none by the model's definition. Words that a match of the patterns touches are
+taken out; runs of the words left with one label become spans of kind `crf_...`.
+Matches of the patterns stay.
 
 Defined results: null text is empty and has no spans; `kind:start:end` counts
 code points with an exclusive end; equal rows give equal results; other columns
@@ -251,8 +252,8 @@ def train(rows: int = 500) -> Crf:
 _MARK = table_of("0123456789@+")
 
 
-def crf_spans(data: np.ndarray, offsets: np.ndarray, model: Crf) -> list[tuple[int, Span]]:
-    """(text, span) of every run of equally labelled words of a block."""
+def crf_spans(data: np.ndarray, offsets: np.ndarray, model: Crf, covered: list[Covered]) -> list[tuple[int, Span]]:
+    """(text, span) of every run of equally labelled words of a block that no covered stretch touches."""
     marks = _MARK[data]
     if not marks.any():
         return []
@@ -288,13 +289,16 @@ def crf_spans(data: np.ndarray, offsets: np.ndarray, model: Crf) -> list[tuple[i
         labels[index[inside]] = model.decode(grid, lengths[part])[inside]
         at = stop
     hit = np.flatnonzero(labels)
+    points = CodePoints(data, offsets)
+    doc, at = w.doc[near[hit]], near[hit]
+    places = zip(doc.tolist(), points.at(doc, w.start[at]).tolist(), points.at(doc, w.end[at]).tolist())
+    hit = hit[np.array([covered[d].free(s, e) for d, s, e in places], bool)]
     if not len(hit):
         return []
     new = np.ones(len(hit), bool)
     new[1:] = (near[hit[1:]] != near[hit[:-1]] + 1) | (labels[hit[1:]] != labels[hit[:-1]]) | (w.doc[near[hit[1:]]] != w.doc[near[hit[:-1]]])
     heads = np.flatnonzero(new)
     tails = np.concatenate([heads[1:], [len(hit)]]) - 1
-    points = CodePoints(data, offsets)
     doc = w.doc[near[hit[heads]]]
     start, end = w.start[near[hit[heads]]], w.end[near[hit[tails]]]
     raw = data.tobytes()
@@ -314,10 +318,8 @@ def find_block(data: np.ndarray, offsets: np.ndarray, texts: list[str], model: C
     marked = (digits[offsets[1:]] > digits[offsets[:-1]]).tolist()
     base = [base_spans(t) if m or "@" in t else [] for t, m in zip(texts, marked)]
     added: list[list[Span]] = [[] for _ in texts]
-    covered = [Covered(b) for b in base]
-    for d, span in crf_spans(data, offsets, model):
-        if covered[d].free(span[1], span[2]):
-            added[d].append(span)
+    for d, span in crf_spans(data, offsets, model, [Covered(b) for b in base]):
+        added[d].append(span)
     return list(zip(base, added))
 
 
