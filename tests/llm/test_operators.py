@@ -329,6 +329,48 @@ def test_secret_network():
     assert p[y == 1].mean() > 0.93 and p[y == 0].mean() < 0.03
 
 
+def test_secrets_in_long_runs():
+    key, hexes = "q7Zk2LmX9vB4nR8tYw3Hs6Jd1Fc5Gp0aUeIoTxKb", "0123abcd" * 4
+    path, access = "/long/path/of/names/that/goes/on/until/there/is/the/last/of/them/", "AKIA" + "B2" * 8
+    for text, base, added in [
+        (f"é see {path}{key} x", [], [path + key]),
+        ("-" * 90 + key, [], ["-" * 90 + key]),
+        (path * 3 + key + "=" * 70, [], [path * 3 + key + "=" * 70]),
+        (f"é {access}/{key}", [access], ["/" + key]),
+        (f"{key}_{access}/{key}/{hexes}/{path}", [access, hexes], [key + "_", f"/{key}/"]),
+        (path * 3 + "file2", [], []),
+        ("-" * 200 + "chapter1", [], []),
+    ]:
+        raw = text.encode()
+        (got, more), = secrets.scan_block(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), [text], secrets.train())
+        assert [text[s:e] for _, s, e in got] == base
+        assert [text[s:e] for _, s, e in more] == added
+    m = secrets.train()
+    findings = secrets.long_findings(400, seed=321)
+    x, of, _ = secrets.long_windows(findings)
+    p = secrets.best(m.probability(x), of) >= m.threshold
+    secret = np.array([f[4] > f[3] for f in findings])
+    assert p[secret].mean() > 0.93 and p[~secret].mean() < 0.03
+
+
+def test_windows_of_long_runs():
+    length = np.arange(16, 400)
+    of, place = secrets.places(np.zeros_like(length), length)
+    for i, n in enumerate(length):
+        at = place[of == i]
+        assert at[0] == 0 and at[-1] + secrets.AFTER >= n + secrets.BEHIND and (np.diff(at) <= secrets.WIDTH - 44).all()
+
+
+def test_gaps():
+    rng = random.Random(8)
+    for _ in range(300):
+        spans = [("k", s, s + rng.randint(1, 9)) for s in (rng.randrange(40) for _ in range(rng.randint(0, 5)))]
+        a = rng.randrange(45)
+        b = a + rng.randint(1, 9)
+        inside = [x for s, e in Covered(spans).gaps(a, b) for x in range(s, e)]
+        assert inside == [x for x in range(a, b) if not any(s <= x < e for _, s, e in spans)]
+
+
 def test_pii(spark, docs):
     text = "é mail a.b+c@x-y.org, ip 10.0.0.255 and 1.2.3.256; card 4111 1111 1111 1111 no 4111111111111112 tel +1 (555) 555-3918 x"
     got = {r.doc_id: r for r in pii.find(docs([(1, text), (2, None), (3, ""), (4, LONG)])).collect()}

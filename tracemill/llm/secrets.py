@@ -1,11 +1,13 @@
 """Secret scan: fixed patterns, and a character CNN over every other candidate.
 
 A candidate is a run of 16 or more characters of keys and tokens with a digit
-and a letter. A convolutional network in numpy sees the candidate with the
-characters around it. It is trained on a labelled table of findings, its scores
-are calibrated on held-out findings, and its threshold is the highest that
-keeps the stated recall there. Candidates that it accepts are added as spans of
-kind `cnn` where no pattern has matched; matches of the patterns always stay.
+and a letter, or such a piece of what pattern matches leave of a run. A
+convolutional network in numpy sees the candidate with the characters around it,
+a long one in overlapping windows of which the highest score counts. It is
+trained on labelled tables of short and long findings, its scores are calibrated
+on held-out findings, and its threshold is the highest that keeps the stated
+recall there. Candidates that it accepts are added as spans of kind `cnn`;
+matches of the patterns always stay.
 
 Defined results: null text is empty and has no spans; `kind:start:end` counts
 code points with an exclusive end, and covers the whole match; equal rows give
@@ -36,6 +38,8 @@ LEAST = 16
 #: Characters before the candidate, and of the candidate and what follows.
 BEFORE, AFTER = 24, 56
 WIDTH, FILTERS, KERNEL = BEFORE + AFTER, 20, 5
+#: Steps between the windows of a long candidate, and what the last one shows behind it.
+STRIDE, BEHIND = 28, 8
 RECALL = 0.98
 
 _RUN = table_of("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
@@ -106,9 +110,56 @@ def labelled_findings(n: int, seed: int = 7) -> list[tuple[bytes, int, int, int]
     return rows
 
 
-def encode_windows(data: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """(candidate, position, channel) of candidates in texts [low, high)."""
-    at = start[:, None] - BEFORE + np.arange(WIDTH)
+def long_findings(n: int, seed: int = 17) -> list[tuple[bytes, int, int, int, int]]:
+    """(text, start, end, key start, key end) of runs of up to some 300 characters, made by rule.
+
+    Half of them hold a key: behind a path, a name or a ruler, before one, or all
+    of the run. The others are paths, names, rulers and patterns alone, with the
+    key's start at its end.
+    """
+    rng = random.Random(seed)
+    lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    word = lambda: "".join(rng.choice(("th", "er", "on", "an", "re", "in", "ou", "ea", "st", "le")) for _ in range(rng.randint(1, 4)))
+
+    def plain(size: int) -> str:
+        kind = rng.randrange(6)
+        joint = "/-_"[kind % 3]
+        unit = rng.choice(("-", "=", "_", "-=", "ab1", "=-", pick(lower, 2) + pick(digit, 1)))
+        return (unit * size)[:size] if kind > 3 else joint + "".join(word() + (str(rng.randint(1, 99)) if rng.random() < 0.15 else "") + joint for _ in range(size // 5 + 1))
+
+    rows = []
+    for i in range(n):
+        head = key = tail = ""
+        if i % 2:
+            chars = rng.choice((lower + upper + digit, lower + upper + digit + "+/", lower + upper + digit + "_-"))
+            if rng.random() < 0.3:
+                key = pick(chars, rng.randint(57, 300))
+            else:
+                key = pick(chars, rng.randint(20, 44))
+                head = plain(rng.randint(20, 200))
+                head += "" if head[-1] in "/-_=" else "="
+                tail = rng.choice(("", "", "=", "/" + plain(rng.randint(10, 80))))
+        else:
+            head = plain(rng.randint(50, 250)) + str(rng.randint(1, 99))
+        before = " ".join(word() for _ in range(rng.randint(0, 6))) + rng.choice((" ", "see ", "file: ", "key: ", "of "))
+        text = before + head + key + tail + rng.choice(("", "'", '"', ".", "\n", " ")) + " ".join(word() for _ in range(rng.randint(0, 6)))
+        at = len(before) + len(head)
+        rows.append((text.encode(), len(before), at + len(key) + len(tail), at, at + len(key)))
+    return rows
+
+
+def places(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(candidate, start) of windows along each candidate; the last ends behind it."""
+    more = -(-np.maximum(end - start + BEHIND - AFTER, 0) // STRIDE)
+    of = np.repeat(np.arange(len(start)), more + 1)
+    first = np.cumsum(more + 1) - more - 1
+    return of, start[of] + STRIDE * (np.arange(len(of)) - first[of])
+
+
+def encode_windows(data: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """(window, position, channel) of candidates in texts [low, high), at their start or where `place` says."""
+    at = (start if place is None else place)[:, None] - BEFORE + np.arange(WIDTH)
     inside = (at >= low[:, None]) & (at < high[:, None])
     codes = np.where(inside, _CLASS[data[np.clip(at, 0, max(0, len(data) - 1))]], 0)
     out = np.zeros((*at.shape, CHANNELS), np.float32)
@@ -168,21 +219,29 @@ class CharCnn:
     def raw(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self.forward(self.patches(part))[0] for part in np.array_split(x, max(1, len(x) // 128))]) if len(x) else np.zeros(0)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
-        """Platt scaling, then the highest threshold that keeps the recall."""
-        z = self.raw(x)
+    def calibrate(self, x: np.ndarray, y: np.ndarray, of: np.ndarray, recall: float = RECALL) -> None:
+        """Platt scaling, then the highest threshold that keeps the recall.
+
+        of: the finding of each window, in order.
+        """
+        z = best(self.raw(x), of)
         a, b = 1.0, 0.0
         for _ in range(300):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
             a, b = a - 0.05 * ((p - y) * z).mean(), b - 0.05 * (p - y).mean()
         self.slope, self.shift = a, b
-        good = np.sort(self.probability(x)[y == 1])
+        good = np.sort(best(self.probability(x), of)[y == 1])
         self.threshold = float(good[int((1 - recall) * len(good))]) if len(good) else 0.5
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(x) + self.shift, -30, 30)))
 
 
+def best(scores: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The highest of each candidate's windows; `of` is sorted."""
+    return np.maximum.reduceat(scores, np.flatnonzero(np.diff(of, prepend=-1))) if len(of) else scores
+
+
 def windows_of(findings: list[tuple[bytes, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(f[0] for f in findings), np.uint8)
     edge = np.concatenate([[0], np.cumsum([len(f[0]) for f in findings])])
@@ -190,14 +249,33 @@ def windows_of(findings: list[tuple[bytes, int, int, int]]) -> tuple[np.ndarray,
     return encode_windows(data, edge[:-1], edge[1:], start, end), np.array([f[3] for f in findings], np.float32)
 
 
+def long_windows(findings: list[tuple[bytes, int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of long findings, the finding of each, and how many characters of its key each shows."""
+    data = np.frombuffer(b"".join(f[0] for f in findings), np.uint8)
+    edge = np.concatenate([[0], np.cumsum([len(f[0]) for f in findings])])
+    start, end, key, stop = (edge[:-1] + [f[i] for f in findings] for i in range(1, 5))
+    of, place = places(start, end)
+    shown = np.minimum(place + AFTER, stop[of]) - np.maximum(place - BEFORE, key[of])
+    return encode_windows(data, edge[of], edge[of + 1], start[of], end[of], place), of, np.maximum(shown, 0)
+
+
 @lru_cache(maxsize=1)
-def train(rows: int = 1600) -> CharCnn:
-    """Fit on four fifths of the labelled findings, calibrate on the rest."""
+def train(rows: int = 1600, long_rows: int = 800) -> CharCnn:
+    """Fit on four fifths of the labelled findings, calibrate on the rest.
+
+    A window of a long finding is one of a secret if it shows LEAST characters of
+    the key at least; windows that show fewer teach nothing.
+    """
     x, y = windows_of(labelled_findings(rows))
-    cut = rows * 4 // 5
+    findings = long_findings(long_rows)
+    wide, of, shown = long_windows(findings)
+    cut, part = rows * 4 // 5, long_rows * 4 // 5
+    use = (of < part) & ((shown == 0) | (shown >= LEAST))
     model = CharCnn()
-    model.fit(x[:cut], y[:cut])
-    model.calibrate(x[cut:], y[cut:])
+    model.fit(np.concatenate([x[:cut], wide[use]]), np.concatenate([y[:cut], (shown[use] > 0).astype(np.float32)]))
+    held = of >= part
+    secret = np.array([f[4] > f[3] for f in findings[part:]], np.float32)
+    model.calibrate(np.concatenate([x[cut:], wide[held]]), np.concatenate([y[cut:], secret]), np.concatenate([np.arange(rows - cut), of[held] - part + rows - cut]))
     return model
 
 
@@ -211,19 +289,31 @@ def scan_block(data: np.ndarray, offsets: np.ndarray, texts: list[str], model: C
     start, end = runs(_RUN[data], offsets, LEAST)
     if len(start):
         digits, letters = (np.concatenate([[0], np.cumsum(t[data])]) for t in (_DIGIT, _ALPHA))
-        use = (digits[end] > digits[start]) & (letters[end] > letters[start])
+        mixed = lambda a, b: (digits[b] > digits[a]) & (letters[b] > letters[a])
+        use = mixed(start, end)
         start, end = start[use], end[use]
     if len(start):
         doc = np.searchsorted(offsets, start, "right") - 1
         points = CodePoints(data, offsets)
-        s, e = points.at(doc, start).tolist(), points.at(doc, end).tolist()
         covered = {d: Covered(base[d]) for d in np.unique(doc).tolist()}
-        open_ = np.array([covered[d].free(a, b) for d, a, b in zip(doc.tolist(), s, e)])
-        for part in np.array_split(np.flatnonzero(open_), max(1, int(open_.sum()) // 512)):
+        # Runs are of ASCII, where a byte is a code point.
+        pieces = [
+            (d, at + a - s, at + b - s, a, b)
+            for d, at, s, e in zip(doc.tolist(), start.tolist(), points.at(doc, start).tolist(), points.at(doc, end).tolist())
+            for a, b in covered[d].gaps(s, e)
+            if b - a >= LEAST
+        ]
+        doc, start, end, s, e = np.array(pieces, np.int64).reshape(-1, 5).T
+        use = mixed(start, end)
+        doc, start, end, s, e = doc[use], start[use], end[use], s[use].tolist(), e[use].tolist()
+        of, place = places(start, end)
+        p = np.zeros(len(of))
+        for part in np.array_split(np.arange(len(of)), max(1, len(of) // 512)):
             if len(part):
-                p = model.probability(encode_windows(data, offsets[doc[part]], offsets[doc[part] + 1], start[part], end[part]))
-                for i in part[p >= model.threshold].tolist():
-                    added[doc[i]].append(("cnn", s[i], e[i]))
+                c = of[part]
+                p[part] = model.probability(encode_windows(data, offsets[doc[c]], offsets[doc[c] + 1], start[c], end[c], place[part]))
+        for i in np.flatnonzero(best(p, of) >= model.threshold).tolist():
+            added[doc[i]].append(("cnn", s[i], e[i]))
     return list(zip(base, added))
 
 

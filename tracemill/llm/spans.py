@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 import numpy as np
@@ -52,7 +52,7 @@ class CodePoints:
 
 
 class Covered:
-    """Tells whether some of a text's spans overlap a stretch, by bisection."""
+    """Tells whether some of a text's spans overlap a stretch, and what they leave of it, by bisection."""
 
     def __init__(self, spans: list[Span]) -> None:
         pairs = sorted((s, e) for _, s, e in spans)
@@ -62,3 +62,14 @@ class Covered:
     def free(self, start: int, end: int) -> bool:
         before = bisect_left(self.start, end)
         return not before or self.reach[before - 1] <= start
+
+    def gaps(self, start: int, end: int) -> list[tuple[int, int]]:
+        """The pieces of a stretch that no span covers."""
+        out = []
+        for i in range(bisect_right(self.reach, start), len(self.start)):
+            if self.start[i] >= end:
+                break
+            if self.start[i] > start:
+                out.append((start, self.start[i]))
+            start = max(start, self.reach[i])
+        return [*out, (start, end)] if start < end else out
