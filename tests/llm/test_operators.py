@@ -278,6 +278,36 @@ def test_temperature():
     assert 0 < t < 1 and max(x * 1000 / n for x, n in zip(w, (800, 150, 50))) <= 1.5 + 1e-6
 
 
+def test_temperature_of_balanced_sources():
+    share = lambda w: -sum(x * np.log(x) for x in w if x > 0) / np.log(sum(x > 0 for x in w))
+    tokens = [1000.0, 990.0, 1010.0, 600.0, 1300.0]
+    t, w = mixing.temperature_weights(tokens, sum(tokens), 0.95, 2.0)
+    assert t > 1 and share(w) == pytest.approx(0.95) and max(x * sum(tokens) / n for x, n in zip(w, tokens)) <= 2
+    # The repetition limit comes first: as near to the target as it allows.
+    with pytest.warns(UserWarning, match="above its target"):
+        t, w = mixing.temperature_weights(tokens, sum(tokens), 0.5, 2.0)
+    assert t > 1 and 0.5 < share(w) < 0.95 and max(x * sum(tokens) / n for x, n in zip(w, tokens)) == pytest.approx(2)
+    with pytest.warns(UserWarning, match="equal"):
+        assert mixing.temperature_weights([7.0] * 4, 28.0, 0.95, 2.0) == (1.0, [0.25] * 4)
+    near = [1e12 + 1, *[1e12] * 19]
+    with pytest.warns(UserWarning, match="above its target"):
+        t, w = mixing.temperature_weights(near, sum(near), 0.95, 2.0)
+    assert w[0] == pytest.approx(0.1, rel=1e-3)
+    assert mixing.temperature_weights([7.0], 14.0, 0.95, 2.0)[1] == [1.0]
+    for ratio in (2.01, 5.0):
+        with pytest.raises(ValueError, match="more than the limit"):
+            mixing.temperature_weights(tokens, ratio * sum(tokens), 0.95, 2.0)
+
+
+def test_mixing_of_balanced_sources(spark, docs):
+    rows = [(i, " ".join(["w"] * (1 + i % 3)), f"s{k}") for k, n in enumerate((300, 310, 330, 350, 450)) for i in range(1000 * k, 1000 * k + n)]
+    taken = Counter(r.source for r in mixing.mix(docs(rows), Scratch(tune(spark), "t")).collect())
+    have = Counter(s for _, _, s in rows)
+    assert taken["s0"] < have["s0"] and taken["s4"] > have["s4"]
+    with pytest.raises(ValueError, match="more than the limit"):
+        mixing.mix(docs(rows), Scratch(spark, "t"), budget_ratio=2.5)
+
+
 # ---------------------------------------------------------- ops 1, 9, 10
 
 

@@ -1,10 +1,14 @@
 """Mixing sources: temperature weights, realised as budgeted block permutations.
 
-A source's weight is its share of the tokens to a power t between 0 (all equal)
-and 1 (as they come), normalised. Entropy falls and the largest repetition
-falls or stays as t rises, so t is bisected: the smallest t that keeps every
-source within the repetition limit, raised where the entropy would exceed its
-target. A source with quota q and T tokens is taken q // T times whole, and
+A source's weight is its share of the tokens to a power t, normalised: all are
+equal at 0, as they come at 1, and large ones gain beyond. Entropy falls as t
+rises; the largest repetition falls up to 1 and rises from there. So t is
+bisected: the smallest t that keeps every source within the repetition limit and
+the entropy within its target, bracketed upwards from 1 where sources are so
+balanced that 1 exceeds the target. Where the limit is reached first, t is the
+largest within it, and where no t meets the target (as the largest sources are
+equal), t is 1; a warning says so. More tokens than the limit allows for all
+sources together are an error. A source with quota q and T tokens is taken q // T times whole, and
 then in part: its blocks in an order drawn for that pass, documents of the
 block at the boundary likewise, as long as the quota is not exceeded. So a
 document's fate depends on its own hashes and a few numbers for its source.
@@ -21,6 +25,8 @@ weight 0 and its documents only in whole passes.
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,31 +47,50 @@ def word_count(text: Column) -> Column:
 
 def temperature_weights(tokens: list[float], budget: float, entropy_share: float, max_passes: float) -> tuple[float, list[float]]:
     """(exponent, weights) of sources with so many tokens."""
-    total = sum(tokens)
     live = [x for x in tokens if x > 0]
     if not live:
         return 1.0, [0.0] * len(tokens)
+    if budget > max_passes * math.fsum(live) * (1 + 1e-12):
+        raise ValueError(f"a budget of {budget:.0f} tokens takes {budget / math.fsum(live):.3f} passes over all sources, more than the limit of {max_passes}")
+    top = max(live)
     target = entropy_share * math.log(len(live)) if len(live) > 1 else 0.0
 
     def weights(t: float) -> list[float]:
-        raw = [(x / total) ** t if x > 0 else 0.0 for x in tokens]
+        raw = [(x / top) ** t if x > 0 else 0.0 for x in tokens]
         norm = math.fsum(raw)
         return [r / norm for r in raw]
 
-    def too_flat(t: float) -> bool:
-        w = weights(t)
-        entropy = -math.fsum(x * math.log(x) for x in w if x > 0)
-        return entropy > target or max(x * budget / n for x, n in zip(w, tokens) if n > 0) > max_passes
+    def entropy(w: list[float]) -> float:
+        return -math.fsum(x * math.log(x) for x in w if x > 0)
 
-    if not too_flat(0.0):
+    def repeats(w: list[float]) -> bool:
+        return max(x * budget / n for x, n in zip(w, tokens) if n > 0) > max_passes
+
+    def bisect(low: float, high: float, upper: Callable[[list[float]], bool]) -> tuple[float, float]:
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (low, middle) if upper(weights(middle)) else (middle, high)
+        return low, high
+
+    fits = lambda w: entropy(w) <= target and not repeats(w)
+    if fits(weights(0.0)):
         return 0.0, weights(0.0)
-    if too_flat(1.0):
+    if entropy(weights(1.0)) <= target:
+        high = bisect(0.0, 1.0, fits)[1]
+        return high, weights(high)
+    if sum(x == top for x in live) > 1 and math.log(sum(x == top for x in live)) >= target:
+        warnings.warn(f"the largest sources are equal: no exponent has an entropy of {target:.4f}; sources keep their natural shares", stacklevel=2)
         return 1.0, weights(1.0)
-    low, high = 0.0, 1.0
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if too_flat(middle) else (low, middle)
-    return high, weights(high)
+    # Beyond 1, both ends hold for all larger exponents once they hold.
+    ends = lambda w: entropy(w) <= target or repeats(w)
+    high = 2.0
+    while not ends(weights(high)):
+        high *= 2
+    low, high = bisect(high / 2, high, ends)
+    if not repeats(weights(high)):
+        return high, weights(high)
+    warnings.warn(f"at {max_passes} passes over the largest source the entropy is {entropy(weights(low)):.4f}, above its target of {target:.4f}", stacklevel=2)
+    return low, weights(low)
 
 
 PLAN = T.StructType(
