@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.session import with_checkpoints
 from tracemill.operators.findings import Thresholds
+from tracemill.plans import rollups
 from tracemill.plans.analysis import analyze, report
 from tracemill.sources import demo, files
 from tracemill.sources.store import Store
@@ -64,3 +65,37 @@ def test_tenants_and_empty_replacement(spark, tmp_path):
     assert (one.read("t", "p/1").count(), other.read("t", "p/1").count()) == (2, 1)
     one.replace("t", rows.limit(0), "p/1")
     assert (one.read("t").count(), other.read("t").count()) == (0, 1)
+
+
+FINDING = "process_id string, finding_type string, subject string, title string, severity string, status string, impact_score double, impact_hours double, evidence string"
+
+
+def test_report_leaves_dismissed_findings_out(spark):
+    rows = [("p", "t", f"s{i:02}", f"title {i}", "high", "dismissed" if i < 10 else "open" if i % 2 else "resolved", 100.0 - i, 1.0, "{}") for i in range(24)]
+    one = spark.createDataFrame([(1, 2, 1, 3600.0)], "case_count long, event_count long, variant_count long, median_throughput_seconds double")
+    variants = spark.createDataFrame([], "variant_key string, sequence string, case_count long")
+    scores = spark.createDataFrame([], "activity string, approach string, score double, estimated_hours_per_month double, estimated_eur_per_month double")
+    payload = rollups.report_payload(one, variants, spark.createDataFrame(rows, FINDING), scores)
+    assert [f["subject"] for f in payload["findings"]] == [f"s{i:02}" for i in range(10, 20)]
+    assert "title 10" in (body := rollups.render_markdown("P", payload)) and "title 9 " not in body
+
+
+def test_workspace(spark):
+    late = "worsening_cycle_time"
+    rows = [
+        ("q", late, "trend", "slower by 50%", "high", "open", 3.0, 1.0, '{"subject":"trend","change_pct":0.5}'),
+        ("p", late, "trend", "slower by 25%", "high", "open", 2.0, 1.0, '{"subject":"trend","change_pct":0.25}'),
+        ("r", late, "trend", "slower by 90%", "high", "dismissed", 9.0, 1.0, '{"subject":"trend","change_pct":0.9}'),
+        ("p", "excessive_waiting", "a", "waits", "high", "open", 5.0, 1.0, "{}"),
+    ]
+    findings = spark.createDataFrame(rows, FINDING)
+    events = spark.createDataFrame([("p",)] * 3 + [("q",)] * 4, "process_id string")
+    cases = spark.createDataFrame([("p",), ("q",)], "process_id string")
+    scores = spark.createDataFrame([("a", "planned", 1.0, 2.0, 70.0), ("b", "done", 3.0, 4.0, 140.0)], "activity string, status string, score double, estimated_hours_per_month double, estimated_eur_per_month double")
+    r = rollups.workspace(events, cases, findings, scores).first()
+    assert (r.process_count, r.event_count, r.case_count, r.open_findings, r.top_finding, r.top_opportunity) == (2, 7, 2, 3, "a", "b")
+    assert [tuple(x) for x in r.worsening_processes] == [("p", "slower by 25%", 0.25), ("q", "slower by 50%", 0.5)]
+    assert (r.recoverable_hours, r.recoverable_eur) == (2.0, 70.0)
+    processes = spark.createDataFrame([("p",), ("q",), ("empty",)], "process_id string")
+    r = rollups.workspace(events.limit(0), cases, findings.limit(0), scores, processes).first()
+    assert (r.process_count, r.event_count, r.worsening_processes) == (3, 0, [])

@@ -216,6 +216,14 @@ def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.overview(log.cases(), _findings(log).all().withColumn("status", F.lit("open")), _with_status(spark, sf_dir))
 
 
+@query
+def workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overview with all that the home screen shows."""
+    log, process = _day(spark, sf_dir), F.lit("day").alias("process_id")
+    found = _findings(log).all().withColumn("status", F.lit("open")).withColumn("process_id", process)
+    return rollups.workspace(log.events.select(process), log.cases(), found, _with_status(spark, sf_dir))
+
+
 @query
 def process_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _day(spark, sf_dir)

@@ -41,6 +41,23 @@ def overview(cases: DataFrame, findings: DataFrame, opportunities: DataFrame) ->
     return c.crossJoin(F.broadcast(f)).crossJoin(F.broadcast(o))  # one row each
 
 
+def workspace(events: DataFrame, cases: DataFrame, findings: DataFrame, opportunities: DataFrame, processes: DataFrame | None = None) -> DataFrame:
+    """The overview with counts of processes and events, and the processes whose cycle times worsen.
+
+    processes: one row each; where it is missing, those that have events.
+    worsening_processes: the open findings of that kind, by process and subject.
+    """
+    p = (events.select("process_id").distinct() if processes is None else processes).agg(F.count("*").alias("process_count"))
+    e = events.agg(F.count("*").alias("event_count"))
+    change = F.get_json_object("evidence", "$.change_pct").cast("double").alias("change_pct")
+    late = findings.where("finding_type = 'worsening_cycle_time' AND status = 'open'").agg(F.sort_array(F.collect_list(F.struct("process_id", "subject", "title", change))).alias("list"))
+    late = late.select(F.transform("list", lambda x: x.dropFields("subject")).alias("worsening_processes"))
+    out = overview(cases, findings, opportunities)
+    for one in (p, e, late):
+        out = out.crossJoin(F.broadcast(one))
+    return out
+
+
 def report_totals(opportunities: DataFrame, top: int = 10) -> DataFrame:
     """What the best opportunities would save; the others do not count."""
     best = opportunities.orderBy(F.desc("score"), "activity").limit(top)
@@ -48,12 +65,12 @@ def report_totals(opportunities: DataFrame, top: int = 10) -> DataFrame:
 
 
 def report_payload(summary: DataFrame, variants: DataFrame, findings: DataFrame, opportunities: DataFrame) -> dict:
-    """What a report shows: a summary row and the top of three lists."""
+    """What a report shows: a summary row and the top of three lists, without findings that users dismissed."""
     rows = lambda df: [r.asDict(True) for r in df.collect()]
     return {
         "summary": rows(summary)[0],
         "variants": rows(variants.orderBy(F.desc("case_count"), "variant_key").limit(5)),
-        "findings": rows(findings.orderBy(F.desc("impact_score"), "subject").limit(10)),
+        "findings": rows(findings.where("status <> 'dismissed'").orderBy(F.desc("impact_score"), "subject").limit(10)),
         "opportunities": rows(opportunities.orderBy(F.desc("score"), "activity").limit(10)),
         "totals": rows(report_totals(opportunities))[0],
     }
