@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import Scratch, shared_dir  # noqa: F401
+
 #: Records in an Arrow batch. Long texts make batches large, so few rows a batch.
 BATCH_ROWS = 256
 #: Bytes of text that the numpy passes take at once (a longer text goes alone).
@@ -38,49 +38,19 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is named."""
-    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not got:
-        got = "file://" + tempfile.mkdtemp(prefix="tracemill-")
-        spark.sparkContext.setCheckpointDir(got)
-    return got.rstrip("/")
-
-
-class Scratch:
-    """Tables written once and read back, to cut lineage and share results."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/tracemill-{name}-{uuid.uuid4().hex}"
-        self.count = 0
-        self.kept: dict[int, tuple[DataFrame, str]] = {}
-
-    def path(self) -> str:
-        self.count += 1
-        return f"{self.root}/t{self.count}"
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write and reread; the table survives the loss of any executor."""
-        at = self.path()
-        df.write.option("compression", "zstd").parquet(at)
-        out = self.spark.read.schema(df.schema).parquet(at)
-        self.kept[id(out)] = (out, at)
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete kept tables that nothing reads any more."""
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.kept.pop(id(t))[1])
-            path.getFileSystem(conf).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     """Partitions for explicit repartitioning: what the session shuffles into."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of a table by its files, or by its texts where Spark knows no files."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < 1 << 60:
+        return known
+    return df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, whatever else the table holds (exact names)."""
     return df.select(*[F.col(f"`{n}`") for n in names])
@@ -289,24 +259,50 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], ["u", "v"])
 
 
+#: Keys of so many rows are hot, and at most so many of them are broadcast.
+HOT_ROWS, HOT_KEYS = 1_000, 2_000
+#: Tasks that the rows of a hot key are dealt over.
+SALTS = 1_024
+
+
+def join_spread(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, salt: Column) -> DataFrame:
+    """rows left-joined to keyed, which has one row per key, with no key's rows in one task.
+
+    count: the number of rows of each key. The HOT_KEYS keys of most rows are
+    broadcast, and their rows are dealt by `salt` as well; any other key holds
+    less than one in HOT_KEYS of all rows. The columns of keyed follow those of rows.
+    """
+    values = [c for c in keyed.columns if c not in (*keys, count)]
+    name = lambda c: F.col(f"`{c}`")
+    hot = keyed.where(name(count) >= HOT_ROWS).orderBy(name(count).desc(), *map(name, keys)).limit(HOT_KEYS)
+    hot = hot.select(*map(name, keys), F.struct(*map(name, values)).alias("hot_row"))
+    marked = rows.join(F.broadcast(hot), keys, "left").withColumn("hot_salt", F.when(F.col("hot_row").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(salt), F.lit(SALTS))).cast("long"))
+    cold = keyed.select(*map(name, keys), F.lit(0).cast("long").alias("hot_salt"), F.struct(*map(name, values)).alias("cold_row"))
+    both = marked.join(cold, [*keys, "hot_salt"], "left").withColumn("found_row", F.coalesce("hot_row", "cold_row"))
+    return both.select(*map(name, rows.columns), *[F.col("found_row")[v].alias(v) for v in values])
+
+
+def _least(edges: DataFrame, with_self: bool) -> DataFrame:
+    """(u, m, k): the least neighbour of each node (or itself), and its number of edges."""
+    least = F.least(F.min("v"), F.first("u")) if with_self else F.min("v")
+    return edges.groupBy("u").agg(least.alias("m"), F.count("*").alias("k"))
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of edges(a, b); the smallest id names it.
 
     Alternates the large-star and small-star steps. Each is a minimum for a
-    node, combined before the shuffle, and a join, so that a node with very
-    many neighbours is never gathered in one task.
+    node, combined before the shuffle, and a join that spreads the edges of a
+    node which has very many.
     """
-    spark = scratch.spark
     e = edges.toDF("u", "v").where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = scratch.keep(map_batches(e, _local_stars, "u long, v long").distinct())
     before = None
     while True:
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = join_spread(both, _least(both, True), ["u"], "k", F.col("v")).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = (
-            large.join(low, "u")
+            join_spread(large, _least(large, False), ["u"], "k", F.col("v"))
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
@@ -326,9 +322,23 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 # ------------------------------------------------- records dealt as columns
 
 
-def bucket_count(spark: SparkSession) -> int:
-    """Buckets for records dealt by hash: a power of two over twice the partitions."""
-    return 1 << (2 * partitions(spark) - 1).bit_length()
+#: Bytes of input that a bucket of dealt records stands for, and buckets of a partition.
+BUCKET_BYTES, BUCKETS_EACH = 48 << 20, 16
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Buckets for records dealt by hash: a power of two over twice the partitions.
+
+    A task holds one bucket at a time, so there are more where the input is large.
+    """
+    least = max(2 * partitions(df.sparkSession), -(-input_bytes(df) // BUCKET_BYTES))
+    return 1 << (least - 1).bit_length()
+
+
+def by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
+    """Dealt rows of a bucket together, in the order of buckets within each partition."""
+    n = max(partitions(rows.sparkSession), buckets // BUCKETS_EACH)
+    return rows.repartition(n, "bucket").sortWithinPartitions("bucket")
 
 
 def narrowed(x: np.ndarray) -> np.ndarray:
@@ -336,10 +346,12 @@ def narrowed(x: np.ndarray) -> np.ndarray:
     return x.astype("<u2" if not len(x) or x.max() < 1 << 16 else "<u4")
 
 
-def deal(bucket: np.ndarray, ids: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch | None:
+def deal(bucket: np.ndarray, ids: np.ndarray, *columns: np.ndarray, tag: np.ndarray | None = None) -> pa.RecordBatch | None:
     """A row per bucket that has records: runs of equal ids, and raw columns.
 
     Rows of many records each cost a shuffle far less than a row per record.
+    tag: what tells apart records of equal id; a last column has that of each
+    run, or nothing where all of a row are 0.
     """
     if not len(bucket):
         return None
@@ -347,18 +359,34 @@ def deal(bucket: np.ndarray, ids: np.ndarray, *columns: np.ndarray) -> pa.Record
     b, ids = bucket[order], ids[order]
     columns = tuple(c[order] for c in columns)
     cuts = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1, [len(b)]])
-    runs = np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]) | (b[1:] != b[:-1])) + 1, [len(b)]])
+    fresh = (ids[1:] != ids[:-1]) | (b[1:] != b[:-1])
+    if tag is not None:
+        tag = tag[order]
+        fresh |= tag[1:] != tag[:-1]
+    runs = np.concatenate([[0], np.flatnonzero(fresh) + 1, [len(b)]])
     at = np.searchsorted(runs, cuts)
     heads, counts = ids[runs[:-1]], np.diff(runs).astype("<u4")
     pieces = list(zip(at[:-1].tolist(), at[1:].tolist()))
     spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
     arrays = [pa.array(b[cuts[:-1]].astype(np.int64)), pa.array([heads[i:j].tobytes() for i, j in pieces], pa.binary()), pa.array([counts[i:j].tobytes() for i, j in pieces], pa.binary())]
     arrays += [pa.array([narrowed(c[i:j]).tobytes() if c.dtype == np.int64 else c[i:j].tobytes() for i, j in spans], pa.binary()) for c in columns]
-    return pa.RecordBatch.from_arrays(arrays, ["bucket", "ids", "counts", *[f"c{i}" for i in range(len(columns))]])
+    names = ["bucket", "ids", "counts", *[f"c{i}" for i in range(len(columns))]]
+    if tag is not None:
+        tags = tag[runs[:-1]]
+        arrays.append(pa.array([tags[i:j].tobytes() if tags[i:j].any() else b"" for i, j in pieces], pa.binary()))
+        names.append("tags")
+    return pa.RecordBatch.from_arrays(arrays, names)
 
 
-def dealt_schema(columns: int) -> str:
-    return ", ".join(["bucket long", "ids binary", "counts binary", *[f"c{i} binary" for i in range(columns)]])
+def dealt_schema(columns: int, tags: bool = False) -> str:
+    return ", ".join(["bucket long", "ids binary", "counts binary", *[f"c{i} binary" for i in range(columns)], *(["tags binary"] if tags else [])])
+
+
+def gather_tags(table: pa.Table) -> np.ndarray:
+    """The tag of each record of dealt rows."""
+    counts = [np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]
+    tags = [np.repeat(np.frombuffer(t, np.int64), c) if t else np.zeros(int(c.sum()), np.int64) for t, c in zip(table.column("tags").to_pylist(), counts)]
+    return np.concatenate([*tags, np.zeros(0, np.int64)])
 
 
 def gather(table: pa.Table, dtypes: list[str]) -> tuple[np.ndarray, ...]:
@@ -375,10 +403,19 @@ def gather(table: pa.Table, dtypes: list[str]) -> tuple[np.ndarray, ...]:
     return tuple(out)
 
 
-def per_id(ids: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(id, values) rows: the values of each id as unsigned 32-bit integers."""
-    if len(ids):
-        order = np.argsort(ids, kind="stable")
-        ids, raw = ids[order], values[order].astype("<u4")
-        cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]]).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[:-1]]), pa.array([raw[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], ["id", "found"])
+def per_id(ids: np.ndarray, values: np.ndarray, tags: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """(id, found) rows, with a tag where ids have them: the values of each id as unsigned 32-bit integers."""
+    if not len(ids):
+        return
+    order = np.argsort(ids, kind="stable") if tags is None else np.lexsort((tags, ids))
+    ids, raw = ids[order], values[order].astype("<u4")
+    fresh = ids[1:] != ids[:-1]
+    if tags is not None:
+        tags = tags[order]
+        fresh |= tags[1:] != tags[:-1]
+    cuts = np.concatenate([[0], np.flatnonzero(fresh) + 1, [len(ids)]]).tolist()
+    found = pa.array([raw[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())
+    if tags is None:
+        yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[:-1]]), found], ["id", "found"])
+    else:
+        yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[:-1]]), found, pa.array(tags[cuts[:-1]])], ["id", "found", "tag"])

@@ -12,15 +12,18 @@ the anchor there is within both, since PERIOD - 1 + ANCHOR = WINDOW. So:
 Before either shuffle a task settles what its own documents share, and sends
 one record for all of them, so a passage of very many documents is no hot key.
 
+Rows are told apart by doc_id and, where an id has several texts, by a hash of
+the text that goes with its windows as a tag (0 for all other rows).
+
 Defined results: words are those of the whole text, null text has none; rows
 with a null doc_id keep all words and take none from others; rows with equal
-doc_id do not take words from each other; a text without words has the digest
-of the empty string; other columns are ignored.
+doc_id do not take words from each other, and each loses what its own text
+shares with smaller ids; a text without words has the digest of the empty
+string; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (
-    map_batches, U64, Words, blocks, bucket_count, deal, dealt_schema, gather, groups, long_column, only, partitions, per_id, second, tune, windows,
+    map_batches, U64, Words, blocks, bucket_count, by_bucket, deal, dealt_schema, gather, gather_tags, groups, long_column, only, per_id, second, tune, windows,
 )
 
 WINDOW = 13
@@ -99,13 +102,13 @@ class _Held:
         self.parts, self.count = [], 0
 
 
-def _passing(ids: np.ndarray, values: np.ndarray, buckets: int, width: int) -> Iterator[pa.RecordBatch]:
+def _passing(ids: np.ndarray, values: np.ndarray, buckets: int, width: int, tag: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Settled records as dealt rows that a reducer hands on: their bucket is negative."""
-    batch = deal(-1 - ids % buckets, ids, values.astype(np.int64))
+    batch = deal(-1 - ids % buckets, ids, values.astype(np.int64), tag=tag)
     if batch is not None:
         empty = pa.array([b""] * batch.num_rows, pa.binary())
-        columns = [*batch.columns[:3], *[empty] * (width - 1), batch.column("c0")]
-        yield pa.RecordBatch.from_arrays(columns, ["bucket", "ids", "counts", *[f"c{i}" for i in range(width)]])
+        columns = [*batch.columns[:3], *[empty] * (width - 1), *batch.columns[3:]]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "ids", "counts", *[f"c{i}" for i in range(width)], *batch.schema.names[4:]])
 
 
 def _documents(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Words, int]]:
@@ -115,9 +118,11 @@ def _documents(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Words, int]]
         yield ids[lo:hi], Words(data, offsets), lo
 
 
-def candidate_anchors(docs: DataFrame) -> DataFrame:
-    """(id, found): word positions of anchors that another document has too."""
-    buckets = bucket_count(docs.sparkSession)
+def candidate_anchors(docs: DataFrame, buckets: int) -> DataFrame:
+    """(id, found): word positions of anchors that another document has too.
+
+    Of an id with several texts, these are the positions of all of them.
+    """
     shift = U64(64 - buckets.bit_length() + 1)
 
     def settle(h: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -148,30 +153,25 @@ def candidate_anchors(docs: DataFrame) -> DataFrame:
         shared, _ = shared_anchors(h, ids)
         return ids[shared], pos[shared]
 
-    return _met(map_batches(docs, send, dealt_schema(2)), meet)
+    return _met(map_batches(docs, send, dealt_schema(2)), meet, buckets)
 
 
-def _met(rows: DataFrame, meet: Callable) -> DataFrame:
-    """(id, found), a row per document, of the records that `meet` finds in each bucket."""
-    spark = rows.sparkSession
-    buckets = bucket_count(spark)
+def _met(rows: DataFrame, meet: Callable, buckets: int, tags: bool = False) -> DataFrame:
+    """(id, found), a row per document, of the records that `meet` finds in each bucket; with tags, (id, found, tag)."""
 
     def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "bucket"):
-            ids, pos = meet(table)
-            batch = deal(ids % buckets, ids, pos)
+            ids, pos, *tag = meet(table)
+            batch = deal(ids % buckets, ids, pos, tag=tag[0] if tags else None)
             if batch is not None:
                 yield batch
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "bucket"):
-            yield from per_id(*gather(table, ["pos"]))
-
-    def together(df: DataFrame) -> DataFrame:
-        return df.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+            yield from per_id(*gather(table, ["pos"]), *([gather_tags(table)] if tags else []))
 
-    parts = map_batches(together(rows), by_document, dealt_schema(1))
-    return map_batches(together(parts), whole, "id long, found binary")
+    parts = map_batches(by_bucket(rows, buckets), by_document, dealt_schema(1, tags))
+    return map_batches(by_bucket(parts, buckets), whole, "id long, found binary" + (", tag long" if tags else ""))
 
 
 def _settled(table: pa.Table, column: str) -> tuple[np.ndarray, ...]:
@@ -180,45 +180,48 @@ def _settled(table: pa.Table, column: str) -> tuple[np.ndarray, ...]:
 
 
 def covered_windows(candidates: DataFrame, buckets: int) -> DataFrame:
-    """(id, found): starts of windows that a document with a smaller id has.
+    """(id, found, tag): starts of windows that a document with a smaller id has.
 
-    candidates: (doc_id, text, anchors).
+    candidates: (doc_id, text, anchors, tag).
     """
     shift = U64(64 - buckets.bit_length() + 1)
 
-    def settle(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def settle(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, pos: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
         later = later_windows(h1, h2, ids)
-        batch = deal((h1[~later] >> shift).astype(np.int64), ids[~later], h1[~later], h2[~later], pos[~later])
+        now = ~later
+        batch = deal((h1[now] >> shift).astype(np.int64), ids[now], h1[now], h2[now], pos[now], tag=tag[now])
         if batch is not None:
             yield batch
-        yield from _passing(ids[later], pos[later], buckets, 3)
+        yield from _passing(ids[later], pos[later], buckets, 3, tag[later])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held(settle)
         for batch in batches:
-            anchors = batch.column(2).to_pylist()
+            anchors, tags = batch.column(2).to_pylist(), long_column(batch.column(3))
             for ids, w, lo in _documents(batch):
                 h = w.hashes()
                 h1, h2 = windows(h, WINDOW), windows(second(h), WINDOW).astype(np.uint32)
-                found = [np.frombuffer(a, "<u4").astype(np.int64) + f for a, f in zip(anchors[lo : lo + len(ids)], w.first)]
                 mark = np.zeros(len(w.start) + 1, bool)
-                for q in found:
+                for a, first, end in zip(anchors[lo : lo + len(ids)], w.first, w.first[1:]):
+                    q = np.frombuffer(a, "<u4").astype(np.int64) + first
+                    q = q[q < end]  # another text of this id may be longer
                     for back in range(PERIOD):
                         mark[np.maximum(q - back, 0)] = True
                 at = starts_within(w, WINDOW)
                 at = at[mark[at]]
                 if len(at):
-                    yield from held.add(h1[at], h2[at], ids[w.doc[at]], at - w.first[w.doc[at]])
+                    doc = w.doc[at]
+                    yield from held.add(h1[at], h2[at], ids[doc], at - w.first[doc], tags[lo : lo + len(ids)][doc])
         yield from held.flush()
 
     def meet(table: pa.Table) -> tuple[np.ndarray, ...]:
         if table.column("bucket")[0].as_py() < 0:
-            return _settled(table, "c2")
+            return *_settled(table, "c2"), gather_tags(table)
         ids, h1, h2, pos = gather(table, ["<u8", "<u4", "pos"])
         later = later_windows(h1, h2, ids)
-        return ids[later], pos[later]
+        return ids[later], pos[later], gather_tags(table)[later]
 
-    return _met(map_batches(candidates, send, dealt_schema(3)), meet)
+    return _met(map_batches(candidates, send, dealt_schema(3, True)), meet, buckets, True)
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept binary"
@@ -228,11 +231,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the words kept, joined by spaces, in UTF-8."""
     d = only(docs, "doc_id", "text")
     known = d.where("doc_id IS NOT NULL")
-    by_doc = lambda found, name: found.select(F.col("id").alias("doc_id"), F.col("found").alias(name))
+    buckets = bucket_count(d)
+    mark = F.xxhash64("text").bitwiseOR(F.lit(1))
+    several = known.groupBy("doc_id").agg((F.min(mark) != F.max(mark)).alias("several")).where("several")
+    anchors = candidate_anchors(known, buckets).select(F.col("id").alias("doc_id"), F.col("found").alias("anchors")).join(several, "doc_id", "left")
     # Both joins shuffle the same rows by the same key, so Spark does it once.
-    candidates = known.join(by_doc(candidate_anchors(known), "anchors"), "doc_id").select("doc_id", "text", "anchors")
-    covered = by_doc(covered_windows(candidates, bucket_count(docs.sparkSession)), "covered")
-    rows = known.join(covered, "doc_id", "left").select("doc_id", "text", "covered")
+    candidates = known.join(anchors, "doc_id").select("doc_id", "text", "anchors", F.when(F.col("several"), mark).otherwise(0).cast("long").alias("tag"))
+    covered = covered_windows(candidates, buckets).select(F.col("id").alias("of"), F.col("found").alias("covered"), "tag")
+    mine = (F.col("doc_id") == F.col("of")) & ((F.col("tag") == 0) | (F.col("tag") == mark))
+    rows = known.join(covered, mine, "left").select("doc_id", "text", "covered")
     rows = rows.union(d.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("binary")))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
