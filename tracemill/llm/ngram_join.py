@@ -10,27 +10,34 @@ short inverted lists; what follows is probed.
    again, once for each distinct list, with the bitmaps. The distance of two bitmaps
    bounds the difference of two sets from below, so a pair that it refutes is
    no link. What is left joins sets into families.
-3. Within a family, T-occurrence search finds the links: short lists are merged
-   and counted, long lists are probed by binary search for the candidates that
-   reached the rest. Sets that are in one component already are not compared.
+3. Within a family, T-occurrence search finds the links: the short lists of a
+   set are merged by a heap, which counts their members; the long lists are
+   probed by binary search for the candidates that can still reach the overlap
+   that they need. Sets that are in one component already are not compared.
+   A family of more than BLOCK sets is dealt into blocks: each set once, then the
+   first set of each component that the blocks found, and at last the sets
+   outside the family's largest component against all of it.
+
+Sets are known by their digest, rows by doc_id and a hash of the text.
 
 Defined results: a text of fewer words than n is one shingle, its whole
 sequence; null text, or text without words, has an empty set and links with
 nothing; a null doc_id links with nothing and has a null component_id; rows
-with equal doc_id count once each; other columns are ignored.
+with equal doc_id count once each, by their own text; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (
-    map_batches, U64, Scratch, Words, blocks, bucket_count, by_task, components, deal, gather, groups, in_blocks, long_column, mix, only, partitions, second, tune, union_find, windows,
+    map_batches, U64, Scratch, Words, blocks, bucket_count, by_bucket, by_task, components, deal, gather, groups, join_spread, long_column, mix, only, second, tune, union_find, windows,
 )
 
 N = 5
@@ -43,6 +50,8 @@ COUNTED, REPORTED = 2_000_000, 3
 BLOCK = 1024
 #: Lists of up to so many sets are compared all at once.
 SHORT_LIST = 32
+#: Digests that a task remembers at a time, so as not to send the sets of copies again.
+REMEMBERED = 500_000
 
 
 def needed(total: np.ndarray) -> np.ndarray:
@@ -51,27 +60,16 @@ def needed(total: np.ndarray) -> np.ndarray:
 
 
 class Sets:
-    """Distinct shingle hashes of each text of a block: sorted, with edges by text."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, n: int = N) -> None:
-        w = Words(data, offsets, lower=True)
-        h = w.hashes()
-        count = np.diff(w.first)
-        left = np.repeat(w.first[1:], count) - np.arange(len(w.start))
-        at = np.flatnonzero(left >= n)
-        doc, key = [w.doc[at]], [windows(h, n)[at]]
-        for k in range(1, n):  # texts of fewer words
-            few = np.flatnonzero(count == k)
-            doc.append(few)
-            key.append(windows(h, k)[w.first[few]] if len(few) else np.zeros(0, U64))
-        d, s = np.concatenate(doc), np.concatenate(key)
-        order = np.argsort(s, kind="stable")
-        order = order[np.argsort(d[order], kind="stable")]
-        d, s = d[order], s[order]
+    """Sorted distinct hashes of each of some texts, with edges by text."""
+
+    def __init__(self, doc: np.ndarray, h: np.ndarray, count: int) -> None:
+        order = np.argsort(h, kind="stable")
+        order = order[np.argsort(doc[order], kind="stable")]
+        d, s = doc[order], h[order]
         fresh = np.ones(len(s), bool)
         fresh[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1])
         self.doc, self.h = d[fresh], s[fresh]
-        self.edge = np.searchsorted(self.doc, np.arange(len(offsets)))
+        self.edge = np.searchsorted(self.doc, np.arange(count + 1))
         self.size = np.diff(self.edge)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
@@ -83,6 +81,25 @@ class Sets:
         return self.sums(mix(self.h)).view(np.int64), self.sums(second(self.h)).view(np.int64)
 
 
+def shingles(data: np.ndarray, offsets: np.ndarray, n: int = N) -> Sets:
+    """Sets of the word n-grams of each text of a block."""
+    w = Words(data, offsets, lower=True)
+    h = w.hashes()
+    count = np.diff(w.first)
+    left = np.repeat(w.first[1:], count) - np.arange(len(w.start))
+    at = np.flatnonzero(left >= n)
+    doc, key = [w.doc[at]], [windows(h, n)[at]]
+    for k in range(1, n):  # texts of fewer words
+        few = np.flatnonzero(count == k)
+        doc.append(few)
+        key.append(windows(h, k)[w.first[few]] if len(few) else np.zeros(0, U64))
+    return Sets(np.concatenate(doc), np.concatenate(key), len(offsets) - 1)
+
+
+#: Makes the sets of a block of texts.
+Make = Callable[[np.ndarray, np.ndarray], Sets]
+
+
 def bitmap(h: np.ndarray) -> bytes:
     """Parities of the shingles by position: a power of two of 64-bit words."""
     bits = 64
@@ -92,26 +109,26 @@ def bitmap(h: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
-def profiles(docs: DataFrame) -> DataFrame:
-    """Sizes, digests and bitmaps of documents; partial counts of shingles."""
+def profiles(docs: DataFrame, make: Make) -> DataFrame:
+    """Sizes, digests and bitmaps of rows (doc_id, text, row); partial counts of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "h1", "h2", "bits", "seen"]
+        names = ["doc_id", "row", "n", "h1", "h2", "bits", "seen"]
         held: list[np.ndarray] = []
 
         def counts() -> pa.RecordBatch:
             value, seen = np.unique(np.concatenate(held), return_counts=True)
             value, seen = value[seen >= REPORTED], seen[seen >= REPORTED]
             none = pa.nulls(len(value), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, pa.array(value.view(np.int64)), none, pa.nulls(len(value), pa.binary()), pa.array(seen)], names)
+            return pa.RecordBatch.from_arrays([none, none, none, pa.array(value.view(np.int64)), none, pa.nulls(len(value), pa.binary()), pa.array(seen)], names)
 
         for batch in batches:
-            ids = batch.column(0)
+            ids, row = batch.column(0), batch.column(2)
             for lo, hi, data, offsets in blocks(batch.column(1)):
-                s = Sets(data, offsets)
+                s = make(data, offsets)
                 h1, h2 = s.digests()
                 bits = [bitmap(s.h[a:b]) for a, b in zip(s.edge, s.edge[1:])]
-                columns = [ids.slice(lo, hi - lo), pa.array(s.size.astype(np.int64)), pa.array(h1), pa.array(h2), pa.array(bits, pa.binary()), pa.nulls(hi - lo, pa.int64())]
+                columns = [ids.slice(lo, hi - lo), row.slice(lo, hi - lo), pa.array(s.size.astype(np.int64)), pa.array(h1), pa.array(h2), pa.array(bits, pa.binary()), pa.nulls(hi - lo, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names)
                 held.append(s.h)
                 if sum(map(len, held)) >= COUNTED:
@@ -120,7 +137,7 @@ def profiles(docs: DataFrame) -> DataFrame:
         if held:
             yield counts()
 
-    return map_batches(docs, run, "doc_id long, n long, h1 long, h2 long, bits binary, seen long")
+    return map_batches(docs, run, "doc_id long, row long, n long, h1 long, h2 long, bits binary, seen long")
 
 
 def frequent_shingles(profile: DataFrame) -> np.ndarray:
@@ -206,33 +223,37 @@ def _per_record(table: pa.Table, name: str) -> np.ndarray:
     return np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in table.column(name).to_pylist()]), counts)
 
 
-def shared_prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(id, tokens): names of the lists of sets that share a shingle of their prefixes."""
-    buckets = bucket_count(docs.sparkSession)
+def shared_prefixes(docs: DataFrame, frequent: np.ndarray, make: Make, buckets: int) -> DataFrame:
+    """(id, tokens): names of the lists of sets, by digest, that share a shingle of their prefixes."""
     known = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT hashes
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            ids = long_column(batch.column(0))
-            for lo, hi, data, offsets in blocks(batch.column(1)):
-                s = Sets(data, offsets)
+            for lo, hi, data, offsets in blocks(batch.column(0)):
+                s = make(data, offsets)
+                h1, h2 = s.digests()
                 fresh = np.zeros(hi - lo, bool)
-                for i, pair in enumerate(zip(*(h.tolist() for h in s.digests()))):
+                for i, pair in enumerate(zip(h1.tolist(), h2.tolist())):
                     fresh[i] = pair not in seen
                     seen.add(pair)
+                if len(seen) > REMEMBERED:  # what is sent twice counts once
+                    seen.clear()
                 use, place = prefixes(s, known.value)
                 use &= fresh[s.doc]
                 out = deal(_buckets(s.h[use], buckets), s.doc[use], s.h[use], place[use])
                 if out is not None:
-                    yield _with_heads(out, ids[lo:hi], s.size)
+                    yield _with_heads(out, h1, s.size)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "bucket"):
             ids, h, place = gather(table, ["<u8", "pos"])
             size = _per_record(table, "sizes")
-            order = np.lexsort((size, h))
-            use = order[has_partner(h[order], ids[order], size[order], place[order])]
+            order = np.lexsort((ids, size, h))
+            ids, h, place, size = ids[order], h[order], place[order], size[order]
+            once = np.concatenate([[True], (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])])
+            ids, h, place, size = ids[once], h[once], place[once], size[once]
+            use = has_partner(h, ids, size, place)
             ids, meeting = ids[use], meetings(h[use], ids[use])
             if len(ids):
                 order = np.lexsort((meeting, ids))
@@ -242,9 +263,8 @@ def shared_prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]]).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[:-1]]), pa.array([meeting[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], ["id", "tokens"])
 
-    rows = map_batches(docs, send, "bucket long, ids binary, counts binary, c0 binary, c1 binary, sizes binary")
-    rows = rows.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return map_batches(rows, meet, "id long, tokens binary")
+    rows = map_batches(docs.select("text"), send, "bucket long, ids binary, counts binary, c0 binary, c1 binary, sizes binary")
+    return map_batches(by_bucket(rows, buckets), meet, "id long, tokens binary")
 
 
 class Bitmaps:
@@ -320,14 +340,13 @@ def family_edges(token: np.ndarray, member: np.ndarray, maps: Bitmaps) -> np.nda
     return root
 
 
-def families(shared: DataFrame, members: DataFrame) -> DataFrame:
+def families(shared: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
     """Edges (a, b) that join sets which share prefix shingles and may link.
 
-    members: (doc_id, rep, n, bits).
+    sets: (h1, n, bits), one row per set.
     """
-    buckets = bucket_count(shared.sparkSession)
-    tokens = shared.groupBy(F.col("id").alias("doc_id")).agg(F.collect_list("tokens").alias("tokens"))
-    rows = tokens.join(members.select("doc_id", "rep", "n", "bits"), "doc_id").select("rep", "n", "bits", "tokens")
+    tokens = shared.groupBy(F.col("id").alias("h1")).agg(F.collect_list("tokens").alias("tokens"))
+    rows = tokens.join(sets.select("h1", "n", "bits"), "h1").select("h1", "n", "bits", "tokens")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,8 +376,7 @@ def families(shared: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(reps[far]), pa.array(reps[root[far]])], ["a", "b"])
 
     dealt = map_batches(rows, send, "bucket long, ids binary, counts binary, c0 binary, sizes binary, bits binary")
-    dealt = dealt.repartition(partitions(shared.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return map_batches(dealt, meet, "a long, b long")
+    return map_batches(by_bucket(dealt, buckets), meet, "a long, b long")
 
 
 class Lists:
@@ -374,6 +392,10 @@ class Lists:
         self.length = np.diff(np.concatenate([self.first, [len(h)]]))
         self.list_of = np.searchsorted(self.values, h)
 
+    def members(self, k: int) -> np.ndarray:
+        """The sets of list k, in order."""
+        return self.docs[self.first[k] : self.first[k] + self.length[k]]
+
     def search(self, q: int) -> np.ndarray:
         """Sets that link with set q."""
         own = self.list_of[self.edge[q] : self.edge[q + 1]]
@@ -387,18 +409,52 @@ class Lists:
         # DivideSkip's number of long lists.
         long = min(least - 1, int(least / (0.01 * np.log2(max(2, self.length[by_length[-1]])) + 1)))
         short, probed = by_length[: len(own) - long], by_length[len(own) - long :]
-        # The lists are merged by counting their members.
-        spans = self.length[short]
-        at = np.repeat(self.first[short] - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
-        count = np.bincount(self.docs[at], minlength=self.n)
-        found = np.flatnonzero(fits & (count >= need - long) & (count > 0))
-        probes = np.sort(self.values[probed])
-        out = []
-        for y in found.tolist():
-            mine = self.sets[self.edge[y] : self.edge[y + 1]]
-            if count[y] + int(_is_in(mine, probes).sum()) >= need[y]:
-                out.append(y)
-        return np.array(out, int)
+        found, count = [], []
+        for y, c in _merged([self.members(k).tolist() for k in short.tolist()]):
+            if fits[y] and c + long >= need[y]:
+                found.append(y)
+                count.append(c)
+        found, count = np.array(found, int), np.array(count, int)
+        for left, k in zip(range(long, 0, -1), probed.tolist()):
+            if left % 16 == 0:
+                able = count + left >= need[found]
+                found, count = found[able], count[able]
+            if not len(found):
+                break
+            count += _is_in(self.members(k), found)
+        return found[count >= need[found]]
+
+
+def _merged(lists: list[list[int]]) -> Iterator[tuple[int, int]]:
+    """(member, number of lists that have it) of sorted lists, merged by a heap."""
+    now, count = -1, 0
+    for y in heapq.merge(*lists):
+        if y != now:
+            if count:
+                yield now, count
+            now, count = y, 0
+        count += 1
+    if count:
+        yield now, count
+
+
+class Forest:
+    """Components of a family's sets as links are found, and a link for each join."""
+
+    def __init__(self, lists: Lists) -> None:
+        self.lists = lists
+        self.root = np.arange(lists.n)
+        self.edges: list[tuple[int, int]] = []
+
+    def ask(self, q: int) -> None:
+        """Find the links of set q with sets that are not in its component."""
+        root = self.root
+        near = self.lists.search(q)
+        near = near[root[near] != root[q]]
+        for r in np.unique(root[near]).tolist():
+            if r != root[q]:
+                self.edges.append((q, int(near[root[near] == r][0])))
+                root[root == r] = root[q]
 
 
 def link_forest(lists: Lists) -> list[tuple[int, int]]:
@@ -407,63 +463,145 @@ def link_forest(lists: Lists) -> list[tuple[int, int]]:
     Of two components one is not the largest, so only sets outside the largest
     need to search.
     """
-    root = np.arange(lists.n)
+    forest = Forest(lists)
     asked = np.zeros(lists.n, bool)
-    edges = []
     q = 0
     while True:
         asked[q] = True
-        near = lists.search(q)
-        near = near[root[near] != root[q]]
-        for r in np.unique(root[near]).tolist():
-            if r != root[q]:
-                edges.append((q, int(near[root[near] == r][0])))
-                root[root == r] = root[q]
-        size = np.bincount(root, minlength=lists.n)
-        rest = np.flatnonzero(~asked & (root != size.argmax()))
+        forest.ask(q)
+        size = np.bincount(forest.root, minlength=lists.n)
+        rest = np.flatnonzero(~asked & (forest.root != size.argmax()))
         if not len(rest):
-            return edges
+            return forest.edges
         q = int(rest[0])
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """Links (a, b) among the texts of each task; rows: (task, doc_id, text)."""
+def links(rows: DataFrame, make: Make, index: type) -> DataFrame:
+    """Links (a, b) among the sets of each task; rows: (task, node, text, asks).
+
+    Where some rows ask and others do not, only those that ask search.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "task"):
-            ids = long_column(table.column("doc_id").combine_chunks())
+            ids = long_column(table.column("node").combine_chunks())
+            asks = np.array(table.column("asks").to_pylist(), bool)
             h, sizes = [], []
             for _, _, data, offsets in blocks(table.column("text")):
-                s = Sets(data, offsets)
+                s = make(data, offsets)
                 h.append(s.h)
                 sizes.append(s.size)
             sizes = np.concatenate(sizes)
-            edges = link_forest(Lists(np.concatenate(h), np.repeat(np.arange(len(ids)), sizes), sizes))
+            lists = index(np.concatenate(h), np.repeat(np.arange(len(ids)), sizes), sizes)
+            if asks.all():
+                edges = link_forest(lists)
+            else:
+                forest = Forest(lists)
+                for q in np.flatnonzero(asks).tolist():
+                    forest.ask(q)
+                edges = forest.edges
             if edges:
                 a, b = np.array(edges).T
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
-    return map_batches(by_task(rows), run, "a long, b long")
+    return map_batches(by_task(rows.select("task", "node", "text", "asks")), run, "a long, b long")
+
+
+def _dealt(size: Column, seed: int) -> tuple[Column, Column]:
+    """(number of blocks of so many sets, the block of a node)."""
+    n = F.greatest(F.ceil(size / BLOCK), F.lit(0)).cast("long")
+    return n, F.pmod(F.xxhash64(F.lit(seed), F.col("node")), F.greatest(n, F.lit(1)))
 
 
-def classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
-    d = only(docs, "doc_id", "text")
-    profile = scratch.keep(profiles(d))
+def connect(texts: DataFrame, family: DataFrame, scratch: Scratch, make: Make, index: type) -> DataFrame:
+    """Links (a, b) that connect what links within families connect.
+
+    texts: (node, family, size, text); family: the same without texts.
+    """
+    yes = F.lit(True).alias("asks")
+    first = links(texts.select(F.xxhash64("family", _dealt(F.col("size"), 17)[1]).alias("task"), "node", "text", yes), make, index)
+    large = F.col("size") > BLOCK
+    if family.where(large).isEmpty():
+        return first
+    texts, first = scratch.keep(texts.where(large)), scratch.keep(first)
+    family = texts.select("node", "family", "size")
+
+    def rooted(edges: DataFrame) -> DataFrame:
+        found = components(edges, scratch).withColumnRenamed("component", "root")
+        return family.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    # The first of each component that a block found stands for it.
+    heads = scratch.keep(rooted(first).where("root = node").select("node", "family"))
+    counts = heads.groupBy("family").agg(F.count("*").alias("heads"))
+    heads = texts.join(heads.join(counts, "family").select("node", "heads"), "node")
+    second = scratch.keep(links(heads.select(F.xxhash64("family", _dealt(F.col("heads"), 19)[1]).alias("task"), "node", "text", yes), make, index))
+    # What no block has found has an end outside the largest component.
+    placed = scratch.keep(rooted(first.union(second)).select("node", "family", "root"))
+    sizes = placed.groupBy("family", "root").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("family").agg(F.max_by("root", F.struct("k", "root")).alias("main"), (F.sum("k") - F.max("k")).alias("askers"), F.sum("k").alias("k")).where("askers > 0")
+    main = scratch.keep(main)
+    askers = join_spread(placed, main, ["family"], "k", F.col("node")).where("root <> main").select("node")
+    rows = join_spread(texts, main, ["family"], "k", F.col("node")).where("main IS NOT NULL")
+    own, ask = _dealt(F.col("size"), 17), _dealt(F.col("askers"), 23)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other")
+    sets = rows.select("node", "family", "text", own[1].alias("mine"), each(ask[0])).select(F.xxhash64("family", "other", "mine").alias("task"), "node", "text", F.lit(False).alias("asks"))
+    asked = rows.join(askers, "node").select("node", "family", "text", ask[1].alias("mine"), each(own[0])).select(F.xxhash64("family", "mine", "other").alias("task"), "node", "text", yes)
+    return first.union(second).union(links(sets.union(asked), make, index))
+
+
+def classes(docs: DataFrame, scratch: Scratch, by_row: bool = False, make: Make = shingles, index: type = Lists) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document; by_row: with a hash of the text, `row`."""
+    d = only(docs, "doc_id", "text").withColumn("row", F.xxhash64("text"))
+    buckets = bucket_count(d)
+    profile = scratch.keep(profiles(d, make))
     frequent = frequent_shingles(profile)
     mine = profile.where("seen IS NULL").drop("seen")
-    same = mine.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    members = scratch.keep(mine.where("n > 0 AND doc_id IS NOT NULL").join(same, ["n", "h1", "h2"]).select("doc_id", "rep", "n", "bits"))
+    full = mine.where("n > 0 AND doc_id IS NOT NULL")
+    first = F.struct("doc_id", "row")
+    sets = scratch.keep(full.groupBy("n", "h1", "h2").agg(F.min(first).alias("first"), F.min_by("bits", first).alias("bits"), F.count("*").alias("copies")))
     known = d.where("doc_id IS NOT NULL")
-    family = components(families(shared_prefixes(known, frequent), members), scratch)
-    sizes = family.groupBy("component").agg(F.count("*").alias("size"))
-    family = scratch.keep(family.join(sizes, "component"))
-    texts = known.join(family.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
-    dealt = in_blocks(texts, "component", F.col("size"), BLOCK).select("task", F.col("rep").alias("doc_id"), "text")
-    linked = components(links(dealt), scratch).select(F.col("node").alias("rep"), "component")
-    known_class = members.join(linked, "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
-    rest = mine.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return known_class.union(rest).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    found = components(families(shared_prefixes(known, frequent, make, buckets), sets, buckets), scratch).withColumnRenamed("component", "family")
+    found = scratch.keep(found)
+    sizes = found.groupBy("family").agg(F.count("*").alias("size"))
+    family = join_spread(found, sizes.withColumn("k", F.col("size")), ["family"], "k", F.col("node"))
+    family = scratch.keep(family.join(sets.select(F.col("h1").alias("node"), "first.doc_id", "first.row"), "node"))
+    texts = known.join(family, ["doc_id", "row"]).select("node", "family", "size", "text")
+    linked = scratch.keep(components(connect(texts, family, scratch, make, index), scratch).withColumnRenamed("node", "h1"))
+    named = sets.select("n", "h1", "h2", "copies", F.col("first.doc_id").alias("rep")).join(linked, "h1", "left")
+    names = named.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("k"))
+    named = join_spread(named, names, ["component"], "k", F.col("h1")).select("n", "h1", "h2", "copies", F.coalesce("least", "rep").alias("component_id"))
+    known_class = join_spread(full.drop("bits"), named, ["n", "h1", "h2"], "copies", F.col("doc_id"))
+    rest = mine.where("n = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
+    keys = ["doc_id", "row"] if by_row else ["doc_id"]
+    shown = [*keys, F.col("n").alias("n_shingles"), "component_id"]
+    return known_class.select(*shown).union(rest.select(*shown))
+
+
+def keep_first(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """documents of which one of each component stays, with all their columns.
+
+    It is the one of the smallest doc_id; of several rows of that id in the
+    component, one of the smallest hash of the text, and of those that are equal in both, of all
+    columns. Rows that link with nothing all stay.
+    """
+    found = scratch.keep(classes(docs, scratch, by_row=True).where("doc_id IS NOT NULL AND n_shingles > 0"))
+    rows = found.groupBy("doc_id", "row", "component_id").agg(F.count("*").alias("copies"))
+    least = rows.groupBy("doc_id", "component_id").agg(F.min("row").alias("least"))
+    told = scratch.keep(rows.join(least, ["doc_id", "component_id"]).withColumn("stays", (F.col("component_id") == F.col("doc_id")) & (F.col("row") == F.col("least"))))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    all_rows = docs.select(F.struct(*columns).alias("all"), F.col("doc_id").alias("id_key"), F.xxhash64("text").alias("text_key"))
+
+    def at(some: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        """Rows of `of` that are, or are not, among some (doc_id, row)."""
+        keys = some.select(F.col("doc_id").alias("id_key"), F.col("row").alias("text_key"))
+        return of.join(keys, ["id_key", "text_key"], how)
+
+    kept = at(told.where("NOT stays"), "left_anti", all_rows)
+    again = told.where("stays AND copies > 1")
+    if not again.isEmpty():
+        one = at(again, "left_semi", kept).groupBy("id_key", "text_key").agg(F.min_by("all", F.xxhash64(F.to_json("all"))).alias("all")).select("all", "id_key", "text_key")
+        kept = at(again, "left_anti", kept).union(one)
+    return kept.select("all.*")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
