@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, by_task, components, groups, in_blocks, long_column, map_batches, mix, only, tune
+from .common import U64, Scratch, by_task, components, groups, in_blocks, join_spread, long_column, map_batches, mix, only, tune
 
 THRESHOLD = 0.93
 #: Width of a quantisation step, and the chance wanted that a pair at the threshold meets.
@@ -60,16 +60,12 @@ def unit_rows(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def usable(emb: DataFrame) -> DataFrame:
-    """(vec_id, label, v) of the vectors that can link."""
+def usable() -> Column:
+    """Whether a row's vector can link (never null)."""
     v = F.col("embedding")
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return (
-        only(emb, "vec_id", "label", "embedding")
-        .where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL")
-        .where(finite & F.exists(v, lambda x: x != 0))
-        .select("vec_id", "label", v.alias("v"))
-    )
+    known = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull()
+    return F.coalesce(known & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def hash_tables(reps: DataFrame, k: int, tables: int) -> DataFrame:
@@ -160,31 +156,26 @@ def link_counts(rows: DataFrame, threshold: float) -> DataFrame:
 def deduplicate(emb: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     spark = scratch.spark
-    good = usable(emb)
+    rows = only(emb, "vec_id", "label", "embedding")
+    good = rows.where(usable()).select("vec_id", "label", F.col("embedding").alias("v"))
     reps = scratch.keep(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     k, tables = plan_tables(reps.count(), threshold)
     placed = hash_tables(reps, k, tables)
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     vectors = reps.select("rep", "v")
-    rows = placed.join(shared, "bucket").join(vectors, "rep")
-    edges = bucket_edges(in_blocks(rows, "bucket", F.col("n"), BLOCK), threshold)
+    met = placed.join(shared, "bucket").join(vectors, "rep")
+    edges = bucket_edges(in_blocks(met, "bucket", F.col("n"), BLOCK), threshold)
     # A representative is the first of its copies, so components need no others.
     comp = scratch.keep(components(edges, scratch).withColumnRenamed("node", "rep"))
     sizes = comp.groupBy("component").agg(F.count("*").alias("n"))
     member = comp.join(sizes, "component").join(reps.select("rep", "v", "copies"), "rep")
     links = link_counts(in_blocks(member, "component", F.col("n"), BLOCK), threshold)
     found = reps.join(comp, "rep", "left").join(links, "rep", "left").select(
-        "label", "v", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "label", "v", "copies", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    mine = only(emb, "vec_id", "label", "embedding").withColumnRenamed("embedding", "v")
-    ok = found.where("component_id IS NOT NULL")
-    out = mine.join(ok, ["label", "v"], "left")
-    use = F.col("vec_id").isNotNull() & F.col("component_id").isNotNull()
-    component = F.when(use, F.col("component_id")).otherwise(F.col("vec_id"))
-    return out.select(
-        "vec_id", F.when(use, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
-    )
+    out = join_spread(good, found, ["label", "v"], "copies", F.col("vec_id"))
+    alone = rows.where(~usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id").union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
