@@ -8,8 +8,14 @@ Content-Length, digests verified as the bytes arrive.
 
 Defined results: null html or url is an empty payload or target; a null
 page_id is written as an empty identifier and read back as null (it never is
-the target of a revisit); repeated rows each give a record; an empty table
-gives no archive and no rows; other columns of the table are ignored.
+the target of a revisit); repeated rows each give a record: rows of one
+page_id go by their own payloads, and the smallest page_id that has a payload is
+a response in each of its rows; an empty table gives no archive and no rows;
+other columns of the table are ignored.
+
+Archives are files of the shared folder, which tasks open with `pyarrow.fs`:
+local or mounted folders, HDFS, S3, GCS, Azure (s3a:// and the like by their
+names there), and any other that libhdfs knows.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches, only, partitions, tune
+from .common import Scratch, join_spread, map_batches, only, partitions, tune
 
 #: An archive is closed once it has this many compressed bytes.
 ARCHIVE_BYTES = 16 << 20
@@ -144,17 +150,31 @@ def read_record(pieces: Iterator[bytes], with_payload: bool = True) -> dict:
     }
 
 
+def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """(file system, path) of a folder or file, by the name that Spark has for it."""
+    scheme, _, rest = uri.partition("://")
+    uri = f"{_SCHEMES.get(scheme, scheme)}://{rest}" if rest else uri
+    try:
+        return pafs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid:
+        if not rest:
+            raise
+        host, _, path = rest.partition("/")
+        return pafs.HadoopFileSystem(f"{scheme}://{host}"), "/" + path
+
+
+#: Names of Hadoop's connectors, and those that pyarrow has for the same stores.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfs"}
+
+
 def plan_records(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """pages(page_id, url, html) with payload digest and refers_to."""
+    """pages(page_id, url, html) with refers_to: the smallest page_id of an equal payload."""
     p = only(pages, "page_id", "url", "html")
     p = p.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    narrow = p.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n")).where(
-        (F.col("n") >= min_revisit_bytes) & F.col("page_id").isNotNull()
-    )
-    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("digest", "first")
-    again = narrow.join(first, "digest").where("page_id > first").select("page_id", "first")
-    again = again.groupBy("page_id").agg(F.min("first").alias("refers_to"))
-    return p.join(again, "page_id", "left")
+    digest = F.when((F.octet_length("html") >= min_revisit_bytes) & F.col("page_id").isNotNull(), F.unhex(F.sha2("html", 256)))
+    first = p.select("page_id", digest.alias("digest")).where("digest IS NOT NULL").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
+    known = join_spread(p.withColumn("digest", digest), first.where("copies > 1"), ["digest"], "copies", F.col("page_id"))
+    return known.select("page_id", "url", "html", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, scratch: Scratch, archive_bytes: int = ARCHIVE_BYTES, level: int = 3) -> DataFrame:
@@ -167,7 +187,7 @@ def write_archives(pages: DataFrame, scratch: Scratch, archive_bytes: int = ARCH
     root = scratch.path()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = pafs.FileSystem.from_uri(root)
+        store, base = open_store(root)
         store.create_dir(base, recursive=True)
         out, path, size, count = None, "", 0, 0
 
@@ -212,7 +232,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, at = pafs.FileSystem.from_uri(path)
+                store, at = open_store(path)
                 rows, held = [], 0
                 with store.open_input_stream(at, compression=None) as stream:
                     for pieces in members(stream.read):
