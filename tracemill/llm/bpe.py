@@ -4,8 +4,10 @@ A text is cut where a rolling hash of its last bytes meets a pattern, so equal
 passages of different documents fall into equal chunks. Each chunk is encoded
 once by a worker and kept; the ids of a text are those of its chunks, with
 each join repaired: a stretch about the cut is split and encoded again, growing
-until the pieces agree with those of the chunks on either side. The result is
-that of encoding the whole text.
+until the pieces agree with those of the chunks on either side. Where no piece
+ends within a chunk (a very long word), the text from the last sure end on stays
+open, and is encoded once, when a space closes it. The result is that of
+encoding the whole text, in time that grows with its length.
 
 Defined results: null text is the empty text (no ids); special tokens that
 stand in a text become their single id, as the tokenizers library does; equal
@@ -34,6 +36,8 @@ SPAN, AVERAGE, LEAST, MOST = 16, 1024, 256, 8192
 SNAP = 64
 #: Bytes of chunks that a worker keeps encoded.
 CACHE_BYTES = 32 << 20
+#: Where every piece ends: a space after a printed ASCII character.
+CLOSED = re.compile(r"[!-~](?= )")
 #: The public pattern of this vocabulary's pre-tokenizer (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -94,7 +98,8 @@ class ChunkedBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added, ranks = _tokens(spec)
-        self.encode = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        merges = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encode, self.encode_piece = merges.encode_ordinary, merges._encode_single_piece
         self.split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.cache: OrderedDict[bytes, array] = OrderedDict()
@@ -126,18 +131,25 @@ class ChunkedBpe:
             at = end
         return out
 
-    def join(self, left: str, ids: list[int], right: str, more: list[int], whole: bool) -> tuple[list[int], list[int], str]:
+    def run(self, text: str) -> list[int]:
+        """Ids of a text with pieces of any length, each encoded by itself."""
+        out, at = [], 0
+        for end in self.ends(text):
+            out += self.encode_piece(text[at:end])
+            at = end
+        return out
+
+    def join(self, left: str, ids: list[int], right: str, more: list[int], whole: bool) -> tuple[list[int], list[int] | None, str]:
         """Repair the join of two encoded texts.
 
         Returns the ids up to a place where both sides agree, the ids from
-        there on, and the text that the latter stand for. `whole`: the right
-        text ends the document.
+        there on (none where they nowhere agree), and the text that the latter
+        stand for. `whole`: the right text ends the document.
         """
         # Before a space that follows something else, every piece ends.
         if right[0] == " " and not left[-1].isspace():
             return ids, more, right
-        at = next((m.start() + 1 for m in re.finditer(r"\S ", left[-256:])), 0)
-        at = at and at + max(0, len(left) - 256)
+        at = max((m.end() for m in CLOSED.finditer(left, max(0, len(left) - 256))), default=0)
         redo = left[at:]
         ids = ids[: len(ids) - len(self.encode(redo))]
         ahead = 64
@@ -154,25 +166,36 @@ class ChunkedBpe:
                 skip = len(self.upto(part, own, stop))
                 return ids + self.upto(redo + part, over, len(redo) + stop), more[skip:], right[stop:]
             if at_end:
-                text = redo + right
-                return ids, self.encode(text), text
-            ahead *= 2
+                return ids, None, redo + right
+            ahead *= 4
 
     def segment(self, text: str) -> list[int]:
         raw = text.encode()
-        data = np.frombuffer(raw, np.uint8)
         done: list[int] = []
         held: list[int] | None = None
         before, start = "", 0
-        for end in cut_points(data):
-            part = raw[start:end]
-            ids, now = self.chunk(part), part.decode()
-            start = end
+        open_parts: list[str] = []
+        for end in cut_points(np.frombuffer(raw, np.uint8)):
+            part, last = raw[start:end], end == len(raw)
+            now, start = part.decode(), end
+            if open_parts:
+                close = CLOSED.search(now)
+                if close is None and not last:
+                    open_parts.append(now)
+                    continue
+                stop = close.end() if close else len(now)
+                done += self.run("".join([*open_parts, now[:stop]]))
+                open_parts, before = [], now[stop:]
+                held = self.encode(before) if before else None
+                continue
+            ids = self.chunk(part)
             if held is None:
                 held, before = ids, now
                 continue
-            final, held, before = self.join(before, held, now, ids, end == len(raw)) if before else (held, ids, now)
+            final, held, before = self.join(before, held, now, ids, last) if before else (held, ids, now)
             done += final
+            if held is None:
+                open_parts = [before]
         return done + (held or [])
 
     def encode_text(self, text: str | None) -> list[int]:
