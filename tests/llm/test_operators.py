@@ -231,20 +231,69 @@ def test_bpe_joins(monkeypatch):
 # ---------------------------------------------------------------- op 3
 
 
+def brute_signatures(text):
+    """Signatures of a text as tuples of words; the text itself where it has no words."""
+    found = [w.lower() for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text)]
+    anchors = set(fingerprints.ANCHORS)
+    if not any(w in anchors for w in found):
+        anchors = set(found)
+        rest = list(range(len(found)))
+    else:
+        rest = [i for i, w in enumerate(found) if w not in anchors]
+    out = set()
+    for i, w in enumerate(found):
+        if w in anchors:
+            chain = [found[j] for j in rest if j > i][: fingerprints.CHAIN]
+            out.add((w, *chain))
+    return out or ({text} if text else set())
+
+
 def test_fingerprints(spark, docs):
-    rows = [(i * 100, t) for i, t in enumerate(sample_texts(9))] + [(7, None), (5, ""), (6, LONG), (11, "!!!"), (100_000, sample_texts(9)[0])]
-    got = {r.doc_id: r for r in fingerprints.compare_edits(docs([*rows, (None, "x")]), Scratch(tune(spark), "t")).collect()}
-    order = sorted(rows, reverse=True)
-    assert len(got) == len(rows)
+    rows = [(i * 100, t) for i, t in enumerate(sample_texts(9))] + [(7, None), (5, ""), (6, LONG[:50_000]), (11, "!!!"), (100_000, sample_texts(9)[0])]
+    rows += [(1 << 62, "the one and a far id"), (-5, "of a low id"), (300, "a second text of the id 300"), (None, "z the last"), (None, "a the first without an id")]
+    got = defaultdict(list)
+    for r in fingerprints.compare_edits(docs(rows)).collect():
+        got[r.doc_id, r.n_chars].append(r)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    assert sum(map(len, got.values())) == len(rows)
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a and b else float(len(a) == len(b))
     for k, (i, t) in enumerate(order):
         t, u = t or "", order[(k + 1) % len(order)][1] or ""
         edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
-        r = got[i]
-        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        a, b = (set(s.tolist()) for s in fingerprints.signature_sets([t, edited]))
-        assert r.near_edited == (len(a & b) / len(a | b) if a and b else float(len(a) == len(b)))
-    assert got[0].fingerprint == got[100_000].fingerprint
-    assert fingerprints.compare_edits(docs([]), Scratch(spark, "t")).count() == 0
+        r = next(x for x in got[i, len(t)] if x.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest())
+        mine = brute_signatures(t)
+        assert r.near_edited == jaccard(mine, brute_signatures(edited)) and r.near_next == jaccard(mine, brute_signatures(u))
+    assert got[0, len(rows[0][1])][0].fingerprint == got[100_000, len(rows[0][1])][0].fingerprint
+    assert fingerprints.compare_edits(docs([])).count() == 0
+    one = fingerprints.compare_edits(docs([(3, "the single text of it")])).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_near_classes(spark, docs, monkeypatch):
+    """SpotSigs over a corpus, against all pairs; also with families beyond a block."""
+    rng = random.Random(21)
+    base = [f"{rng.choice(['the', 'of', 'and'])} b{i} c{i}" for i in range(40)]
+    rows = list(enumerate(sample_texts(15, 100)))
+    for i in range(100, 160):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 2, 9])):
+            t[rng.randrange(40)] = f"the e{i} f{rng.random()}"
+        rows.append((i, " ".join(t)))
+    rows += [(300, None), (301, ""), (302, "!!!"), (303, "!!!"), (None, rows[0][1])]
+    sets = {i: brute_signatures(t or "") for i, t in rows if i is not None}
+    root = {i: i for i in sets}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    want = sorted([(i, len(s), find(i)) for i, s in sets.items()])
+    for block in (1024, 8):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        got = fingerprints.near_classes(docs(rows), Scratch(tune(spark), "t")).collect()
+        assert sorted(tuple(r) for r in got if r.doc_id is not None) == want and len(got) == len(rows)
 
 
 # ---------------------------------------------------------------- op 5
