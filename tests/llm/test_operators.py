@@ -502,11 +502,34 @@ def test_covered():
 
 def test_crf_held_out():
     shapes, labels, lengths = pii.padded(pii.labelled_table(200, seed=77))
-    got = pii.train().decode(shapes, lengths)
+    got = pii.train().decode(pii.train().emissions(shapes), lengths)
     inside = np.arange(shapes.shape[1]) < lengths[:, None]
     assert (got[inside] == labels[inside]).mean() > 0.98
 
 
+def test_crf_chain_is_that_of_whole_texts(monkeypatch):
+    """Stretches between sure words have the labels of Viterbi over all words."""
+    m = pii.train()
+    rng = random.Random(14)
+    monkeypatch.setattr(pii, "SCORED", 50)
+    for weak in (1.0, 0.2):  # with small weights few words are sure
+        crf = pii.Crf(m.here * weak, m.before * weak, m.after * weak, m.step * 2)
+        for _ in range(60):
+            rows = pii.labelled_table(rng.randint(1, 12), seed=rng.random())
+            texts = [" ".join(w for words, _ in rows[k :: 3] for w in words) for k in range(3)]
+            raw = [t.encode() for t in texts]
+            data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+            w = pii.Words(data, offsets)
+            shapes = pii.shape_ids(data, w.start, w.end)
+            near, labels = pii.chain(shapes, w.doc, crf)
+            got = np.zeros(len(shapes), int)
+            got[near] = labels
+            for a, b in zip(w.first, w.first[1:]):
+                if b > a:
+                    want = crf.decode(crf.emissions(shapes[None, a:b]), np.array([b - a]))[0]
+                    assert got[a:b].tolist() == want.tolist()
+
+
 # ---------------------------------------------------------------- pipeline
 
 

@@ -2,12 +2,13 @@
 
 The CRF labels words as e-mail address, network address, card number, telephone
 number or none, from the shapes of the word and its neighbours. It is trained by
-maximum likelihood on a small labelled table and decoded by Viterbi, many
-stretches of words at a time in numpy. A stretch is a run of words of which
-each is within two words of one with a digit, `@` or `+`; all other words are
-none by the model's definition. Words that a match of the patterns touches are
-taken out; runs of the words left with one label become spans of kind `crf_...`.
-Matches of the patterns stay.
+maximum likelihood on a small labelled table. The chain runs over all words of a
+text. Where a word's score for none leads by more than any labels beside it could
+make up, none is its label in the best chain, whatever the others are; such
+words cut a text into stretches, which Viterbi decodes many at a time in numpy,
+with the labels of the whole chain. Words that a match of the patterns touches
+are taken out; runs of the words left with one label become spans of kind
+`crf_...`. Matches of the patterns stay.
 
 Defined results: null text is empty and has no spans; `kind:start:end` counts
 code points with an exclusive end; equal rows give equal results; other columns
@@ -111,7 +112,7 @@ def shape_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
         count(_JOIN) > 0,
         count(_LETTER) > 0,
     )
-    return np.ravel_multi_index([p.astype(np.intp) for p in parts], _PARTS)
+    return np.ravel_multi_index([p.astype(np.intp) for p in parts], _PARTS).astype(np.int32)
 
 
 _AT, _DOT, _JOIN = table_of("@"), table_of("."), table_of("-()")
@@ -173,9 +174,18 @@ class Crf:
         edge = np.full((len(shapes), 1), -1)
         return shifted(self.here, shapes) + shifted(self.before, np.hstack([edge, shapes[:, :-1]])) + shifted(self.after, np.hstack([shapes[:, 1:], edge]))
 
-    def decode(self, shapes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Best labels of many stretches at once (Viterbi)."""
-        scores = self.emissions(shapes)
+    def sure(self, scores: np.ndarray) -> np.ndarray:
+        """Words (rows of scores) whose best label is none, whatever labels are beside them.
+
+        With another label instead of none, a chain gains at most the largest
+        difference of the steps to it and from it.
+        """
+        to = np.maximum((self.step - self.step[:, :1]).max(0), 0)
+        from_ = np.maximum((self.step - self.step[:1]).max(1), 0)
+        return (scores[:, :1] - scores[:, 1:] > (to + from_)[1:] + 1e-9).all(1)
+
+    def decode(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Best labels of many stretches at once (Viterbi); scores: (stretch, position, label)."""
         n, most, _ = scores.shape
         back = np.zeros((n, most, LABELS), np.int8)
         best = scores[:, 0]
@@ -249,32 +259,43 @@ def train(rows: int = 500) -> Crf:
     return Crf.fit(*padded(labelled_table(rows)))
 
 
-_MARK = table_of("0123456789@+")
+#: Words that are scored at a time.
+SCORED = 1 << 18
 
 
-def crf_spans(data: np.ndarray, offsets: np.ndarray, model: Crf, covered: list[Covered]) -> list[tuple[int, Span]]:
-    """(text, span) of every run of equally labelled words of a block that no covered stretch touches."""
-    marks = _MARK[data]
-    if not marks.any():
-        return []
-    w = Words(data, offsets)
-    sums = np.concatenate([[0], np.cumsum(marks)])
-    special = np.flatnonzero(sums[w.end] > sums[w.start])
-    if not len(special):
-        return []
-    near = np.unique(special[:, None] + np.arange(-2, 3))
-    near = near[(near >= 0) & (near < len(w.start))]
-    # A word beside one of another text is no neighbour of it.
-    ok = np.zeros(len(near), bool)
-    left = np.searchsorted(special, near)
-    for side in (left - 1, left):
-        s = special[np.clip(side, 0, len(special) - 1)]
-        ok |= (np.abs(s - near) <= 2) & (w.doc[s] == w.doc[near])
-    near = near[ok]
-    cut = np.flatnonzero((np.diff(near) > 1) | (np.diff(w.doc[near]) > 0)) + 1
-    first, lengths = np.concatenate([[0], cut]), np.diff(np.concatenate([[0], cut, [len(near)]]))
-    shapes = shape_ids(data, w.start[near], w.end[near])
+def word_scores(shapes: np.ndarray, doc: np.ndarray, model: Crf) -> np.ndarray:
+    """Scores of the labels of words, by their shapes and those beside them in their text."""
+    out = model.here[shapes]
+    same = (doc[1:] == doc[:-1])[:, None]
+    out[1:] += np.where(same, model.before[shapes[:-1]], 0)
+    out[:-1] += np.where(same, model.after[shapes[1:]], 0)
+    return out
+
+
+def chain(shapes: np.ndarray, doc: np.ndarray, model: Crf) -> tuple[np.ndarray, np.ndarray]:
+    """(words, labels): labels of the best chain of each text, for all words that may not be none."""
+    n = len(shapes)
+    open_, kept = [], []
+    for lo in range(0, n, SCORED):
+        a, b = max(0, lo - 2), min(n, lo + SCORED + 2)
+        scores = word_scores(shapes[a:b], doc[a:b], model)
+        unsure = ~model.sure(scores)
+        # With each go the words beside it, whose label is then known.
+        near = unsure.copy()
+        near[1:] |= unsure[:-1] & (doc[a + 1 : b] == doc[a : b - 1])
+        near[:-1] |= unsure[1:] & (doc[a + 1 : b] == doc[a : b - 1])
+        scores[~unsure, 1:] = -1e30
+        at = np.flatnonzero(near)
+        at = at[(at + a >= lo) & (at + a < lo + SCORED)]
+        open_.append(at + a)
+        kept.append(scores[at])
+    near = np.concatenate([*open_, np.zeros(0, np.int64)])
+    scores = np.concatenate([*kept, np.zeros((0, LABELS))])
     labels = np.zeros(len(near), np.int8)
+    if not len(near):
+        return near, labels
+    cut = np.flatnonzero((np.diff(near) > 1) | (np.diff(doc[near]) > 0)) + 1
+    first, lengths = np.concatenate([[0], cut]), np.diff(np.concatenate([[0], cut, [len(near)]]))
     # Stretches of about equal length are decoded together.
     order = np.argsort(lengths, kind="stable")
     at = 0
@@ -282,12 +303,21 @@ def crf_spans(data: np.ndarray, offsets: np.ndarray, model: Crf, covered: list[C
         top = lengths[order[at]] * 3 // 2 + 2
         stop = min(int(np.searchsorted(lengths[order], top, "right")), at + max(1, 200_000 // int(top)))
         part = order[at:stop]
-        grid = np.full((len(part), int(lengths[part].max())), -1)
+        grid = np.zeros((len(part), int(lengths[part].max()), LABELS))
         inside = np.arange(grid.shape[1]) < lengths[part][:, None]
         index = first[part][:, None] + np.arange(grid.shape[1])
-        grid[inside] = shapes[index[inside]]
+        grid[inside] = scores[index[inside]]
         labels[index[inside]] = model.decode(grid, lengths[part])[inside]
         at = stop
+    return near, labels
+
+
+def crf_spans(data: np.ndarray, offsets: np.ndarray, model: Crf, covered: list[Covered]) -> list[tuple[int, Span]]:
+    """(text, span) of every run of equally labelled words of a block that no covered stretch touches."""
+    w = Words(data, offsets)
+    if not len(w.start):
+        return []
+    near, labels = chain(shape_ids(data, w.start, w.end), w.doc, model)
     hit = np.flatnonzero(labels)
     points = CodePoints(data, offsets)
     doc, at = w.doc[near[hit]], near[hit]
