@@ -1,13 +1,15 @@
-"""Secret scan: fixed patterns, and a character CNN over every other candidate.
+"""Secret scan: fixed patterns, and a character CNN over every candidate.
 
-A candidate is a run of 16 or more characters of keys and tokens with a digit
-and a letter, or such a piece of what pattern matches leave of a run. A
+A candidate is a run of 16 or more characters of keys and tokens, and such a
+piece of what pattern matches leave of a run. A
 convolutional network in numpy sees the candidate with the characters around it,
 a long one in overlapping windows of which the highest score counts. It is
 trained on labelled tables of short and long findings, its scores are calibrated
 on held-out findings, and its threshold is the highest that keeps the stated
-recall there. Candidates that it accepts are added as spans of kind `cnn`;
-matches of the patterns always stay.
+recall there. Candidates that it accepts and that no match of the patterns touches
+are added as spans of kind `cnn`; matches of the patterns always stay. Of the
+runs that a match touches, n_seen counts those that the network saw and
+n_agreed those that it accepts, which measures it on findings that are known.
 
 Defined results: null text is empty and has no spans; `kind:start:end` counts
 code points with an exclusive end, and covers the whole match; equal rows give
@@ -44,8 +46,6 @@ RECALL = 0.98
 
 _RUN = table_of("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 _HEX_RUN = table_of("0123456789abcdef")
-_DIGIT = table_of("0123456789")
-_ALPHA = table_of("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 #: Character classes that the network sees; 0 is outside the text.
 _CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "_-", "+/", "=", ":", "\"'", " \t", "\n\r", ".,;()[]{}<>!?")
 _CLASS = np.full(256, len(_CLASSES) + 1, np.uint8)
@@ -75,7 +75,7 @@ def labelled_findings(n: int, seed: int = 7) -> list[tuple[bytes, int, int, int]
     """(text, start, end, is secret): a labelled table made by rule.
 
     Secrets are random keys after cues of several forms; the others are long
-    words, identifiers, numbers, dates, paths and repeated patterns.
+    words in either case, identifiers, numbers, dates, paths and repeated patterns.
     """
     rng = random.Random(seed)
     lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -85,16 +85,17 @@ def labelled_findings(n: int, seed: int = 7) -> list[tuple[bytes, int, int, int]
     for i in range(n):
         secret = i % 2
         if secret:
-            kind = rng.randrange(4)
+            kind = rng.randrange(5)
             body = (
-                pick(lower + upper + digit, rng.randint(20, 44)),
+                rng.choice((pick(lower + upper + digit, rng.randint(16, 44)), rng.choice(("AKIA", "ASIA")) + pick(upper + digit, rng.randint(12, 20)))),
                 rng.choice(("ghp_", "sk-", "xoxb-", "pk_live_")) + pick(lower + upper + digit, rng.randint(20, 36)),
                 pick(lower + upper + digit + "+/", rng.randint(24, 44)) + rng.choice(("", "=", "==")),
-                pick(digit + "abcdef", rng.randint(24, 40)),
+                pick(digit + "abcdef", rng.randint(16, 64)),
+                pick(lower + upper, rng.randint(20, 40)),
             )[kind]
-            cue = rng.choice(("key: ", "token=", "secret: '", "Authorization: Bearer ", "credential ", " ", 'apikey="'))
+            cue = rng.choice(("key: ", "token=", "secret: '", "Authorization: Bearer ", "credential ", " ", 'apikey="', "password=", "passwd: "))
         else:
-            kind = rng.randrange(6)
+            kind = rng.randrange(9)
             body = (
                 "_".join(word() for _ in range(4)) + str(rng.randint(1, 99)),
                 "-".join(word() for _ in range(5)) + "-" + str(rng.randint(1, 999)),
@@ -102,7 +103,12 @@ def labelled_findings(n: int, seed: int = 7) -> list[tuple[bytes, int, int, int]
                 "".join(word() for _ in range(6)) + str(rng.randint(1, 9)),
                 "/".join(word() for _ in range(5)) + "/" + str(rng.randint(1, 99)),
                 (pick(lower, 2) + pick(digit, 1)) * 8,
+                "".join(word() for _ in range(6)),
+                "".join(word() for _ in range(7)).upper(),
+                pick(digit, rng.randint(16, 24)),
             )[kind].ljust(LEAST, "e")
+            body = body if kind != 6 or rng.random() < 0.6 else body.capitalize()
+            body = body[: rng.randint(LEAST, 30)] if kind in (6, 7) else body
             cue = rng.choice((" ", "see ", "file: ", "id ", "/", "of "))
         before = " ".join(word() for _ in range(rng.randint(0, 6))) + cue
         text = before + body + rng.choice(("", "'", '"', ".", "\n", " ")) + " ".join(word() for _ in range(rng.randint(0, 6)))
@@ -260,7 +266,7 @@ def long_windows(findings: list[tuple[bytes, int, int, int, int]]) -> tuple[np.n
 
 
 @lru_cache(maxsize=1)
-def train(rows: int = 1600, long_rows: int = 800) -> CharCnn:
+def train(rows: int = 3200, long_rows: int = 800) -> CharCnn:
     """Fit on four fifths of the labelled findings, calibrate on the rest.
 
     A window of a long finding is one of a secret if it shows LEAST characters of
@@ -279,45 +285,42 @@ def train(rows: int = 1600, long_rows: int = 800) -> CharCnn:
     return model
 
 
-def scan_block(data: np.ndarray, offsets: np.ndarray, texts: list[str], model: CharCnn) -> list[tuple[list[Span], list[Span]]]:
-    """(pattern spans, added spans) of each text of a block."""
+def scan_block(data: np.ndarray, offsets: np.ndarray, texts: list[str], model: CharCnn) -> list[tuple[list[Span], list[Span], int, int]]:
+    """(pattern spans, added spans, runs with pattern spans, those that the network accepts) of each text of a block."""
     raw = data.tobytes()
     hexes = np.zeros(len(texts), bool)
     hexes[np.searchsorted(offsets, runs(_HEX_RUN[data], offsets, 32)[0], "right") - 1] = True
     base = [base_spans(t, raw[a:b], h) for t, a, b, h in zip(texts, offsets.tolist(), offsets[1:].tolist(), hexes.tolist())]
     added: list[list[Span]] = [[] for _ in texts]
+    seen, agreed = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     start, end = runs(_RUN[data], offsets, LEAST)
-    if len(start):
-        digits, letters = (np.concatenate([[0], np.cumsum(t[data])]) for t in (_DIGIT, _ALPHA))
-        mixed = lambda a, b: (digits[b] > digits[a]) & (letters[b] > letters[a])
-        use = mixed(start, end)
-        start, end = start[use], end[use]
     if len(start):
         doc = np.searchsorted(offsets, start, "right") - 1
         points = CodePoints(data, offsets)
         covered = {d: Covered(base[d]) for d in np.unique(doc).tolist()}
         # Runs are of ASCII, where a byte is a code point.
-        pieces = [
-            (d, at + a - s, at + b - s, a, b)
-            for d, at, s, e in zip(doc.tolist(), start.tolist(), points.at(doc, start).tolist(), points.at(doc, end).tolist())
-            for a, b in covered[d].gaps(s, e)
-            if b - a >= LEAST
-        ]
-        doc, start, end, s, e = np.array(pieces, np.int64).reshape(-1, 5).T
-        use = mixed(start, end)
-        doc, start, end, s, e = doc[use], start[use], end[use], s[use].tolist(), e[use].tolist()
+        pieces = []
+        for d, at, s, e in zip(doc.tolist(), start.tolist(), points.at(doc, start).tolist(), points.at(doc, end).tolist()):
+            free = [(a, b, 0) for a, b in covered[d].gaps(s, e) if b - a >= LEAST]
+            if free != [(s, e, 0)]:
+                free.append((s, e, 1))
+            pieces += [(d, at + a - s, at + b - s, a, b, known) for a, b, known in free]
+        doc, start, end, s, e, known = np.array(pieces, np.int64).reshape(-1, 6).T
         of, place = places(start, end)
         p = np.zeros(len(of))
         for part in np.array_split(np.arange(len(of)), max(1, len(of) // 512)):
             if len(part):
                 c = of[part]
                 p[part] = model.probability(encode_windows(data, offsets[doc[c]], offsets[doc[c] + 1], start[c], end[c], place[part]))
-        for i in np.flatnonzero(best(p, of) >= model.threshold).tolist():
-            added[doc[i]].append(("cnn", s[i], e[i]))
-    return list(zip(base, added))
+        accepted = best(p, of) >= model.threshold
+        np.add.at(seen, doc[known == 1], 1)
+        np.add.at(agreed, doc[(known == 1) & accepted], 1)
+        for i in np.flatnonzero(accepted & (known == 0)).tolist():
+            added[doc[i]].append(("cnn", int(s[i]), int(e[i])))
+    return list(zip(base, added, seen.tolist(), agreed.tolist()))
 
 
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_cnn long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_cnn long, n_seen long, n_agreed long, base_sha256 string, spans string"
 
 
 def scan(docs: DataFrame, model: CharCnn | None = None) -> DataFrame:
@@ -329,13 +332,13 @@ def scan(docs: DataFrame, model: CharCnn | None = None) -> DataFrame:
         for batch in batches:
             ids, texts, rows = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], []
             for lo, hi, data, offsets in blocks(batch.column(1)):
-                for i, (base, added) in enumerate(scan_block(data, offsets, texts[lo:hi], net), lo):
+                for i, (base, added, seen, agreed) in enumerate(scan_block(data, offsets, texts[lo:hi], net), lo):
                     counts = [sum(k == kind for k, _, _ in base) for kind in KINDS]
                     whole = sorted(base + added, key=lambda s: (s[1], (*KINDS, "cnn").index(s[0])))
-                    rows.append((ids[i], *counts, len(added), sha256(join_spans(base)), join_spans(whole)))
+                    rows.append((ids[i], *counts, len(added), seen, agreed, sha256(join_spans(base)), join_spans(whole)))
             names = [f.split()[0] for f in SCHEMA.split(", ")]
-            types = [pa.int64()] * 5 + [pa.string()] * 2
-            cols = zip(*rows) if rows else [[]] * 7
+            types = [pa.int64()] * 7 + [pa.string()] * 2
+            cols = zip(*rows) if rows else [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     return map_batches(only(docs, "doc_id", "text"), run, SCHEMA)
