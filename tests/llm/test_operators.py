@@ -387,6 +387,55 @@ def test_toxicity(spark, docs):
     assert toxicity.score(docs([]), none).count() == 0
 
 
+def plain_severity(text, model):
+    """Expected severity by words and their beginnings, one at a time."""
+    key = lambda piece, k: int(toxicity.features(np.frombuffer(piece, np.uint8), np.array([0, len(piece)]))[1][k])
+    keys = set()
+    found = re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode())
+    for w in found:
+        keys.add(key(w, 0))
+        for k, size in enumerate(toxicity.BEGINNINGS, 1):
+            if len(w) >= size:
+                keys.add(key(w[:size], k))
+    score = sum(float(model.weights[k]) for k in keys)
+    return sum(1 / (1 + np.exp(-(score - th))) for th in model.theta) if found else 0.0
+
+
+def test_toxicity_grades(spark, docs):
+    """Grades by toxic and quality; severities against a plain version; the smallest text of an id counts."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(("th", "er", "on", "an", "é")) for _ in range(rng.randint(1, 5)))
+    rows, labels = [], []
+    for i in range(400):
+        grade = (0, 0, 1, 2)[i % 4]
+        bad = ["grimbal"] * (grade > 0) + ["vornakel"] * 3 * (grade > 1)
+        w = [word() for _ in range(30)] + bad
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(grade < 2), int(grade > 0)))
+    d = docs([*rows, (3, "zzz not the smallest text")])
+    lab = spark.createDataFrame([*labels, (2, 1, 0), (1, None, 1)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.grade for r in toxicity.graded(lab).collect()} == {i: 1 if i in (1, 2) else (0, 0, 1, 2)[i % 4] for i in range(400)}
+    model = toxicity.fit(d, lab)
+    assert (toxicity.fit(d.repartition(7), lab).weights == model.weights).all()
+    texts = ["", None, "12 !", "grimbal", "GRIMBAL vornakel", "grimbalist", LONG[:2000], *[t for _, t in rows[:20]]]
+    got = {r.doc_id: r for r in toxicity.score(docs(list(enumerate(texts))), model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].severity == pytest.approx(plain_severity(t, model), abs=1e-5)
+    assert got[3].grade == 1 and got[4].grade == 2 and got[4].severity > got[3].severity > 0.9
+    clean = {r.doc_id for r in toxicity.clean(docs(list(enumerate(texts))), model).collect()}
+    assert clean == {i for i in got if not got[i].toxic} and 4 not in clean and 0 in clean
+    stated = spark.createDataFrame([(1, 0), (2, 5), (3, None)], "doc_id long, grade int")
+    assert {tuple(r) for r in toxicity.graded(stated).collect()} == {(1, 0), (2, 2)}
+
+
+def test_secrets_of_documents(spark):
+    """The network agrees with the patterns on planted secrets, and adds next to nothing elsewhere."""
+    got = secrets.scan(tune(spark).read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    seen, agreed = (sum(r[c] for r in got) for c in ("n_seen", "n_agreed"))
+    assert seen > 10 and agreed >= 0.9 * seen and sum(r.n_cnn for r in got) <= 2
+
+
 def test_secret_patterns(spark, docs):
     key = "AKIA" + "B" * 12
     text = f'é Password = "abcdefgh1" token: x ApI_key=short1 {key} AKIAB {"0123abcd" * 4} K'
@@ -421,7 +470,7 @@ def test_secrets_in_long_runs():
         ("-" * 200 + "chapter1", [], []),
     ]:
         raw = text.encode()
-        (got, more), = secrets.scan_block(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), [text], secrets.train())
+        (got, more, _, _), = secrets.scan_block(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), [text], secrets.train())
         assert [text[s:e] for _, s, e in got] == base
         assert [text[s:e] for _, s, e in more] == added
     m = secrets.train()

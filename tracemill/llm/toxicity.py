@@ -4,15 +4,16 @@ P(grade <= k) = sigmoid(theta_k - w.x): one weight vector for all thresholds.
 x holds the presence of hashed words and word beginnings. The severity of a
 text is its expected grade.
 
-Grades come from the labels: 0 is not toxic; toxic texts get 1, or 2 where the
-number of their strongly toxic features is above the median of the toxic
-sample. The model is fitted on a bounded sample of labelled rows
-(SAMPLE_ROWS for each value of the label, those with the smallest hash of
-doc_id); every document is scored, whole.
+Grades are those of the labels' column `grade` where there is one. Else they are
+those that two judgements of a labelled text make: 0 is not toxic, 1 toxic, and
+2 toxic and of low quality. The model is fitted on a bounded sample of labelled
+rows (SAMPLE_ROWS of grade 0 and as many of the others, those with the smallest
+hash of doc_id); every document is scored, whole.
 
 Defined results: null, empty or wordless text has no features and severity 0;
-a label that is null is no label; a document labelled more than once counts
-with its largest label; with no label of either kind the severity is 0 for
+a label that is null is no label, a null quality is not low; a document labelled
+more than once counts with its largest grade; of rows with one doc_id the
+smallest text is fitted on; with no label of either kind the severity is 0 for
 all; other columns are ignored; repeated rows are scored alike.
 """
 
@@ -78,7 +79,7 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             cuts = np.searchsorted(both, np.arange(hi - lo + 1, dtype=np.int64) << BITS)
             keys = (both & ((1 << BITS) - 1)).astype("<i4")
             found += [keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "toxic", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "grade", "keys"])
 
 
 def presence(rows: list[np.ndarray], among: np.ndarray) -> np.ndarray:
@@ -150,29 +151,28 @@ class OrdinalModel:
         return cls(weights, theta)
 
 
-def grade_labels(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Grades 0 to 2 from a binary label and the features that tell it."""
-    tox, clean = presence(rows, toxic == 1), presence(rows, toxic == 0)
-    odds = np.log((tox + 0.5) / (toxic.sum() + 1)) - np.log((clean + 0.5) / ((1 - toxic).sum() + 1))
-    strong = (odds > np.log(8)) & (tox >= 5)
-    hits = np.array([strong[r].sum() for r in rows])
-    middle = np.median(hits[toxic == 1]) if toxic.any() else 0
-    return np.where(toxic == 0, 0, np.where(hits > middle, 2, 1))
+def graded(labels: DataFrame) -> DataFrame:
+    """(doc_id, grade) of the labelled documents."""
+    if "grade" in labels.columns:
+        grade = F.when(F.col("grade").isNotNull(), F.least(F.greatest(F.col("grade"), F.lit(0)), F.lit(GRADES - 1))).cast("int")
+    else:
+        low = F.coalesce(F.col("quality") == 0, F.lit(False)) if "quality" in labels.columns else F.lit(False)
+        grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(low, 2).otherwise(1))
+    return labels.select("doc_id", grade.alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.max("grade").alias("grade"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
     """Fit on a bounded, documented sample of labelled documents."""
-    known = only(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = graded(labels)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = known.where("toxic = 1").orderBy(*order).limit(sample_rows).union(known.where("toxic = 0").orderBy(*order).limit(sample_rows))
+    sample = known.where("grade > 0").orderBy(*order).limit(sample_rows).union(known.where("grade = 0").orderBy(*order).limit(sample_rows))
     # At most twice sample_rows rows, so they fit anywhere.
-    rows = only(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    got = sorted(map_batches(rows, _sample_features, "doc_id long, toxic int, keys binary").collect(), key=lambda r: r.doc_id)
-    toxic = np.array([r.toxic for r in got], int)
-    if len(set(toxic)) < 2:
+    rows = only(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("doc_id", "text", "grade")
+    got = sorted(map_batches(rows, _sample_features, "doc_id long, grade int, keys binary").collect(), key=lambda r: r.doc_id)
+    grades = np.array([r.grade for r in got], int)
+    if len(set(grades > 0)) < 2:
         return OrdinalModel(np.zeros(1 << BITS), np.full(GRADES - 1, 30.0))
-    keys = [np.frombuffer(r["keys"], "<i4") for r in got]
-    return OrdinalModel.fit(keys, grade_labels(keys, toxic))
+    return OrdinalModel.fit([np.frombuffer(r["keys"], "<i4") for r in got], grades)
 
 
 SCHEMA = "doc_id long, severity double, grade int, p_toxic double, toxic boolean"
