@@ -8,7 +8,6 @@ All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tracemill.llm import bpe, mixing, ngram_join, pii, toxicity
 from tracemill.llm.common import Scratch, tune
@@ -21,10 +20,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest doc_id."""
-    found = ngram_join.classes(docs, Scratch(tune(spark), "pipeline-ngrams"))
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies stays, that of the smallest doc_id; rows count by themselves."""
+    return ngram_join.keep_first(docs, Scratch(tune(spark), "pipeline-ngrams"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +31,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to their target weights; a document is there once per pass."""
-    return mixing.mix(docs, Scratch(tune(spark), "pipeline-mixing")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Sources are mixed to their target weights; a document is there once per pass, in the order of the mixture."""
+    return mixing.mixture(docs, Scratch(tune(spark), "pipeline-mixing"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +49,7 @@ STAGES = [
     ("bpe", bpe_stage),
 ]
 
-#: SQL cannot express the trained stages; the tests hold `run` against a plain version.
+#: SQL cannot express the trained stages; tests hold them against plain versions.
 ORACLE_SQL = None
 
 
