@@ -261,6 +261,10 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Keys of so many rows are hot, and at most so many of them are broadcast.
 HOT_ROWS, HOT_KEYS = 1_000, 2_000
+#: Edges up to which the least neighbours of all nodes are broadcast.
+BROADCAST_EDGES = 300_000
+#: Rows of a key from which on a join is worth being spread.
+SPREAD_ROWS = 5_000
 #: Tasks that the rows of a hot key are dealt over.
 SALTS = 1_024
 
@@ -282,6 +286,16 @@ def join_spread(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str,
     return both.select(*map(name, rows.columns), *[F.col("found_row")[v].alias(v) for v in values])
 
 
+def largest(keyed: DataFrame, count: str) -> int:
+    """The most rows of any key."""
+    return keyed.agg(F.max(count)).first()[0] or 0
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, salt: Column, most: int) -> DataFrame:
+    """As join_spread; a plain join where no key has SPREAD_ROWS rows."""
+    return join_spread(rows, keyed, keys, count, salt) if most >= SPREAD_ROWS else rows.join(keyed.drop(count), keys, "left")
+
+
 def _least(edges: DataFrame, with_self: bool) -> DataFrame:
     """(u, m, k): the least neighbour of each node (or itself), and its number of edges."""
     least = F.least(F.min("v"), F.first("u")) if with_self else F.min("v")
@@ -292,17 +306,24 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of edges(a, b); the smallest id names it.
 
     Alternates the large-star and small-star steps. Each is a minimum for a
-    node, combined before the shuffle, and a join that spreads the edges of a
-    node which has very many.
+    node, combined before the shuffle, and a join that brings it to the node's
+    edges: by broadcast up to BROADCAST_EDGES edges (some 10 MB), beyond by one
+    that spreads the edges of a node which has very many.
     """
     e = edges.toDF("u", "v").where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = scratch.keep(map_batches(e, _local_stars, "u long, v long").distinct())
-    before = None
+    before, count = None, e.count()
+
+    def met(rows: DataFrame, least: DataFrame) -> DataFrame:
+        if count <= BROADCAST_EDGES:
+            return rows.join(F.broadcast(least.drop("k")), "u")
+        return join_spread(rows, least, ["u"], "k", F.col("v"))
+
     while True:
         both = e.union(e.select("v", "u"))
-        large = join_spread(both, _least(both, True), ["u"], "k", F.col("v")).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = met(both, _least(both, True)).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = (
-            join_spread(large, _least(large, False), ["u"], "k", F.col("v"))
+            met(large, _least(large, False))
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
@@ -313,7 +334,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
-        before = now
+        before, count = now, now[0]
     return e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.col("m").alias("component")).union(
         e.select(F.col("v"), F.col("v")).distinct()
     )

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (
-    map_batches, U64, Scratch, Words, blocks, bucket_count, by_bucket, by_task, components, deal, gather, groups, join_spread, long_column, mix, only, second, tune, union_find, windows,
+    map_batches, U64, Scratch, Words, blocks, bucket_count, by_bucket, by_task, components, deal, gather, groups, join_counted, join_spread, largest, long_column, mix, only, second, tune, union_find, windows,
 )
 
 N = 5
@@ -563,13 +563,14 @@ def classes(docs: DataFrame, scratch: Scratch, by_row: bool = False, make: Make
     found = components(families(shared_prefixes(known, frequent, make, buckets), sets, buckets), scratch).withColumnRenamed("component", "family")
     found = scratch.keep(found)
     sizes = found.groupBy("family").agg(F.count("*").alias("size"))
-    family = join_spread(found, sizes.withColumn("k", F.col("size")), ["family"], "k", F.col("node"))
+    most = largest(sizes, "size")
+    family = join_counted(found, sizes.withColumn("k", F.col("size")), ["family"], "k", F.col("node"), most)
     family = scratch.keep(family.join(sets.select(F.col("h1").alias("node"), "first.doc_id", "first.row"), "node"))
     texts = known.join(family, ["doc_id", "row"]).select("node", "family", "size", "text")
     linked = scratch.keep(components(connect(texts, family, scratch, make, index), scratch).withColumnRenamed("node", "h1"))
     named = sets.select("n", "h1", "h2", "copies", F.col("first.doc_id").alias("rep")).join(linked, "h1", "left")
     names = named.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("k"))
-    named = join_spread(named, names, ["component"], "k", F.col("h1")).select("n", "h1", "h2", "copies", F.coalesce("least", "rep").alias("component_id"))
+    named = join_counted(named, names, ["component"], "k", F.col("h1"), most).select("n", "h1", "h2", "copies", F.coalesce("least", "rep").alias("component_id"))
     known_class = join_spread(full.drop("bits"), named, ["n", "h1", "h2"], "copies", F.col("doc_id"))
     rest = mine.where("n = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
     keys = ["doc_id", "row"] if by_row else ["doc_id"]
