@@ -15,19 +15,22 @@ from tracemill.operators.findings import Findings, Thresholds, upsert_findings
 from tracemill.operators.opportunities import COMPONENTS, score_opportunities
 from tracemill.sources.tables import CANONICAL, conform
 
-BASE = datetime(2026, 5, 1, 8)
+FIRST_DAY = datetime(2027, 2, 3, 6)
 
 
-def event(case, activity, hours, team="ops", minutes=5, manual=False, n=0, **more):
-    at = BASE + timedelta(hours=hours)
-    return {"case_id": case, "activity": activity, "occurred_at": at, "completed_at": at + timedelta(minutes=minutes), "team": team, "is_manual": manual, "duration_ms": minutes * 60_000, "source_event_id": f"{case}-{n}-{activity}-{hours}", **more}
+def event(case, activity, hours, n=0, minutes=5, **more):
+    """A row of a log: an activity of so many minutes, at so many hours from the first day."""
+    start = FIRST_DAY + timedelta(hours=hours)
+    row = dict(case_id=case, activity=activity, source_event_id=f"{case}-{n}-{activity}-{hours}", occurred_at=start)
+    row |= dict(completed_at=start + timedelta(minutes=minutes), duration_ms=60_000 * minutes, team="desk", is_manual=bool(more.pop("manual", False)))
+    return row | more
 
 
 def log(spark, rows):
-    fields = {f.name for f in CANONICAL}
-    full = [{f.name: r.get(f.name) for f in CANONICAL} for r in rows]
-    assert all(set(r) <= fields for r in rows)
-    return EventLog(conform(spark.createDataFrame(full, CANONICAL)))
+    """An event log of rows that may leave canonical columns out."""
+    names = CANONICAL.fieldNames()
+    assert all(set(r) <= set(names) for r in rows)
+    return EventLog(conform(spark.createDataFrame([tuple(r.get(c) for c in names) for r in rows], CANONICAL)))
 
 
 def test_order_and_variant(spark):
@@ -130,12 +133,42 @@ def test_before_after(spark):
     rows = []
     for i in range(20):
         rows += [event(f"c{i:02}", "a", 24 * i, minutes=0), event(f"c{i:02}", "b", 24 * i + (20 if i < 10 else 10), minutes=0)]
-    got = {r.metric: r for r in metrics.before_after(log(spark, rows).cases(), "2026-05-11 08:00:00").collect()}
+    got = {r.metric: r for r in metrics.before_after(log(spark, rows).cases(), "2027-02-13 06:00:00").collect()}
     r = got["median_throughput_seconds"]
     assert (r.before, r.after, r.improved) == (72000.0, 36000.0, True)
     assert got["mean_handoffs"].improved is None
 
 
+def test_median_of_the_other_edges(spark):
+    """The baseline of a wait, against the median of all edges but one."""
+    rng = random.Random(9)
+    for edges in (1, 2, 3, 6, 7):
+        rows, waits = [], {}
+        for e in range(edges):
+            waits[e] = rng.choice([3, 5, 8, 8, 13])
+            for k in range(16):
+                rows += [event(f"c{e}-{k}", f"a{e}", 24 * k, minutes=0), event(f"c{e}-{k}", f"b{e}", 24 * k + waits[e], minutes=0)]
+        lg = log(spark, rows)
+        got = Findings(lg.steps(), lg.cases(), lg.transitions(), Thresholds(wait_baseline_multiple=0.0)).excessive_waiting().collect()
+        want = {f"a{e}->b{e}": median([w for o, w in waits.items() if o != e]) * 3600 if edges > 1 else 0.0 for e in waits}
+        assert {r.subject: r.baseline_value for r in got} == want
+
+
+def test_first_cases_of_a_variant(spark):
+    rows = [event(f"c{i:02}", "x", (i * 7) % 23) for i in range(23)]
+    got = metrics.variants(log(spark, rows).cases()).collect()
+    order = sorted((r["occurred_at"], r["case_id"]) for r in rows)
+    assert [r.example_case_ids for r in got] == [",".join(c for _, c in order[:5])]
+
+
+def test_fixed_log_is_the_same(spark):
+    rng = random.Random(3)
+    lg = log(with_checkpoints(spark), [event(f"c{rng.randrange(9)}", rng.choice("abc"), rng.randrange(99), n=i) for i in range(80)])
+    want = [sorted(map(str, df.collect())) for df in (lg.steps(), lg.cases(2.0), lg.transitions())]
+    lg.fixed()
+    assert [sorted(map(str, df.collect())) for df in (lg.steps(), lg.cases(2.0), lg.transitions())] == want
+
+
 def test_empty_log(spark):
     lg = log(spark, [])
     assert metrics.throughput(lg.cases()).first().median_seconds == 0.0

@@ -78,6 +78,75 @@ def test_store_and_stream(spark, tmp_path):
     assert spark.table("rates").agg(F.sum("events")).first()[0] == 3
 
 
+@pytest.mark.parametrize(
+    ("columns", "case", "at"),
+    [
+        ({"casework": "string", "the_case_no": "string", "case_no": "string", "when": "datetime"}, "case_no", "when"),
+        ({"Order ID": "string", "id": "string", "Start time": "datetime", "date": "datetime"}, "Order ID", "date"),
+        ({"showcase": "string", "x": "number"}, "showcase", None),
+    ],
+)
+def test_mapping_by_names(columns, case, at):
+    got = files.suggest_mapping(columns)
+    assert (got["case_id"], got.get("occurred_at")) == (case, at)
+
+
+def test_match_scores():
+    names = ("case_id", "case", "id")
+    for column, score in [("case_id", 100), ("Case-ID", 100), ("case", 99), ("ID", 98), ("my_case_id", 60), ("case_no", 59), ("casework", 29), ("video", 28), ("other", 0), ("", 0)]:
+        assert files.match_score(column, names) == score
+
+
+def test_events_without_ids(spark, tmp_path):
+    """Ids and systems that are missing are made, so nothing is lost and nothing comes twice."""
+    store = Store(with_checkpoints(spark), str(tmp_path / "store"), "t1")
+    at = datetime(2026, 5, 1, 8)
+    five = [{"case_id": f"c{i}", "activity": "x", "occurred_at": at} for i in range(5)]
+    assert store.insert_batch(five, "p") == (5, 0)
+    assert store.insert_batch([*five, {**five[0], "source_system": "web"}], "p") == (1, 5)
+    named = [{**e, "source_event_id": f"id{i}", "source_system": ""} for i, e in enumerate(five)]
+    assert store.insert_batch(named, "p") == (5, 0) and store.insert_batch(named, "p") == (0, 5)
+    ids = {(r.source_system, r.source_event_id) for r in store.read("events", "p").collect()}
+    assert ("api", "c0:x:2026-05-01T08:00:00+00:00") in ids and ("api", "id0") in ids and len(ids) == 11
+    for rows in ([], five * 2001):
+        with pytest.raises(ValueError, match="1 to 10000"):
+            store.insert_batch(rows, "p")
+
+
+def test_import_replay_and_status(spark, tmp_path):
+    store = Store(with_checkpoints(spark), str(tmp_path / "store"), "t1")
+    process = store.create_process(" Orders ")
+    assert store.create_process("Orders") == process != store.create_process("Other")
+    rows = spark.createDataFrame([(1, "O1", "sent", "2026-05-01"), (2, "", "sent", "2026-05-02"), (3, "O2", "sent", "soon")], "row_index long, `the case` string, step string, day string")
+    m = files.Mapping({"case_id": "the case", "activity_name": "step", "occurred_at": "day"})
+    done = store.import_rows(rows, m, process)
+    assert (done["accepted"], done["duplicates"], done["rejected"]) == (1, 0, 2)
+    assert [(e["row_index"], e["problems"]) for e in done["errors"]] == [(2, "missing case_id"), (3, "unparseable occurred_at")]
+    again = store.replay(process, done["import_id"], m)
+    assert (again["accepted"], again["duplicates"], again["status"]) == (0, 1, "mapped")
+    assert sorted(store.raw_rows(process, done["import_id"]).columns) == sorted(rows.columns)
+    assert store.import_status(process, "none") is None
+
+
+def test_set_status(spark, tmp_path):
+    store = Store(with_checkpoints(spark), str(tmp_path / "store"), "t1")
+    store.replace("findings", spark.createDataFrame([("f1", "open"), ("f2", "open")], "fingerprint string, status string"), "p")
+    store.set_status("findings", "p", "f1", "dismissed")
+    assert {r.fingerprint: r.status for r in store.read("findings", "p").collect()} == {"f1": "dismissed", "f2": "open"}
+    with pytest.raises(ValueError, match="none of"):
+        store.set_status("findings", "p", "f1", "done")
+    with pytest.raises(KeyError):
+        store.set_status("findings", "p", "f9", "open")
+
+
+def test_columns_and_quoted_breaks(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text('_c0,,b\n1,2,"two\nlines"\n3,4,x\n', encoding="utf-8")
+    assert [r.b for r in files.read_delimited(spark, str(path)).orderBy("row_index").collect()] == ["two\nlines", "x"]
+    path.write_text("_c0,,b\n1,2,y\n", encoding="utf-8")
+    assert files.read_delimited(spark, str(path)).columns == ["_c0", "b", "row_index"]
+
+
 def test_report_renders(spark):
     from tracemill.plans import catalog
 

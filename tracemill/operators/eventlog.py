@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.session import Scratch
 from ..functions.stats import micros, seconds
 
 SEPARATOR = "␟"
@@ -27,6 +28,7 @@ class EventLog:
     def __init__(self, events: DataFrame) -> None:
         self.events = events
         self._kept: DataFrame | None = None
+        self._kept_cases: DataFrame | None = None
 
     def keep(self) -> EventLog:
         """Computes the steps once for all that follows, until `release`."""
@@ -38,6 +40,13 @@ class EventLog:
             self._kept.unpersist()
             self._kept = None
 
+    def fixed(self) -> EventLog:
+        """Writes the steps and the cases once, in the shared folder, for all that follows."""
+        scratch = Scratch(self.events.sparkSession, "log")
+        self._kept = scratch.keep(self.steps())
+        self._kept_cases = scratch.keep(self.cases())
+        return self
+
     def between(self, start: str | None = None, end: str | None = None) -> EventLog:
         """Cases that start in [start, end), with all their events."""
         first = F.min("occurred_at").over(W.Window.partitionBy("case_id"))
@@ -97,6 +106,9 @@ class EventLog:
 
     def cases(self, sla_hours: float | None = None) -> DataFrame:
         """One row per case, in microseconds."""
+        late = F.col("throughput") > sla_hours * 3_600_000_000 if sla_hours else F.lit(False)
+        if self._kept_cases is not None:
+            return self._kept_cases.withColumn("sla_breached", late)
         names = F.transform(F.array_sort(F.collect_list(F.struct("pos", "activity"))), lambda x: x.activity)
         df = self.steps().groupBy("case_id").agg(
             F.min("occ").alias("started"),
@@ -114,7 +126,6 @@ class EventLog:
         df = df.withColumn("throughput", F.greatest(F.col("ended") - F.col("started"), F.lit(0)))
         df = df.withColumn("waiting", F.greatest(F.col("throughput") - F.col("service"), F.lit(0)))
         df = df.withColumn("variant_key", F.substring(F.sha1(F.array_join("sequence", SEPARATOR)), 1, 16))
-        late = F.col("throughput") > sla_hours * 3_600_000_000 if sla_hours else F.lit(False)
         return df.withColumn("sla_breached", late)
 
     def timeline(self, case_id: str) -> DataFrame:

@@ -48,11 +48,15 @@ class Findings:
 
     def excessive_waiting(self) -> DataFrame:
         """Waits far above the median of all other edges."""
-        # Edges are pairs of activities, so each can meet all others.
-        edges = transition_base(self.transitions)
-        other = edges.select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("median_wait").alias("w"))
-        rest = edges.select("source", "target").join(other, (F.col("source") != F.col("s")) | (F.col("target") != F.col("t"))).groupBy("source", "target").agg(quantile("w", 0.5).alias("base"))
-        df = edges.join(rest, ["source", "target"], "left").withColumn("base", F.coalesce("base", F.lit(0.0))).crossJoin(self.scope)
+        # The medians in order, a value per edge of the model; without its own, an edge's
+        # others are the same list with a gap at its rank.
+        order = W.Window.orderBy("median_wait", "source", "target")
+        edges = transition_base(self.transitions).withColumn("rank", F.row_number().over(order))
+        medians = edges.agg(F.array_sort(F.collect_list("median_wait")).alias("medians"))
+        at = lambda k: F.get("medians", (k + F.when(k + 1 >= F.col("rank"), 1).otherwise(0)).cast("int"))
+        others = F.size("medians") - 1
+        middle = (at(F.floor((others - 1) / 2)) + at(F.floor(others / 2))) / 2
+        df = edges.crossJoin(F.broadcast(medians)).withColumn("base", F.when(others > 0, middle).otherwise(0.0)).drop("medians", "rank").crossJoin(self.scope)
         df = df.where((F.col("case_count") >= self.c.min_cases) & (F.col("median_wait") >= self.c.min_wait_hours * US_HOUR) & ~((F.col("base") > 0) & (F.col("median_wait") < F.col("base") * self.c.wait_baseline_multiple)))
         hours = monthly_hours(F.col("total_wait"), F.col("days"))
         return self.finding(

@@ -91,12 +91,16 @@ def loop_metrics(steps: DataFrame) -> DataFrame:
 
 
 def variant_base(cases: DataFrame) -> DataFrame:
-    """Per variant; the five first cases by start stand for it."""
+    """Per variant; the five first cases by start stand for it.
+
+    These are a branch of their own: Spark takes the first five of each variant
+    before the shuffle too, and the aggregate needs no order.
+    """
     order = W.Window.partitionBy("variant_key").orderBy("started", "case_id")
-    ranked = cases.withColumn("rank", F.row_number().over(order))
+    first = cases.select("variant_key", "started", "case_id").withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    first = first.groupBy("variant_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "case_id"))), lambda x: x.case_id).alias("example_case_ids"))
     total = cases.agg(F.count("*").alias("all_cases"))
-    first = F.when(F.col("rank") <= 5, F.struct("rank", "case_id"))
-    return ranked.groupBy("variant_key").agg(
+    return cases.groupBy("variant_key").agg(
         F.first("sequence").alias("sequence"),
         F.count("*").alias("case_count"),
         quantile("throughput", 0.5).alias("median_throughput"),
@@ -105,8 +109,7 @@ def variant_base(cases: DataFrame) -> DataFrame:
         F.avg("handoff_count").alias("mean_handoffs"),
         F.avg((F.col("rework_count") > 0).cast("int")).alias("rework_case_ratio"),
         F.coalesce(F.sum("monetary_value"), F.lit(0.0)).alias("total_monetary_value"),
-        F.transform(F.array_sort(F.collect_list(first)), lambda x: x.case_id).alias("example_case_ids"),
-    ).crossJoin(F.broadcast(total)).withColumn("share", F.col("case_count") / F.col("all_cases"))
+    ).join(first, "variant_key").crossJoin(F.broadcast(total)).withColumn("share", F.col("case_count") / F.col("all_cases"))
 
 
 def variants(cases: DataFrame) -> DataFrame:

@@ -161,6 +161,11 @@ def _findings(log: EventLog, config: Thresholds = TUNED) -> Findings:
     return Findings(log.steps(), log.cases(SLA_HOURS), log.transitions(), config)
 
 
+def _fixed(spark: SparkSession, sf_dir: str) -> EventLog:
+    """The day log with steps and cases written once."""
+    return _day(spark, sf_dir).fixed()
+
+
 def _detector(name: str, method: str, sessions: bool = False) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         log = EventLog(session_log(spark, sf_dir)) if sessions else _day(spark, sf_dir)
@@ -179,20 +184,20 @@ for _name, _method, _sessions in (
 
 @query
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _findings(_day(spark, sf_dir)).all().select(*FINDING_COLUMNS)
+    return _findings(_fixed(spark, sf_dir)).all().select(*FINDING_COLUMNS)
 
 
 @query
 def findings_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten first of the high findings."""
-    found = _findings(_day(spark, sf_dir)).all().withColumn("status", F.lit("open"))
+    found = _findings(_fixed(spark, sf_dir)).all().withColumn("status", F.lit("open"))
     return rollups.findings_inbox(found, severity="high", status="open", limit=10).select("finding_type", "subject", "severity", "impact_score")
 
 
 @query
 def findings_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run after one with default thresholds, some of whose findings were dealt with."""
-    log = _day(spark, sf_dir)
+    log = _fixed(spark, sf_dir)
     status = F.when(F.substring("fingerprint", 1, 1) < "8", "open").when(F.substring("fingerprint", 1, 1) < "c", "resolved").otherwise("dismissed")
     old = _findings(log, Thresholds(manual_repetition_share=0.3)).all().select("fingerprint", status.alias("status"), F.lit("noted").alias("narrative"), "impact_score")
     new = Findings(log.steps(), log.cases(), log.transitions(), Thresholds(rare_variant_share=0.0, handoff_threshold=1.0)).all()
@@ -201,27 +206,30 @@ def findings_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _day(spark, sf_dir)
+    return _scored(_fixed(spark, sf_dir))
+
+
+def _scored(log: EventLog) -> DataFrame:
     return score_opportunities(log.steps(), log.cases())
 
 
-def _with_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = spark.createDataFrame([("signup", "planned"), ("click", "done")], "activity string, status string")
-    return carry_status(opportunities(spark, sf_dir), old)
+def _with_status(log: EventLog) -> DataFrame:
+    old = log.events.sparkSession.createDataFrame([("signup", "planned"), ("click", "done")], "activity string, status string")
+    return carry_status(_scored(log), old)
 
 
 @query
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _day(spark, sf_dir)
-    return rollups.overview(log.cases(), _findings(log).all().withColumn("status", F.lit("open")), _with_status(spark, sf_dir))
+    log = _fixed(spark, sf_dir)
+    return rollups.overview(log.cases(), _findings(log).all().withColumn("status", F.lit("open")), _with_status(log))
 
 
 @query
 def workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The overview with all that the home screen shows."""
-    log, process = _day(spark, sf_dir), F.lit("day").alias("process_id")
+    log, process = _fixed(spark, sf_dir), F.lit("day").alias("process_id")
     found = _findings(log).all().withColumn("status", F.lit("open")).withColumn("process_id", process)
-    return rollups.workspace(log.events.select(process), log.cases(), found, _with_status(spark, sf_dir))
+    return rollups.workspace(log.events.select(process), log.cases(), found, _with_status(log))
 
 
 @query
@@ -285,6 +293,19 @@ def ingest_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.new_events(e, stored).select("row_index", "source_event_id", "user_id")
 
 
+@query
+def ingest_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of which some lack an id or a system, each twice; those of users with even numbers are stored."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = e.select(
+        F.col("event_id").alias("row_index"), F.when(F.col("event_id") % 3 == 0, "web").when(F.col("event_id") % 3 == 1, "").alias("source_system"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("source_event_id"),
+        F.col("user_id").cast("string").alias("case_id"), F.col("event_type").alias("activity"), F.date_trunc("hour", F.col("ts").cast("timestamp_ntz")).cast("timestamp_ntz").alias("occurred_at"),
+    )
+    twice = e.union(e.withColumn("row_index", F.col("row_index") + 1_000_000_000))
+    stored = files.with_identity(e.where("CAST(case_id AS BIGINT) % 2 = 0")).select("source_system", "source_event_id")
+    return files.new_events(twice, stored).select("row_index", "source_system", "source_event_id")
+
+
 @query
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.column_profile(_raw(spark, sf_dir), ["order_id", "step", "channel", "formula"])

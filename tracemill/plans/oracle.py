@@ -197,6 +197,11 @@ ORACLE_SQL: dict[str, str] = {
       FROM parsed WHERE case_id IS NULL OR occurred_at IS NULL""",
     "ingest_dedupe": """WITH e AS (SELECT event_id AS row_index, 'e' || (event_id // 2) AS source_event_id, user_id FROM events)
       SELECT row_index, source_event_id, user_id FROM e WHERE source_event_id NOT IN (SELECT source_event_id FROM e WHERE user_id % 2 = 0) QUALIFY row_number() OVER (PARTITION BY source_event_id ORDER BY row_index) = 1""",
+    "ingest_identity": """WITH e AS (
+        SELECT event_id AS row_index, CASE WHEN event_id % 3 = 0 THEN 'web' ELSE 'api' END AS source_system, user_id,
+          CASE WHEN event_id % 2 = 0 THEN 'e' || event_id ELSE user_id || ':' || event_type || ':' || strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS source_event_id FROM events
+      ), f AS (SELECT source_system, source_event_id, min(row_index) AS row_index, bool_or(user_id % 2 = 0) AS stored FROM e GROUP BY ALL)
+      SELECT row_index, source_system, source_event_id FROM f WHERE NOT stored""",
     "column_profile": """WITH r AS (
         SELECT event_id, 'order_id' AS "column", CASE WHEN event_id % 11 = 0 THEN '' ELSE '''U-' || user_id END AS value FROM events UNION ALL SELECT event_id, 'step', ' ' || event_type FROM events
         UNION ALL SELECT event_id, 'channel', CASE WHEN user_id % 2 = 0 THEN 'Manual' ELSE 'web' END FROM events UNION ALL SELECT event_id, 'formula', '=' || event_type FROM events

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import text as tx
-from .tables import conform
 
 # Names of columns by which a canonical field is recognised, best first.
 FIELD_NAMES = {
@@ -40,12 +39,22 @@ def sniff_delimiter(head: str) -> str:
         return ","
 
 
-def read_delimited(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
-    """All columns as sanitised text, with row_index from 1 in the order of the file."""
-    head = "\n".join(r.value for r in spark.read.text(path).limit(20).collect()).lstrip("﻿")
-    raw = spark.read.option("header", True).option("sep", sniff_delimiter(head)).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-    names = [c.lstrip("﻿").strip() for c in raw.columns]
-    raw = raw.toDF(*names).select(*[F.col(f"`{n}`") for n in names if n and not re.fullmatch(r"_c\d+", n)])
+def read_delimited(spark: SparkSession, path: str, max_rows: int | None = None, breaks: bool | None = None) -> DataFrame:
+    """All columns that have a name as sanitised text, with row_index from 1 in the order of the file.
+
+    breaks: whether quoted cells hold line breaks, which keeps Spark from splitting
+    a file; looked up where it is not stated.
+    """
+    lines = spark.read.text(path)
+    head = [r.value for r in lines.limit(20).collect()]
+    sep = sniff_delimiter("\n".join(head).lstrip("\ufeff"))
+    if breaks is None:  # a line within a quoted cell has an odd number of quotes
+        breaks = not lines.where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
+    raw = spark.read.option("header", True).option("sep", sep).option("multiLine", breaks).option("quote", '"').option("escape", '"').csv(path)
+    named = next(csv.reader(head[:1], delimiter=sep), []) if not breaks else raw.columns
+    raw = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
+    blank = {i for i, c in enumerate(named) if not c.lstrip("\ufeff").strip()} | ({i for i, c in enumerate(raw.columns) if c == f"_c{i}"} if breaks else set())
+    raw = raw.select(*[F.col(f"`{c}`") for i, c in enumerate(raw.columns) if c and i not in blank])
     df = raw.select(*[tx.sanitize(F.col(f"`{c}`")).alias(c) for c in raw.columns], F.monotonically_increasing_id().alias("row_index"))
     df = number_rows(df)
     return df if max_rows is None else df.where(F.col("row_index") <= max_rows)
@@ -86,36 +95,36 @@ def infer_types(rows: DataFrame, columns: list[str], sample: int = 200) -> DataF
     return every.join(stats, "column", "left").select("column", F.when(F.col("n").isNull(), "empty").otherwise(kind).alias("inferred_type"))
 
 
+#: What it is worth how a name is in a column's (both between underscores), best first.
+FITS = (
+    (100, lambda column, name: column == name),
+    (60, lambda column, name: column.startswith(name) or column.endswith(name)),
+    (30, lambda column, name: name.strip("_") in column),
+)
+
+
 def match_score(column: str, names: tuple[str, ...]) -> int:
-    """How well a column's name fits: the first name that fits in any way decides."""
-    name = re.sub(r"[^a-z0-9]+", "_", column.lower()).strip("_")
-    for i, key in enumerate(names):
-        if name == key:
-            return 100 - i
-        if name.startswith(key) or name.endswith(key):
-            return 60 - i
-        if key in name:
-            return 30 - i
-    return 0
+    """How well a column fits: the first of the names that is in it decides, earlier ones count more."""
+    words = "_".join(["", *re.findall(r"[a-z0-9]+", column.lower()), ""])
+    worth = [next((w for w, fits in FITS if fits(words, f"_{name}_")), 0) for name in names]
+    return next((w - place for place, w in enumerate(worth) if w), 0)
 
 
 def suggest_mapping(types: dict[str, str]) -> dict[str, str]:
-    """Canonical field -> column, greedily in the order of fields."""
-    taken: dict[str, str] = {}
+    """Canonical field -> column: each field, in their order, takes the free column that fits best, the first of equals."""
+    free = list(types)
+    dates = [c for c in types if types[c] == "datetime"]
+    chosen: dict[str, str] = {}
     for name, keys in FIELD_NAMES.items():
-        best, top = None, 0
-        for column, kind in types.items():
-            if column in taken.values() or (name in ("occurred_at", "completed_at") and kind != "datetime"):
-                continue
-            if (score := match_score(column, keys)) > top:
-                best, top = column, score
-        if best:
-            taken[name] = best
-    if "occurred_at" not in taken:
-        spare = next((c for c, k in types.items() if k == "datetime" and c not in taken.values()), None)
-        if spare:
-            taken["occurred_at"] = spare
-    return taken
+        allowed = [c for c in free if c in dates] if name in ("occurred_at", "completed_at") else free
+        best = max(allowed, key=lambda c: match_score(c, keys), default=None)
+        if best is not None and match_score(best, keys) > 0:
+            chosen[name] = best
+            free.remove(best)
+    spare = [c for c in dates if c in free]
+    if "occurred_at" not in chosen and spare:
+        chosen["occurred_at"] = spare[0]
+    return chosen
 
 
 @dataclass(frozen=True)
@@ -137,7 +146,9 @@ class Mapping:
 
 def _parsed(rows: DataFrame, m: Mapping) -> DataFrame:
     at, done = tx.timestamp(m.raw("occurred_at")), tx.timestamp(m.raw("completed_at"))
-    df = rows.withColumns({"e_case": m.text("case_id"), "e_activity": m.text("activity_name"), "e_at": at, "e_done": done})
+    once = F.struct(m.text("case_id").alias("e_case"), m.text("activity_name").alias("e_activity"), at.alias("e_at"), done.alias("e_done"))
+    # A generated row is computed once, however often it is named below.
+    df = rows.select("*", F.inline(F.array(once)))
     problems = F.array_compact(F.array(
         F.when(F.col("e_case").isNull(), "missing case_id"), F.when(F.col("e_activity").isNull(), "missing activity_name"), F.when(F.col("e_at").isNull(), "unparseable occurred_at")
     ))
@@ -168,12 +179,22 @@ def rejected_rows(rows: DataFrame, m: Mapping) -> DataFrame:
     return _parsed(rows, m).where(F.size("problems") > 0).select("row_index", F.array_join("problems", "; ").alias("problems"))
 
 
-def new_events(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Incoming events that are not stored, first of each identity by row_index."""
-    key = ["source_system", "source_event_id"]
-    once = incoming.withColumn("k", F.row_number().over(W.Window.partitionBy(*key).orderBy("row_index"))).where("k = 1").drop("k")
-    return once.join(stored.select(*key).distinct(), key, "left_anti")
+def with_identity(events: DataFrame, default_system: str = "api") -> DataFrame:
+    """Events with a source system and an id: by default the given one, and case, activity and time."""
+    have = set(events.columns)
+    named = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in have else F.lit(None).cast("string")
+    made = F.lit(None).cast("string")
+    if {"case_id", "activity", "occurred_at"} <= have:
+        made = F.concat(F.col("case_id"), F.lit(":"), F.col("activity"), F.lit(":"), iso(F.col("occurred_at").cast("timestamp_ntz")))
+    return events.withColumn("source_system", F.coalesce(named("source_system"), F.lit(default_system))).withColumn("source_event_id", F.coalesce(named("source_event_id"), made))
+
 
+def new_events(incoming: DataFrame, stored: DataFrame, default_system: str = "api") -> DataFrame:
+    """Incoming events that are not stored, first of each identity by row_index.
 
-def canonical(rows: DataFrame) -> DataFrame:
-    return conform(rows)
+    Events that lack an id get one first; those that have nothing to make one of are all new.
+    """
+    key = ["source_system", "source_event_id"]
+    known = with_identity(incoming, default_system)
+    once = known.withColumn("k", F.row_number().over(W.Window.partitionBy(*key).orderBy("row_index"))).where("k = 1 OR source_event_id IS NULL").drop("k")
+    return once.join(stored.select(*key).distinct(), key, "left_anti")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .files import new_events
-from .tables import conform
+from .files import Mapping, new_events, normalize_events, rejected_rows
+from .tables import CANONICAL, conform
 
 FINDING_STATES = ("open", "acknowledged", "in_progress", "resolved", "dismissed")
 OPPORTUNITY_STATES = ("proposed", "planned", "in_progress", "done", "rejected")
+#: The key and the states of the tables in which users decide.
+STATES = {"findings": ("fingerprint", FINDING_STATES), "opportunities": ("activity", OPPORTUNITY_STATES)}
+#: Most events of a batch.
+BATCH_ROWS = 10_000
 
 
 class Store:
@@ -55,14 +61,79 @@ class Store:
             return
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", "process_id").parquet(self.path(table))
 
-    def insert_events(self, incoming: DataFrame, process_id: str) -> tuple[int, int]:
+    def insert_events(self, incoming: DataFrame, process_id: str, default_system: str = "api") -> tuple[int, int]:
         """(inserted, duplicates): events whose identity the tenant has not yet."""
         total = incoming.count()
-        fresh = new_events(incoming, self.read("events")) if self.exists("events") else new_events(incoming, incoming.limit(0))
-        fresh = fresh.checkpoint()
+        stored = self.read("events") if self.exists("events") else conform(incoming).limit(0)
+        fresh = new_events(incoming, stored, default_system).checkpoint()
         n = fresh.count()
         self.append("events", conform(fresh), process_id)
         return n, total - n
 
+    def insert_batch(self, rows: list[dict], process_id: str, default_system: str = "api") -> tuple[int, int]:
+        """As insert_events, of 1 to BATCH_ROWS canonical events at once."""
+        if not 1 <= len(rows) <= BATCH_ROWS:
+            raise ValueError(f"a batch has 1 to {BATCH_ROWS} events, not {len(rows)}")
+        schema = T.StructType([f for f in CANONICAL if f.name not in ("tenant_id", "process_id")]).add("row_index", T.LongType())
+        full = [{f.name: r.get(f.name) for f in schema} | {"row_index": i} for i, r in enumerate(rows)]
+        return self.insert_events(self.spark.createDataFrame(full, schema), process_id, default_system)
+
+    def set_status(self, table: str, process_id: str, key: str, status: str) -> None:
+        """What a user decides on a finding (by fingerprint) or an opportunity (by activity)."""
+        name, states = STATES[table]
+        if status not in states:
+            raise ValueError(f"{status!r} is none of {', '.join(states)}")
+        rows = self.read(table, process_id).drop("tenant_id", "process_id")
+        if rows.where(F.col(name) == key).isEmpty():
+            raise KeyError(f"{table} has no {name} {key!r}")
+        self.replace(table, rows.withColumn("status", F.when(F.col(name) == key, F.lit(status)).otherwise(F.col("status"))), process_id)
+
+    def create_process(self, name: str) -> str:
+        """The id of the tenant's process of this name, which is made where there is none."""
+        if not name.strip():
+            raise ValueError("a process needs a name")
+        found = self.read("processes").where(F.col("name") == name.strip()).select("process_id").first() if self.exists("processes") else None
+        if found:
+            return found[0]
+        process_id = uuid.uuid4().hex
+        self.append("processes", self.spark.createDataFrame([(name.strip(),)], "name string").withColumn("created_at", F.current_timestamp()), process_id)
+        return process_id
+
+    def import_rows(self, rows: DataFrame, mapping: Mapping, process_id: str) -> dict:
+        """Raw rows as they came, then their events; what was accepted, known already and rejected.
+
+        The raw rows stay under an import_id, from which `replay` maps them again.
+        """
+        import_id = uuid.uuid4().hex
+        columns = [c for c in rows.columns if c != "row_index"]
+        payload = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(f"`{c}`").cast("string") for c in columns]))
+        self.append("raw_rows", rows.select(F.lit(import_id).alias("import_id"), "row_index", payload.alias("payload"), F.current_timestamp().alias("received_at")), process_id)
+        return self._map_rows(rows, mapping, process_id, import_id)
+
+    def raw_rows(self, process_id: str, import_id: str) -> DataFrame:
+        """The rows of an import with the columns that they had."""
+        raw = self.read("raw_rows", process_id).where(F.col("import_id") == import_id)
+        first = raw.select(F.map_keys("payload")).first()  # all rows of an import have the same columns
+        return raw.select("row_index", *[F.col("payload")[c].alias(c) for c in (first[0] if first else [])])
+
+    def replay(self, process_id: str, import_id: str, mapping: Mapping) -> dict:
+        """Maps the rows of an import again; events that are stored already stay."""
+        return self._map_rows(self.raw_rows(process_id, import_id), mapping, process_id, import_id)
+
+    def import_status(self, process_id: str, import_id: str) -> dict | None:
+        """What the last mapping of an import did, with its first 50 errors by row."""
+        runs = self.read("imports", process_id).where(F.col("import_id") == import_id).orderBy(F.desc("mapped_at")).limit(1) if self.exists("imports") else None
+        found = runs.select("import_id", "status", "accepted", "duplicates", "rejected", "errors").first() if runs is not None else None
+        return found.asDict(True) if found else None
+
+    def _map_rows(self, rows: DataFrame, mapping: Mapping, process_id: str, import_id: str) -> dict:
+        accepted, duplicates = self.insert_events(normalize_events(rows, mapping), process_id, mapping.source_system)
+        bad = rejected_rows(rows, mapping)
+        errors = bad.orderBy("row_index").limit(50).agg(F.sort_array(F.collect_list(F.struct("row_index", "problems"))).alias("errors"))
+        done = bad.agg(F.count("*").alias("rejected")).crossJoin(F.broadcast(errors))  # one row each
+        done = done.select(F.lit(import_id).alias("import_id"), F.lit("mapped").alias("status"), F.lit(accepted).cast("long").alias("accepted"), F.lit(duplicates).cast("long").alias("duplicates"), "rejected", "errors", F.current_timestamp().alias("mapped_at"))
+        self.append("imports", done, process_id)
+        return self.import_status(process_id, import_id)
+
     def _tagged(self, df: DataFrame, process_id: str) -> DataFrame:
         return df.withColumn("tenant_id", F.lit(self.tenant_id)).withColumn("process_id", F.lit(process_id))
