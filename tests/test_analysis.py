@@ -67,17 +67,17 @@ def test_tenants_and_empty_replacement(spark, tmp_path):
     assert (one.read("t").count(), other.read("t").count()) == (0, 1)
 
 
-FINDING = "process_id string, finding_type string, subject string, title string, severity string, status string, impact_score double, impact_hours double, evidence string"
+FINDING = "process_id string, finding_type string, subject string, title string, severity string, status string, impact_score double, impact_hours double, evidence string, affected_case_count long, confidence double"
 
 
 def test_report_leaves_dismissed_findings_out(spark):
-    rows = [("p", "t", f"s{i:02}", f"title {i}", "high", "dismissed" if i < 10 else "open" if i % 2 else "resolved", 100.0 - i, 1.0, "{}") for i in range(24)]
+    rows = [("p", "t", f"s{i:02}", f"title {i}", "high", "dismissed" if i < 10 else "open" if i % 2 else "resolved", 100.0 - i, 1.0, "{}", 9, 0.5) for i in range(24)]
     one = spark.createDataFrame([(1, 2, 1, 3600.0)], "case_count long, event_count long, variant_count long, median_throughput_seconds double")
     variants = spark.createDataFrame([], "variant_key string, sequence string, case_count long")
     scores = spark.createDataFrame([], "activity string, approach string, score double, estimated_hours_per_month double, estimated_eur_per_month double")
     payload = rollups.report_payload(one, variants, spark.createDataFrame(rows, FINDING), scores)
     assert [f["subject"] for f in payload["findings"]] == [f"s{i:02}" for i in range(10, 20)]
-    assert "title 10" in (body := rollups.render_markdown("P", payload)) and "title 9 " not in body
+    assert "title 10" in (body := rollups.render_markdown("P", payload)) and "title 9:" not in body
 
 
 def test_workspace(spark):
@@ -88,7 +88,7 @@ def test_workspace(spark):
         ("r", late, "trend", "slower by 90%", "high", "dismissed", 9.0, 1.0, '{"subject":"trend","change_pct":0.9}'),
         ("p", "excessive_waiting", "a", "waits", "high", "open", 5.0, 1.0, "{}"),
     ]
-    findings = spark.createDataFrame(rows, FINDING)
+    findings = spark.createDataFrame([(*r, 9, 0.5) for r in rows], FINDING)
     events = spark.createDataFrame([("p",)] * 3 + [("q",)] * 4, "process_id string")
     cases = spark.createDataFrame([("p",), ("q",)], "process_id string")
     scores = spark.createDataFrame([("a", "planned", 1.0, 2.0, 70.0), ("b", "done", 3.0, 4.0, 140.0)], "activity string, status string, score double, estimated_hours_per_month double, estimated_eur_per_month double")

@@ -151,7 +151,30 @@ def test_report_renders(spark):
     from tracemill.plans import catalog
 
     sf = "/root/testdata/sf0.001"
-    found = catalog._findings(catalog._day(spark, sf)).all()
+    found = catalog._findings(catalog._day(with_checkpoints(spark), sf)).all().withColumn("status", F.lit("open"))
     payload = rollups.report_payload(catalog.summary(spark, sf), catalog.QUERIES["variants"](spark, sf), found, catalog.opportunities(spark, sf))
     text = rollups.render_markdown("Orders", payload)
     assert text.startswith("# Orders") and f"{payload['summary']['case_count']} cases" in text
+    assert "EUR a month" in text and "do not show what causes" in text
+    nothing = rollups.render_markdown("N", payload | {"findings": [], "opportunities": [], "variants": []})
+    assert "beyond the thresholds" in nothing and "frequent enough" in nothing
+
+
+def test_profile_of_an_import(spark):
+    rows = spark.createDataFrame([(1, "O1", "2026-05-01", ""), (2, "O2", "2026-05-02", None)], "row_index long, order_id string, day string, junk string")
+    got = files.import_profile(rows)
+    assert got["row_count"] == 2 and got["mapping"] == {"case_id": "order_id", "occurred_at": "day"}
+    assert got["warnings"] == ["no column for activity_name", "column junk is empty"]
+    assert [c["suggested_field"] for c in got["columns"]] == ["case_id", "occurred_at", None] and got["sample_rows"][1]["order_id"] == "O2"
+
+
+def test_orders_and_limits(spark):
+    from tracemill.operators import order
+
+    rows = spark.createDataFrame([("b", 2), ("a", 2), ("c", 9)], "variant_key string, case_count long")
+    assert [r.variant_key for r in order.first(rows, "variants", 2).collect()] == ["c", "a"]
+    for limit in (0, 501):
+        with pytest.raises(ValueError, match="1 to 500"):
+            order.first(rows, "variants", limit)
+    found = spark.createDataFrame([("low", "f1", "open", 9.0), ("high", "f2", "open", 1.0), ("medium", "f3", "open", 5.0)], "severity string, subject string, status string, impact_score double")
+    assert [r.subject for r in rollups.findings_inbox(found, limit=2).collect()] == ["f3", "f1"]

@@ -22,7 +22,7 @@ def sanitize(c: Column) -> Column:
 
 def canonical(c: Column) -> Column:
     """Stripped text without protecting quotes; blank is null."""
-    out = F.regexp_replace(strip(c), r"^'+|'+$", "")
+    out = bare(c)
     return F.when(out != "", out)
 
 
@@ -45,9 +45,18 @@ _ISO = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,6})?)?)?"
 _ZONE = r"([+-]\d{2}:?\d{2}|Z)$"
 
 
+def bare(c: Column) -> Column:
+    """Text without blanks and protecting quotes at its ends."""
+    return F.regexp_replace(strip(c), r"^'+|'+$", "")
+
+
 def timestamp(c: Column) -> Column:
     """A timestamp without zone, in UTC; naive input is UTC, other text null."""
-    s = F.regexp_replace(strip(c), r"^'+|'+$", "")
+    return bare_timestamp(bare(c))
+
+
+def bare_timestamp(s: Column) -> Column:
+    """As `timestamp`, of text that is bare already; s is named often, so it is best a column."""
     offset = F.regexp_extract(s, r"([+-]\d{2}):?(\d{2})$", 1)
     minutes = F.regexp_extract(s, r"([+-]\d{2}):?(\d{2})$", 2)
     local = F.regexp_replace(s, _ZONE, "")

@@ -36,14 +36,15 @@ class Findings:
         self.steps, self.cases, self.transitions, self.c = steps, cases, transitions, config or Thresholds()
         self.scope = F.broadcast(cases.agg(F.count("*").alias("all_cases")).crossJoin(window_days(cases)))  # one row
 
-    def finding(self, df: DataFrame, kind: str, subject: Column, title: Column, cases: Column, metric: Column, baseline: Column, hours: Column, evidence: list[Column], sure: Column | None = None) -> DataFrame:
-        """Rows in the common schema. df has all_cases and days."""
+    def finding(self, df: DataFrame, kind: str, subject: Column, title: Column, cases: Column, metric: Column, baseline: Column, hours: Column, evidence: list[Column], sure: Column | None = None, inner: Column | None = None) -> DataFrame:
+        """Rows in the common schema. df has all_cases and days; inner: what falls in the detector's own order."""
         sure = confidence(cases, 400.0) if sure is None else sure
         return df.where(F.col("all_cases") >= max(self.c.min_cases, 2)).select(
             F.lit(kind).alias("finding_type"), subject.alias("subject"), title.alias("title"), severity(hours).alias("severity"), cases.cast("long").alias("affected_case_count"),
             F.round(metric, 6).alias("metric_value"), F.round(baseline.cast("double"), 6).alias("baseline_value"), F.round(hours, 6).alias("impact_hours"),
             impact(hours, cases, F.col("all_cases")).alias("impact_score"), sure.cast("double").alias("confidence"),
             F.substring(F.sha1(F.concat_ws("|", F.lit(kind), subject)), 1, 32).alias("fingerprint"), F.to_json(F.struct(subject.alias("subject"), *evidence)).alias("evidence"),
+            (F.lit(0.0) if inner is None else inner.cast("double")).alias("inner"),
         )
 
     def excessive_waiting(self) -> DataFrame:
@@ -62,8 +63,8 @@ class Findings:
         return self.finding(
             df, "excessive_waiting", F.concat("source", F.lit("->"), "target"), F.format_string("Cases wait %.1f h between '%s' and '%s'", F.col("median_wait") / US_HOUR, "source", "target"),
             F.col("case_count"), F.col("median_wait") / 1e6, F.col("base") / 1e6, hours,
-            [F.round(F.col("median_wait") / US_HOUR, 2).alias("median_wait_hours"), F.round(F.col("p90_wait") / US_HOUR, 2).alias("p90_wait_hours"), F.round(F.col("base") / US_HOUR, 2).alias("baseline_median_wait_hours"),
-             F.round("handoff_rate", 3).alias("handoff_rate"), F.col("case_count").alias("cases_affected"), F.round(hours, 1).alias("waiting_hours_per_month")],
+            [F.col("source").alias("source_activity"), F.col("target").alias("target_activity"), F.lit("median wait of all other transitions").alias("baseline_scope"), F.round(F.col("median_wait") / US_HOUR, 2).alias("median_wait_hours"), F.round(F.col("p90_wait") / US_HOUR, 2).alias("p90_wait_hours"), F.round(F.col("base") / US_HOUR, 2).alias("baseline_median_wait_hours"),
+             F.round("handoff_rate", 3).alias("handoff_rate"), F.col("case_count").alias("cases_affected"), F.round(hours, 1).alias("waiting_hours_per_month")], inner=F.col("total_wait"),
         )
 
     def repeated_activity(self) -> DataFrame:
@@ -71,7 +72,7 @@ class Findings:
         hours = monthly_hours(F.col("extra"), F.col("days"))
         return self.finding(
             df, "repeated_activity", F.col("activity"), F.format_string("'%s' is repeated in %.0f%% of cases", "activity", F.col("rework_ratio") * 100), F.col("affected_cases"), F.col("rework_ratio"), F.lit(0.0), hours,
-            [F.col("activity"), F.col("repeat_events"), F.col("affected_cases").alias("cases_affected"), F.round("rework_ratio", 3).alias("rework_case_ratio"), F.round(hours, 1).alias("rework_hours_per_month")],
+            [F.col("activity"), F.col("repeat_events"), F.col("affected_cases").alias("cases_affected"), F.round("rework_ratio", 3).alias("rework_case_ratio"), F.round(hours, 1).alias("rework_hours_per_month")], inner=F.col("repeat_events"),
         )
 
     def high_handoffs(self) -> DataFrame:
@@ -80,7 +81,7 @@ class Findings:
         hours = F.col("mean") * F.col("all_cases") * 10 / 60
         return self.finding(
             df, "high_handoff_count", F.lit("process_handoffs"), F.format_string("Cases change hands %.1f times on average", "mean"), F.col("all_cases"), F.col("mean"), F.lit(self.c.handoff_threshold), hours,
-            [F.round("mean", 2).alias("mean_handoffs"), F.lit(self.c.handoff_threshold).alias("threshold"), F.col("all_cases").alias("cases_affected"), F.round(hours, 1).alias("coordination_hours_in_window")],
+            [F.round("mean", 2).alias("mean_handoffs"), F.lit(self.c.handoff_threshold).alias("threshold"), F.col("all_cases").alias("cases_affected"), F.lit("a handoff takes ten minutes").alias("assumption"), F.round(hours, 1).alias("coordination_hours_in_window")],
         )
 
     def rare_expensive_variant(self) -> DataFrame:
@@ -93,7 +94,7 @@ class Findings:
             df, "rare_expensive_variant", F.concat(F.lit("variant:"), "variant_key"), F.format_string("A rare path takes %.1f times as long", F.col("median_throughput") / F.col("overall")), F.col("case_count"),
             F.col("median_throughput") / 1e6, F.col("overall") / 1e6, hours,
             [F.col("variant_key"), F.col("sequence"), F.col("case_count"), F.round("share", 4).alias("share"), F.round(F.col("median_throughput") / US_HOUR, 2).alias("median_throughput_hours"),
-             F.round(F.col("overall") / US_HOUR, 2).alias("process_median_throughput_hours"), F.round(F.col("median_throughput") / F.col("overall"), 2).alias("ratio"), F.col("example_case_ids")],
+             F.round(F.col("overall") / US_HOUR, 2).alias("process_median_throughput_hours"), F.round(F.col("median_throughput") / F.col("overall"), 2).alias("ratio"), F.col("example_case_ids")], inner=F.col("case_count"),
         )
 
     def halves(self) -> DataFrame:
@@ -120,7 +121,7 @@ class Findings:
             df, "worsening_cycle_time", F.lit("cycle_time_trend"), F.format_string("Median cycle time changed by %.0f%%", change * 100), F.col("late"), F.col("now") / 1e6, F.col("was") / 1e6,
             (F.col("now") - F.col("was")) * F.col("late") / US_HOUR,
             [F.round(F.col("was") / US_HOUR, 2).alias("earlier_median_hours"), F.round(F.col("now") / US_HOUR, 2).alias("recent_median_hours"), F.round(change, 3).alias("change_pct"),
-             (F.col("all_cases") - F.col("late")).alias("earlier_cases"), F.col("late").alias("recent_cases"), F.col("split_at")],
+             (F.col("all_cases") - F.col("late")).alias("earlier_cases"), F.col("late").alias("recent_cases"), F.col("split_at"), F.lit("a trend within the window, not its cause").alias("note")],
             confidence(F.col("all_cases"), 400.0),
         )
 
@@ -131,7 +132,7 @@ class Findings:
             df.where(hours >= 1), "high_manual_repetition", F.concat(F.lit("manual:"), "activity"), F.format_string("'%s' is done by hand in %.0f%% of events", "activity", F.col("manual_share") * 100), F.col("case_count"),
             F.col("manual_share"), F.lit(self.c.manual_repetition_share), hours,
             [F.col("activity"), F.col("occurrence_count"), F.col("case_count").alias("cases_affected"), F.round("manual_share", 3).alias("manual_share"), F.round(F.col("median_service") / 6e7, 1).alias("median_service_minutes"),
-             F.round(hours, 1).alias("hours_per_month"), F.col("distinct_actors")],
+             F.round(hours, 1).alias("hours_per_month"), F.col("distinct_actors")], inner=F.col("occurrence_count"),
         )
 
     def outliers(self) -> DataFrame:
@@ -141,11 +142,11 @@ class Findings:
         df = df.agg(F.count("*").alias("k"), F.max("fence").alias("fence"), F.sum(F.col("throughput") - F.col("fence")).alias("over")).where("k >= 3").crossJoin(self.scope).crossJoin(F.broadcast(worst))
         return self.finding(
             df, "cycle_time_outliers", F.lit("cycle_time_outliers"), F.format_string("%d cases take far longer than the rest", "k"), F.col("k"), F.col("k").cast("double"), F.col("fence") / 1e6, F.col("over") / US_HOUR,
-            [F.col("k").alias("outlier_case_count"), F.round(F.col("fence") / US_HOUR, 2).alias("threshold_hours"), F.col("worst").alias("worst_cases")], F.lit(0.75),
+            [F.col("k").alias("outlier_case_count"), F.round(F.col("fence") / US_HOUR, 2).alias("threshold_hours"), F.col("worst").alias("worst_cases"), F.lit("above the upper fence of Tukey, 1.5 quartile ranges").alias("method")], F.lit(0.75),
         )
 
     def all(self) -> DataFrame:
-        """All findings with their rank order: impact, detector, then the detector's own order."""
+        """All findings, with what `order.ordered` takes: impact, detector, then the detector's own order (inner)."""
         out = None
         for i, detect in enumerate((self.excessive_waiting, self.repeated_activity, self.high_handoffs, self.rare_expensive_variant, self.worsening_cycle_time, self.manual_repetition, self.outliers)):
             df = detect().withColumn("detector", F.lit(i))

@@ -181,3 +181,11 @@ def before_after(cases: DataFrame, split_at: str) -> DataFrame:
         "metric", "before", "after", F.round(change, 6).alias("change"), F.round(F.try_divide(change, F.when(F.col("before") != 0, F.col("before"))), 6).alias("change_pct"),
         F.when(F.round(change, 6) != 0, change < 0).alias("improved"),
     )
+
+
+def before_after_counts(cases: DataFrame, split_at: str, least: int = 10) -> DataFrame:
+    """How many cases each side of a comparison has, with a note where one has fewer than `least`."""
+    before = F.col("started_at") < F.lit(split_at).cast("timestamp_ntz")
+    counts = cases.agg(F.count_if(before).alias("cases_before"), F.count_if(~before).alias("cases_after"))
+    few = F.least("cases_before", "cases_after") < least
+    return counts.withColumn("note", F.when(few, f"a side has fewer than {least} cases").otherwise("differences are not causes"))

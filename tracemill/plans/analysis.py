@@ -14,6 +14,13 @@ from ..sources.store import Store
 from . import rollups
 
 
+#: What a report reads of a snapshot.
+SNAPSHOT = (
+    "case_count long, event_count long, variant_count long, median_throughput_seconds double, p90_throughput_seconds double, waiting_share double, "
+    "mean_handoffs double, rework_case_ratio double, sla_breach_rate double, manual_event_share double"
+)
+
+
 def analyze(store: Store, process_id: str, sla_hours: float | None = None, hourly_cost: float = 35.0, thresholds: Thresholds | None = None) -> dict[str, int]:
     """Computes and stores cases, variants, edges, a metric snapshot, findings and opportunities.
 
@@ -34,7 +41,7 @@ def analyze(store: Store, process_id: str, sla_hours: float | None = None, hourl
         snapshot = metrics.summary(steps, cases)
         payload = F.to_json(F.struct(*snapshot.columns)).alias("payload")
         store.append("metrics", snapshot.select(F.current_timestamp().alias("computed_at"), "window_start", "window_end", payload), process_id)
-        found = Findings(steps, cases, transitions, thresholds).all().drop("detector")
+        found = Findings(steps, cases, transitions, thresholds).all().drop("detector", "inner").withColumn("detected_at", F.current_timestamp())
         store.replace("findings", upsert_findings(_stored(store, "findings", process_id, found, "narrative"), found), process_id)
         scored = score_opportunities(steps, cases, hourly_cost=hourly_cost)
         store.replace("opportunities", carry_status(scored, _stored(store, "opportunities", process_id, scored)), process_id)
@@ -53,7 +60,7 @@ def _stored(store: Store, table: str, process_id: str, like: DataFrame, *more: s
 def report(store: Store, process_id: str, name: str) -> str:
     """A Markdown report from what is stored; it is kept in the table of reports."""
     rows = store.read("metrics", process_id).orderBy(F.desc("computed_at")).limit(1)
-    summary = rows.select(F.from_json("payload", "case_count long, event_count long, variant_count long, median_throughput_seconds double").alias("p")).select("p.*")
+    summary = rows.select(F.from_json("payload", SNAPSHOT).alias("p")).select("p.*")
     payload = rollups.report_payload(summary, store.read("variants", process_id), store.read("findings", process_id), store.read("opportunities", process_id))
     body = rollups.render_markdown(name, payload)
     store.append("reports", store.spark.createDataFrame([(name, body)], "name string, body string").withColumn("created_at", F.current_timestamp()), process_id)

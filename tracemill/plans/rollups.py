@@ -19,13 +19,14 @@ def process_list(cases: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def findings_inbox(findings: DataFrame, severity: str | None = None, status: str | None = None, limit: int = 100) -> DataFrame:
-    """The most severe findings, and of those the most costly, first."""
+    """The most costly findings, at most so many, the most severe of them first."""
     if severity:
         findings = findings.where(F.col("severity") == severity)
     if status:
         findings = findings.where(F.col("status") == status)
     rank = F.coalesce(*[F.when(F.col("severity") == k, v) for k, v in SEVERITY_RANK.items()])
-    return findings.withColumn("severity_rank", rank).orderBy("severity_rank", F.desc("impact_score"), "subject").limit(limit)
+    best = findings.orderBy(F.desc("impact_score"), "subject").limit(limit)
+    return best.withColumn("severity_rank", rank).orderBy("severity_rank", F.desc("impact_score"), "subject")
 
 
 def overview(cases: DataFrame, findings: DataFrame, opportunities: DataFrame) -> DataFrame:
@@ -78,14 +79,25 @@ def report_payload(summary: DataFrame, variants: DataFrame, findings: DataFrame,
 
 def render_markdown(name: str, payload: dict) -> str:
     """The report as Markdown; every number comes from the payload."""
-    s = payload["summary"]
-    out = [f"# {name}", "", f"{s['case_count']} cases, {s['event_count']} events, {s['variant_count']} variants. Median cycle time {s['median_throughput_seconds'] / 3600:.2f} h.", "", "## Findings", ""]
-    out += [f"- **{f['severity']}** {f['title']} ({f['impact_hours']:.1f} h)" for f in payload["findings"]] or ["None."]
-    out += ["", "## Opportunities", "", "| Activity | Score | Hours a month | Approach |", "|-|-|-|-|"]
-    out += [f"| {o['activity']} | {o['score']:.2f} | {o['estimated_hours_per_month']:.2f} | {o['approach']} |" for o in payload["opportunities"]]
+    s, totals = payload["summary"], payload["totals"]
+    hours = lambda seconds: f"{(seconds or 0) / 3600:.2f} h"
+    share = lambda x: f"{100 * (x or 0):.0f} %"
+    facts = {
+        "Cases": s["case_count"], "Events": s["event_count"], "Variants": s["variant_count"], "Median cycle time": hours(s["median_throughput_seconds"]), "90th percentile": hours(s.get("p90_throughput_seconds")),
+        "Waiting, of the cycle time": share(s.get("waiting_share")), "Handoffs a case": f"{s.get('mean_handoffs') or 0:.2f}", "Cases with rework": share(s.get("rework_case_ratio")), "Events by hand": share(s.get("manual_event_share")),
+    }
+    out = [f"# {name}", "", f"{s['case_count']} cases in {s['variant_count']} variants.", "", "| | |", "|-|-|", *[f"| {k} | {v} |" for k, v in facts.items()], "", "## Findings", ""]
+    out += [f"- **{f['severity']}** {f['title']}: {f['affected_case_count']} cases, {f['impact_hours']:.1f} h, confidence {f['confidence']:.2f}" for f in payload["findings"]] or ["Nothing is beyond the thresholds."]
+    out += ["", "## Opportunities", ""]
+    if payload["opportunities"]:
+        out += ["| Activity | Score | Hours a month | EUR a month | Approach |", "|-|-|-|-|-|"]
+        out += [f"| {o['activity']} | {o['score']:.2f} | {o['estimated_hours_per_month']:.2f} | {o['estimated_eur_per_month']:.2f} | {o['approach']} |" for o in payload["opportunities"]]
+        out += ["", f"All of these: {totals['hours_per_month'] or 0:.2f} hours and {totals['eur_per_month'] or 0:.2f} EUR a month."]
+    else:
+        out += ["No activity is frequent enough."]
     out += ["", "## Variants", ""]
-    out += [f"- {v['case_count']} cases: {v['sequence']}" for v in payload["variants"]]
-    return "\n".join([*out, ""])
+    out += [f"- {v['case_count']} cases: {v['sequence']}" for v in payload["variants"]] or ["None."]
+    return "\n".join([*out, "", "Findings state what goes together in the log. They do not show what causes it.", ""])
 
 
 def explain(finding: dict) -> str:

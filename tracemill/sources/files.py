@@ -95,6 +95,24 @@ def infer_types(rows: DataFrame, columns: list[str], sample: int = 200) -> DataF
     return every.join(stats, "column", "left").select("column", F.when(F.col("n").isNull(), "empty").otherwise(kind).alias("inferred_type"))
 
 
+def import_profile(rows: DataFrame, sample_rows: int = 5) -> dict:
+    """What a user sees before mapping: rows, columns with type, values and suggested field, warnings, first rows.
+
+    A row per column comes to the driver, and the first rows.
+    """
+    columns = [c for c in rows.columns if c != "row_index"]
+    types = {r.column: r.inferred_type for r in infer_types(rows, columns).collect()}
+    found = {r.column: r.asDict() for r in column_profile(rows, columns).collect()}
+    mapping = suggest_mapping({c: types[c] for c in columns})
+    field_of = {c: f for f, c in mapping.items()}
+    n = rows.count()
+    empty = {"non_empty": 0, "distinct_count": 0, "samples": ""}
+    shown = [{"column": c, "inferred_type": types[c], "suggested_field": field_of.get(c)} | {k: found.get(c, empty)[k] for k in empty} for c in columns]
+    warnings = [f"no column for {f}" for f in REQUIRED if f not in mapping] + [f"column {c} is empty" for c in columns if types[c] == "empty"] + (["no rows"] if not n else [])
+    first = [r.asDict() for r in rows.orderBy("row_index").limit(sample_rows).collect()]
+    return {"row_count": n, "columns": shown, "mapping": mapping, "warnings": warnings, "sample_rows": first}
+
+
 #: What it is worth how a name is in a column's (both between underscores), best first.
 FITS = (
     (100, lambda column, name: column == name),
@@ -145,10 +163,11 @@ class Mapping:
 
 
 def _parsed(rows: DataFrame, m: Mapping) -> DataFrame:
-    at, done = tx.timestamp(m.raw("occurred_at")), tx.timestamp(m.raw("completed_at"))
-    once = F.struct(m.text("case_id").alias("e_case"), m.text("activity_name").alias("e_activity"), at.alias("e_at"), done.alias("e_done"))
-    # A generated row is computed once, however often it is named below.
-    df = rows.select("*", F.inline(F.array(once)))
+    # A generated row is computed once, however often its columns are named after it.
+    texts = F.struct(m.text("case_id").alias("e_case"), m.text("activity_name").alias("e_activity"), tx.bare(m.raw("occurred_at")).alias("t_at"), tx.bare(m.raw("completed_at")).alias("t_done"))
+    df = rows.select("*", F.inline(F.array(texts)))
+    times = F.struct(tx.bare_timestamp(F.col("t_at")).alias("e_at"), tx.bare_timestamp(F.col("t_done")).alias("e_done"))
+    df = df.select("*", F.inline(F.array(times))).drop("t_at", "t_done")
     problems = F.array_compact(F.array(
         F.when(F.col("e_case").isNull(), "missing case_id"), F.when(F.col("e_activity").isNull(), "missing activity_name"), F.when(F.col("e_at").isNull(), "unparseable occurred_at")
     ))
