@@ -600,8 +600,8 @@ def keep_first(docs: DataFrame, scratch: Scratch) -> DataFrame:
     kept = at(told.where("NOT stays"), "left_anti", all_rows)
     again = told.where("stays AND copies > 1")
     if not again.isEmpty():
-        one = at(again, "left_semi", kept).groupBy("id_key", "text_key").agg(F.min_by("all", F.xxhash64(F.to_json("all"))).alias("all")).select("all", "id_key", "text_key")
-        kept = at(again, "left_anti", kept).union(one)
+        one = at(again, "left_semi", kept).groupBy("id_key", "text_key").agg(F.min_by("all", F.xxhash64(F.to_json("all"))).alias("all"))
+        kept = at(again, "left_anti", kept).unionByName(one)
     return kept.select("all.*")
 
 
