@@ -582,22 +582,138 @@ def test_crf_chain_is_that_of_whole_texts(monkeypatch):
 # ---------------------------------------------------------------- pipeline
 
 
-def test_pipeline(spark):
+def small_world(spark, folder):
+    """Documents with nulls, empty and very long texts, ties, repeated rows and ids, and labels, as a folder of tables."""
+    rng = random.Random(17)
+    good = [f"{t} x{i}" for i, t in enumerate(sample_texts(41, 150))]
+    rows = [(i, t + (" grimbal vornak grimbal" if i % 9 == 0 else ""), "en", f"s{i % 3}", len(t), "extra") for i, t in enumerate(good)]
+    text = " ".join(f"q{i}" for i in range(60))
+    more = [(500, text, "s0"), (501, text, "s1"), (502, text, "s1"), (502, "another text of this id with words of its own", "s1"), (503, text, "s2"), (503, text, "s2"), (600, "mail me a.b@c.org or call +1 (555) 555-3918 now", "s0"),
+            (700, None, "s0"), (701, "", None), (702, " ", "s1"), (703, LONG[:90_000], None), (None, "no id at all", "s0"), (None, "no id at all", "s0"), (500, text, "s0")]
+    rows += [(i, t, "en", s, len(t or ""), "extra") for i, t, s in more]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, weight string").write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, 1, int(i % 9 == 0)) for i in range(120)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return rows
+
+
+def rows_of(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Every stage against a plain version, on a table with odd rows; then the run as a whole."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    folder = str(tmp_path / "sf")
+    rows = small_world(tune(spark), folder)
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+
+    def after(name, df):
+        out = str(tmp_path / name)
+        stages[name](spark, df, folder).write.parquet(out)
+        return spark.read.parquet(out)
+
+    first = after("toxicity", docs)
+    assert rows_of(first) == Counter(r for r in rows if "grimbal" not in (r[1] or ""))
+    second = after("ngram_join", first)
+    sets = defaultdict(list)
+    for r in rows_of(first).elements():
+        w = tuple(words((r[1] or "").lower()))
+        sets[frozenset(w[k : k + 5] for k in range(max(1, len(w) - 4))) if w and r[0] is not None else None].append(r)
+    want = list(sets.pop(None))
+    names = list(sets)
+    root = {s: s for s in names}
+    find = lambda x: x if root[x] is x else find(root[x])
+    for i, a in enumerate(names):
+        for b in names[:i]:
+            if 5 * len(a & b) >= 4 * len(a | b):
+                root[find(a)] = find(b)
+    for s in names:
+        if root[s] is s:
+            family = [r for x in names if find(x) is s for r in sets[x]]
+            low = min(r[0] for r in family)
+            want.append([r for r in family if r[0] == low])
+    kept = rows_of(second)
+    for one in want:
+        if isinstance(one, list):
+            assert sum(min(kept[r], 1) for r in set(one)) == 1 and sum(kept[r] for r in set(one)) == 1
+    assert sum(kept.values()) == len(want) and all(kept[r] for r in want if not isinstance(r, list))
+    third = after("pii", second)
+    texts = {(r.doc_id, r.text) for r in third.collect()}
+    assert (600, "mail me [email] or call [phone] now") in texts
+    odd = lambda t: bool(t) and any(c in t for c in "@+0123456789")
+    assert {(r[0], r[1]) for r in kept if not odd(r[1])} <= texts and third.count() == second.count()
+    fourth = after("mixing", third)
+    size, taken, have = Counter(), Counter(), rows_of(third)
+    for r in have.elements():
+        size[r[3]] += len(words(r[1]))
+    for r in rows_of(fourth).elements():
+        assert r in have
+        taken[r[3]] += len(words(r[1]))
+    _, weights = mixing.temperature_weights([float(size[s]) for s in size], float(sum(size.values())), mixing.ENTROPY_SHARE, mixing.MAX_PASSES)
+    longest = max(len(words(r[1])) for r in have)
+    for s, w in zip(size, weights):
+        quota = w * sum(size.values())
+        assert quota - 2 * longest - 1 <= taken[s] <= quota + 1e-3
+    fifth = after("bpe", fourth)
+    t = Tokenizer.from_file(bpe.vocabulary_path())
+    plain = Counter()
+    for r in rows_of(fourth).elements():
+        ids = t.encode(r[1] or "", add_special_tokens=False).ids
+        digest = lambda b: hashlib.sha256(b).hexdigest()
+        plain[r[0], len(ids), digest(np.array(ids, "<u4").tobytes()), digest(t.decode(ids, skip_special_tokens=False).encode())] += 1
+    assert rows_of(fifth) == plain
+    assert rows_of(corpus_pipeline.run(spark, folder)) == plain
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = str(tmp_path / "sf")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_mixture_order(spark, docs):
+    """Either half of the written order holds sources by their weights, up to the chance of some 36 blocks in each."""
+    rows = [(i, "w " * 10, "big" if i % 4 else "small") for i in range(4000)]
+    out = mixing.mixture(docs(rows), Scratch(tune(spark), "t"))
+    got = [r.source for r in out.collect()]
+    share = got.count("big") / len(got)
+    half = len(got) // 2
+    assert abs(got[:half].count("big") / half - share) < 0.2 and got[:half].count("small") > 0.1 * half
+
+
+def test_missed_pairs_of_embeddings(spark):
+    """Of pairs just above the threshold, each a component of its own, at least 0.9 are found."""
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(1500, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    rows = [(2 * i + k, v.tolist(), i % 5) for i, (x, y) in enumerate(zip(a, 0.932 * a + np.sqrt(1 - 0.932**2) * b)) for k, v in enumerate((x, y))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.deduplicate(df, Scratch(tune(spark), "t"))
+    assert got.where("n_links >= 1").count() >= 0.9 * len(rows)
+
+
+@pytest.mark.parametrize("name", ["op2_substring_dedup", "op6_ngram_join", "op7_embedding_dedup", "op8_warc"])
+def test_sql(spark, name):
+    """The registered SQL on the smallest tables."""
+    import duckdb
+
+    from tracemill.llm import queries
 
     sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    want = {r.doc_id: r.text for r in docs.collect()}
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
-    toxic = {r.doc_id for r in toxicity.score(docs, model).where("toxic").collect()}
-    left = [(i, t) for i, t in sorted(want.items()) if i not in toxic]
-    left = [(i, t) for (i, t), (_, _, c) in zip(left, brute_classes(left)) if c == i]
-    got = corpus_pipeline.run(spark, sf).collect()
-    assert {r.doc_id for r in got} <= {i for i, _ in left}
-    crf, encoder = pii.train(), bpe.ChunkedBpe(bpe.vocabulary_path())
-    texts = dict(left)
-    for r in got:
-        raw = texts[r.doc_id].encode()
-        (base, added), = pii.find_block(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), [texts[r.doc_id]], crf)
-        ids = encoder.encode_text(pii.redact_text(texts[r.doc_id], base + added))
-        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+    base = duckdb.connect()
+    for table in ("documents", "embeddings", "pages"):
+        base.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    want = base.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, sf).select(*want.columns).collect()
+    assert Counter(map(tuple, got)) == Counter(want.fetchall())
