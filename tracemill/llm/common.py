@@ -302,13 +302,18 @@ def _least(edges: DataFrame, with_self: bool) -> DataFrame:
     return edges.groupBy("u").agg(least.alias("m"), F.count("*").alias("k"))
 
 
+#: Edges that one file of a table between two rounds holds.
+FILE_EDGES = 1 << 16
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of edges(a, b); the smallest id names it.
 
     Alternates the large-star and small-star steps. Each is a minimum for a
     node, combined before the shuffle, and a join that brings it to the node's
     edges: by broadcast up to BROADCAST_EDGES edges (some 10 MB), beyond by one
-    that spreads the edges of a node which has very many.
+    that spreads the edges of a node which has very many. Rounds of few edges
+    write few files.
     """
     e = edges.toDF("u", "v").where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = scratch.keep(map_batches(e, _local_stars, "u long, v long").distinct())
@@ -329,7 +334,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        old, e = e, scratch.keep(small)
+        files = count // FILE_EDGES + 1  # a round adds no edges
+        old, e = e, scratch.keep(small.coalesce(files) if files < partitions(edges.sparkSession) else small)
         scratch.drop(old)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
