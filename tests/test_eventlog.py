@@ -8,6 +8,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
+from tracemill.functions import stats
 from tracemill.functions.session import with_checkpoints
 from tracemill.operators import graph, metrics
 from tracemill.operators.eventlog import EventLog
@@ -222,3 +223,19 @@ def test_seconds(spark):
     got = spark.createDataFrame(rows, "us double, want double").select(seconds("us").alias("s"), "want").collect()
     assert [r.s for r in got] == [r.want for r in got]
     assert spark.range(1).select(seconds((F.col("id") + 32174064000000000)).alias("s")).first().s == 32174064000.0
+
+
+def test_quantiles_are_those_of_sorted_values(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 0, -7, 2**40, rng.randrange(-10**6, 10**13)]), rng.choice([3, 4, 2**52 + 1]), None) for _ in range(301)]
+    df = spark.createDataFrame(rows, "a long, b long, c long")
+    wanted = {f"{c}{i}": (c, q) for c in "abc" for i, q in enumerate((0.0, 0.05, 0.25, 0.5, 0.9, 1.0))}
+    got = stats.quantiles(df, wanted, "n").first()
+    assert got.n == sum(r[0] is not None for r in rows)
+    plain = df.agg(*[F.percentile(c, F.lit(q)).alias(name) for name, (c, q) in wanted.items()]).first()
+    for name in wanted:
+        assert got[name] == (None if plain[name] is None else pytest.approx(plain[name], rel=1e-15, abs=1e-6))
+    empty = stats.quantiles(df.limit(0), wanted, "n").first()
+    assert empty.n == 0 and all(empty[name] is None for name in wanted)
+    few = stats.quartiles(df.limit(3), "b").select(stats.fence(-1), stats.fence(1)).first()
+    assert tuple(few) == (float("-inf"), float("inf"))

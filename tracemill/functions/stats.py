@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 HOUR = 3600.0
 
 
 def quantile(us: Column | str, q: float) -> Column:
-    """Exact linearly interpolated quantile; 0 for no values."""
+    """Exact linearly interpolated quantile of a group; 0 for no values."""
     return F.coalesce(F.percentile(us, F.lit(q)), F.lit(0.0))
 
 
@@ -37,15 +38,55 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
-def upper_fence(x: Column | str, factor: float = 1.5) -> Column:
-    """Tukey's upper fence; infinite for fewer than four values."""
-    q1, q3 = F.percentile(x, F.lit(0.25)), F.percentile(x, F.lit(0.75))
-    return F.when(F.count(x) >= 4, q3 + factor * (q3 - q1)).otherwise(F.lit(float("inf")))
+#: Ranges of values for each doubling: some 10^5 ranges from a microsecond to centuries.
+RANGES = 4096
 
 
-def lower_fence(x: Column | str, factor: float = 1.5) -> Column:
-    q1, q3 = F.percentile(x, F.lit(0.25)), F.percentile(x, F.lit(0.75))
-    return F.when(F.count(x) >= 4, q1 - factor * (q3 - q1)).otherwise(F.lit(float("-inf")))
+def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], count: str | None = None) -> DataFrame:
+    """One row of exact linearly interpolated quantiles; null where there are no values.
+
+    wanted: name -> (column of whole numbers, quantile); count: a name for the number of
+    values of the first column. Equal values are counted first. The counts of
+    ranges of values, of which there is a bounded number, tell the range that holds a
+    quantile's neighbours, and only the values of those ranges are put in order.
+    """
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    series = [F.struct(F.lit(i).alias("s"), F.col(c).cast("long").alias("v")) for i, c in enumerate(columns)]
+    values = df.select(F.explode(F.array(*series)).alias("x")).select("x.s", "x.v").where("v IS NOT NULL")
+    counts = values.groupBy("s", "v").agg(F.count("*").alias("c")).withColumn("range", F.signum("v") * F.floor(F.log2(1 + F.abs(F.col("v").cast("double"))) * RANGES))
+    place = W.partitionBy("s")
+    below = F.sum("k").over(place.orderBy("range").rowsBetween(W.unboundedPreceding, 0)) - F.col("k")
+    ranges = counts.groupBy("s", "range").agg(F.sum("c").alias("k")).select("s", "range", "k", below.alias("below"), F.sum("k").over(place).alias("n"))
+    at = lambda q: F.lit(float(q)) * (F.col("n") - 1)
+    ends = [F.when(F.col("s") == columns.index(c), end(at(q))) for c, q in wanted.values() for end in (F.floor, F.ceil)]
+    held = F.filter(F.array_distinct(F.array(*ends)), lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("k")))
+    picked = ranges.select("s", "range", "below", "n", F.explode(held).alias("rank"))  # two rows a quantile at most
+    through = F.col("below") + F.sum("c").over(W.partitionBy("s", "rank").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    found = counts.join(F.broadcast(picked), ["s", "range"]).withColumn("through", through).where("rank < through AND rank >= through - c")
+
+    def one(c: str, q: float) -> Column:
+        mine, p = F.col("s") == columns.index(c), at(q)
+        low, high = (F.max(F.when(mine & (F.col("rank") == end(p)), F.col("v"))) for end in (F.floor, F.ceil))
+        part = F.max(F.when(mine, p - F.floor(p)))
+        return F.when(low == high, low.cast("double")).otherwise((1 - part) * low + part * high)
+
+    extra = [F.coalesce(F.max(F.when(F.col("s") == 0, F.col("n"))), F.lit(0)).alias(count)] if count else []
+    return found.agg(*[one(c, q).alias(name) for name, (c, q) in wanted.items()], *extra)
+
+
+#: What fences are made of, beside the number n of values.
+QUARTILES = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+
+
+def quartiles(df: DataFrame, column: str) -> DataFrame:
+    """One row (q1, q2, q3, n)."""
+    return quantiles(df, {name: (column, q) for name, q in QUARTILES.items()}, "n")
+
+
+def fence(side: int, factor: float = 1.5) -> Column:
+    """Tukey's upper (1) or lower (-1) fence of quartiles; infinite for fewer than four values."""
+    end = F.col("q3") if side > 0 else F.col("q1")
+    return F.when(F.col("n") < 4, side * float("inf")).otherwise(end + side * factor * (F.col("q3") - F.col("q1")))
 
 
 def severity(hours: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions.stats import HOUR, confidence, impact, monthly_hours, quantile, severity, upper_fence
+from ..functions.stats import HOUR, confidence, fence, impact, monthly_hours, quantiles, quartiles, severity
 from .metrics import activity_base, loop_base, transition_base, variant_base, window_days
 
 US_HOUR = HOUR * 1e6
@@ -34,6 +34,7 @@ class Findings:
 
     def __init__(self, steps: DataFrame, cases: DataFrame, transitions: DataFrame, config: Thresholds | None = None) -> None:
         self.steps, self.cases, self.transitions, self.c = steps, cases, transitions, config or Thresholds()
+        self.quartiles = quartiles(cases, "throughput")
         self.scope = F.broadcast(cases.agg(F.count("*").alias("all_cases")).crossJoin(window_days(cases)))  # one row
 
     def finding(self, df: DataFrame, kind: str, subject: Column, title: Column, cases: Column, metric: Column, baseline: Column, hours: Column, evidence: list[Column], sure: Column | None = None, inner: Column | None = None) -> DataFrame:
@@ -85,7 +86,7 @@ class Findings:
         )
 
     def rare_expensive_variant(self) -> DataFrame:
-        overall = self.cases.agg(F.percentile("throughput", F.lit(0.5)).alias("overall"))
+        overall = self.quartiles.select(F.col("q2").alias("overall"))
         df = variant_base(self.cases).drop("all_cases").crossJoin(F.broadcast(overall)).crossJoin(self.scope).where(
             (F.col("overall") > 0) & (F.col("share") <= self.c.rare_variant_share) & (F.col("case_count") >= max(5, self.c.min_cases // 3))
         ).where(F.col("median_throughput") / F.col("overall") >= self.c.expensive_variant_multiple)
@@ -109,10 +110,12 @@ class Findings:
         place = F.row_number().over(W.Window.partitionBy("slot").orderBy("started", "case_id"))
         placed = self.cases.select("*", day).withColumn("place", place).join(before, "slot").withColumn("place", F.col("place") + F.col("before"))
         late = F.col("place") > F.floor(F.col("all_cases") / 2)
-        return placed.crossJoin(self.scope).groupBy("all_cases", "days").agg(
-            F.percentile(F.when(~late, F.col("throughput")), F.lit(0.5)).alias("was"), F.percentile(F.when(late, F.col("throughput")), F.lit(0.5)).alias("now"),
-            F.count_if(late).alias("late"), F.min(F.when(late, F.col("started_at"))).alias("split_at"),
+        each = placed.crossJoin(self.scope).select(
+            "all_cases", "days", "started_at", late.alias("late"), F.when(~late, F.col("throughput")).alias("early_time"), F.when(late, F.col("throughput")).alias("late_time")
         )
+        medians = quantiles(each, {"was": ("early_time", 0.5), "now": ("late_time", 0.5)})
+        rest = each.groupBy("all_cases", "days").agg(F.count_if("late").alias("late"), F.min(F.when(F.col("late"), F.col("started_at"))).alias("split_at"))
+        return rest.crossJoin(F.broadcast(medians))  # one row each
 
     def worsening_cycle_time(self) -> DataFrame:
         df = self.halves().where((F.col("all_cases") >= max(2 * self.c.min_cases, 20)) & (F.col("was") > 0)).where((F.col("now") - F.col("was")) / F.col("was") >= self.c.trend_worsening_pct)
@@ -136,8 +139,8 @@ class Findings:
         )
 
     def outliers(self) -> DataFrame:
-        fence = self.cases.agg(upper_fence("throughput").alias("fence"))
-        df = self.cases.crossJoin(F.broadcast(fence)).where("throughput > fence")
+        upper = self.quartiles.select(fence(1).alias("fence"))
+        df = self.cases.crossJoin(F.broadcast(upper)).where("throughput > fence")
         worst = df.orderBy(F.desc("throughput"), "started", "case_id").limit(10).agg(F.collect_list(F.struct("case_id", F.round(F.col("throughput") / 1e6, 6).alias("throughput_seconds"), "variant_key")).alias("worst"))
         df = df.agg(F.count("*").alias("k"), F.max("fence").alias("fence"), F.sum(F.col("throughput") - F.col("fence")).alias("over")).where("k >= 3").crossJoin(self.scope).crossJoin(F.broadcast(worst))
         return self.finding(

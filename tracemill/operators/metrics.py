@@ -6,28 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions.stats import lower_fence, quantile, ratio, seconds, upper_fence
+from ..functions.stats import fence, quantile, quantiles, quartiles, ratio, seconds
+
+
+def shown(name: str) -> Column:
+    """A quantile in seconds; 0 where there is none."""
+    return seconds(F.coalesce(F.col(name), F.lit(0.0))).alias(name)
 
 
 def percentiles(cases: DataFrame) -> DataFrame:
-    return cases.agg(*[seconds(quantile("throughput", q / 100)).alias(f"p{q}_seconds") for q in (5, 25, 50, 75, 90, 95, 99)])
+    names = {f"p{q}_seconds": ("throughput", q / 100) for q in (5, 25, 50, 75, 90, 95, 99)}
+    return quantiles(cases, names).select(*map(shown, names))
 
 
 def tukey_fences(cases: DataFrame, factor: float = 1.5) -> DataFrame:
-    return cases.agg(seconds(lower_fence("throughput", factor)).alias("lower_seconds"), seconds(upper_fence("throughput", factor)).alias("upper_seconds"))
+    return quartiles(cases, "throughput").select(seconds(fence(-1, factor)).alias("lower_seconds"), seconds(fence(1, factor)).alias("upper_seconds"))
 
 
 def throughput(cases: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
-    return cases.agg(
+    rest = cases.agg(
         F.count("*").alias("case_count"),
-        seconds(quantile("throughput", 0.5)).alias("median_seconds"),
         F.coalesce(seconds(F.avg("throughput")), zero).alias("mean_seconds"),
-        seconds(quantile("throughput", 0.9)).alias("p90_seconds"),
-        seconds(quantile("throughput", 0.95)).alias("p95_seconds"),
         F.coalesce(seconds(F.min("throughput")), zero).alias("min_seconds"),
         F.coalesce(seconds(F.max("throughput")), zero).alias("max_seconds"),
     )
+    names = {"median_seconds": ("throughput", 0.5), "p90_seconds": ("throughput", 0.9), "p95_seconds": ("throughput", 0.95)}
+    both = rest.crossJoin(F.broadcast(quantiles(cases, names)))  # one row each
+    return both.select("case_count", shown("median_seconds"), "mean_seconds", shown("p90_seconds"), shown("p95_seconds"), "min_seconds", "max_seconds")
 
 
 def activity_base(steps: DataFrame) -> DataFrame:
@@ -126,15 +132,16 @@ def variants_enriched(cases: DataFrame) -> DataFrame:
     )
 
 
-def case_aggregates(*keys: Column) -> list[Column]:
-    """The case-level part of a summary."""
+#: The quantiles of a summary.
+MEDIANS = {"median_throughput_seconds": ("throughput", 0.5), "p90_throughput_seconds": ("throughput", 0.9), "median_waiting_seconds": ("waiting", 0.5)}
+
+
+def case_aggregates() -> list[Column]:
+    """The case-level part of a summary, but for its quantiles."""
     return [
         F.count("*").alias("case_count"),
         F.sum("event_count").alias("event_count"),
         F.countDistinct("variant_key").alias("variant_count"),
-        seconds(quantile("throughput", 0.5)).alias("median_throughput_seconds"),
-        seconds(quantile("throughput", 0.9)).alias("p90_throughput_seconds"),
-        seconds(quantile("waiting", 0.5)).alias("median_waiting_seconds"),
         F.round(ratio(F.sum("waiting"), F.sum("throughput")), 6).alias("waiting_share"),
         F.round(F.coalesce(F.avg("handoff_count"), F.lit(0.0)), 6).alias("mean_handoffs"),
         F.round(F.coalesce(F.avg((F.col("rework_count") > 0).cast("int")), F.lit(0.0)), 6).alias("rework_case_ratio"),
@@ -146,7 +153,9 @@ def case_aggregates(*keys: Column) -> list[Column]:
 def summary(steps: DataFrame, cases: DataFrame) -> DataFrame:
     activities = steps.agg(F.countDistinct("activity").alias("activity_count"))
     span = [F.min("started_at").alias("window_start"), F.max("ended_at").alias("window_end")]
-    return cases.agg(*case_aggregates(), *span).crossJoin(F.broadcast(activities))  # one row each
+    rest = cases.agg(*case_aggregates(), *span)
+    order = [*rest.columns[:3], *map(shown, MEDIANS), *rest.columns[3:], "activity_count"]
+    return rest.crossJoin(F.broadcast(quantiles(cases, MEDIANS))).crossJoin(F.broadcast(activities)).select(*order)  # one row each
 
 
 def sla_breach_rate(cases: DataFrame) -> DataFrame:
@@ -163,8 +172,8 @@ def window_days(cases: DataFrame) -> DataFrame:
 
 
 def outlier_cases(cases: DataFrame, factor: float = 1.5) -> DataFrame:
-    fence = cases.agg(upper_fence("throughput", factor).alias("fence"))
-    return cases.crossJoin(F.broadcast(fence)).where("throughput > fence").select("case_id", seconds("throughput").alias("throughput_seconds"), "variant_key", seconds("fence").alias("threshold_seconds"))
+    upper = quartiles(cases, "throughput").select(fence(1, factor).alias("fence"))
+    return cases.crossJoin(F.broadcast(upper)).where("throughput > fence").select("case_id", seconds("throughput").alias("throughput_seconds"), "variant_key", seconds("fence").alias("threshold_seconds"))
 
 
 COMPARED = ("median_throughput_seconds", "p90_throughput_seconds", "median_waiting_seconds", "mean_handoffs", "rework_case_ratio", "sla_breach_rate", "manual_event_share")
@@ -174,7 +183,8 @@ def before_after(cases: DataFrame, split_at: str) -> DataFrame:
     """Seven metrics of the cases that start before and from a time; lower is better."""
     period = F.when(F.col("started_at") < F.lit(split_at).cast("timestamp_ntz"), "before").otherwise("after")
     wanted = ", ".join(f"'{m}', `{m}`" for m in COMPARED)
-    long = cases.groupBy(period.alias("period")).agg(*case_aggregates()).selectExpr("period", f"stack({len(COMPARED)}, {wanted}) AS (metric, value)")
+    medians = [seconds(quantile(c, q)).alias(name) for name, (c, q) in MEDIANS.items()]
+    long = cases.groupBy(period.alias("period")).agg(*case_aggregates(), *medians).selectExpr("period", f"stack({len(COMPARED)}, {wanted}) AS (metric, value)")
     wide = long.groupBy("metric").agg(*[F.coalesce(F.max(F.when(F.col("period") == p, F.col("value"))), F.lit(0.0)).alias(p) for p in ("before", "after")])
     change = F.col("after") - F.col("before")
     return wide.select(
