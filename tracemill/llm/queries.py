@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, fingerprints, mixing, ngram_join, pii, secrets, substring_dedup, toxicity, warc
+from . import alignment, bpe, embedding_dedup, fingerprints, hard_negatives, mixing, ngram_join, pii, secrets, substring_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_secrets": secrets.op9_secrets,
     "op10_pii": pii.op10_pii,
+    "op11_topk": topk.op11_topk,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op6_ngram_join": ngram_join.OP6_SQL,
     "op7_embedding_dedup": embedding_dedup.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
+    "op11_topk": topk.OP11_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
