@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tracemill.llm import alignment, hard_negatives, topk, vectors
 from tracemill.llm.common import Scratch, tune
@@ -123,11 +123,12 @@ PATHS = alignment.vocabulary_path(), alignment.pieces_path()
 
 
 def brute_alignment(rows):
-    tok = alignment.Tokenizers(*PATHS)
+    tok, plain = alignment.Tokenizers(*PATHS), Tokenizer.from_file(PATHS[0])
+    plain.encode_special_tokens = True
     docs, counts = [], Counter()
     for i, text in rows:
         text = text or ""
-        a = tok.a.encode(" " + text, add_special_tokens=False).ids
+        a = plain.encode(" " + text, add_special_tokens=False).ids
         b = tok.b.encode(text)
         piece = tok.b.id_to_piece
         bytes_b = [bytes([int(piece(x)[3:5], 16)]) if tok.b.is_byte(x) else piece(x).replace("▁", " ").encode() for x in b]

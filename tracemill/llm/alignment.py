@@ -22,8 +22,6 @@ their own; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import json
-import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import _byte_alphabet, vocabulary_path
+from .bpe import ChunkedBpe, Decoder, vocabulary_path
 from .common import Scratch, join_counted, largest, map_batches, narrowed, only, partitions, tune
 
 #: Bytes of text whose groups are numbered together.
@@ -48,33 +46,22 @@ BLOCK_SCHEMA = "doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups
 
 
 class Tokenizers:
-    """Both tokenizers and the bytes of their tokens."""
+    """Both tokenizers and the bytes of their tokens; the first encodes chunks that texts share once, as `bpe` does."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
+        self.a = ChunkedBpe(path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        alphabet = _byte_alphabet()
-        with open(path_a, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
-        for piece, i in vocabulary.items():
-            self.bytes_a[i] = bytes(alphabet[c] for c in piece) if all(c in alphabet for c in piece) else piece.encode()
+        self.bytes_a = Decoder(path_a).table
         piece = self.b.id_to_piece
         self.bytes_b = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         self.length_a, self.length_b = (np.array([len(t) for t in table], np.int64) for table in (self.bytes_a, self.bytes_b))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of each text in both; none where their bytes are not those of space and text."""
-        as_a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        for text, a, b in zip(texts, as_a, self.b.encode(texts, num_threads=1)):
-            a, whole = a.ids, b" " + text.encode()
+        for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
+            a, whole = self.a.segment(" " + text), b" " + text.encode()
             same = text and b"".join(map(self.bytes_a.__getitem__, a)) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole
             yield (a, b) if same else ([], [])
 
