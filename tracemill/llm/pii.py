@@ -73,7 +73,7 @@ def base_spans(text: str) -> list[Span]:
     """Matches of the fixed patterns, by kind and then start."""
     out = emails(text)
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split(".")):
             out.append(("ip", m.start(), m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := _digits(m[0])) <= 19 and luhn(d):
