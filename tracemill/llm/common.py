@@ -1,7 +1,7 @@
 """Helpers shared by the corpus operators.
 
 * scratch tables in the folder that every executor shares,
-* word boundaries and 64-bit word hashes of whole Arrow text batches in numpy,
+* word boundaries and word hashes of whole Arrow text batches in numpy,
 * connected components of an edge table as a sequence of joins and aggregates.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -134,11 +135,40 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        up, down = _power_tables(n + 1)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum((self.data.astype(U64) + U64(1)) * up[:n], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
+        return word_hashes(self.data, self.start, self.end)[0]
+
+    def both_hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of each word's bytes, neither of which follows from the other."""
+        return word_hashes(self.data, self.start, self.end)
+
+
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 512
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the bytes of each word [start, end).
+
+    Eight bytes at a time go through two chains of multiplications and shifts, in which
+    no byte adds up with another as in a polynomial; each hash takes from both chains.
+    """
+    size = end - start
+    a, b = mix(size.astype(U64) * _P), mix(size.astype(U64) * _Q + _R)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # those at each position
+    at = np.flatnonzero(size <= LONG_WORD)
+    done = 0
+    while len(at):
+        left = np.minimum(size[at] - done, 8).astype(U64)
+        x = eight[start[at] + done].astype(U64) & (~U64(0) >> (U64(64) - U64(8) * left))
+        a[at] = mix((a[at] ^ x) * _P + _R)
+        b[at] = mix((b[at] + x * _R) ^ _Q)
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        raw = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=16).digest()
+        a[i], b[i] = np.frombuffer(raw, U64)
+    return mix(a ^ (b * _P)), mix(b + a * _Q)
 
 
 def windows(h: np.ndarray, length: int, base: np.uint64 = _Q) -> np.ndarray:
@@ -156,7 +186,7 @@ def windows(h: np.ndarray, length: int, base: np.uint64 = _Q) -> np.ndarray:
 
 
 def second(h: np.ndarray) -> np.ndarray:
-    """Word hashes of another family, for 128-bit window hashes."""
+    """Hashes of another family, of what the given ones tell apart."""
     return mix(h ^ _R)
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, U64, Scratch, _power_tables, map_batches, mix, only, partitions, tune
+from .common import BLOCK_BYTES, U64, Scratch, map_batches, mix, only, partitions, tune, word_hashes
 from .ngram_join import Sets, classes, needed
 
 CHAIN = 2
@@ -68,11 +68,8 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     inner = offsets[(offsets > 0) & (offsets < n)]
     head[inner], tail[inner - 1] = word[inner], word[inner - 1]
     start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
-    up, down = _power_tables(n + 1)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[:n], out=sums[1:])
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
-    return doc, mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+    return doc, word_hashes(data, start, end)[0]
 
 
 def _anchor_hashes() -> np.ndarray:
@@ -171,8 +168,8 @@ class LengthPartitions:
             at = at[np.argsort(h[at], kind="stable")]
             self.index[p] = (h[at], doc[at])
 
-    def search(self, q: int) -> np.ndarray:
-        """Sets that link with set q."""
+    def search(self, q: int, among: np.ndarray) -> np.ndarray:
+        """Sets that link with set q, of those that `among` marks."""
         mine = self.sets[self.edge[q] : self.edge[q + 1]]
         out = []
         for p in range(self.partition[q] - 1, self.partition[q] + 2):
@@ -183,7 +180,7 @@ class LengthPartitions:
             rare = np.argsort(end - first, kind="stable")[: len(mine) - (4 * len(mine) + 4) // 5 + 1]
             near = np.unique(np.concatenate([docs[a:b] for a, b in zip(first[rare].tolist(), end[rare].tolist())]))
             size = self.sizes[near]
-            near = near[(near != q) & (5 * np.minimum(size, len(mine)) >= 4 * np.maximum(size, len(mine)))]
+            near = near[among[near] & (near != q) & (5 * np.minimum(size, len(mine)) >= 4 * np.maximum(size, len(mine)))]
             out += [y for y in near.tolist() if reaches(mine, self.sets[self.edge[y] : self.edge[y + 1]], int(needed(len(mine) + self.sizes[y])))]
         return np.array(out, int)
 

@@ -46,8 +46,8 @@ FREQUENT = 200_000
 LEAST_FREQUENT = 64
 #: Shingles whose counts a task sums at a time, and the least such sum it reports.
 COUNTED, REPORTED = 2_000_000, 3
-#: Sets of a family that meet in one task.
-BLOCK = 1024
+#: Sets of a family that meet in one task; a long text counts as several, of so many shingles each.
+BLOCK, SET_SHINGLES = 1024, 1024
 #: Lists of up to so many sets are compared all at once.
 SHORT_LIST = 32
 #: Digests that a task remembers at a time, so as not to send the sets of copies again.
@@ -84,15 +84,16 @@ class Sets:
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = N) -> Sets:
     """Sets of the word n-grams of each text of a block."""
     w = Words(data, offsets, lower=True)
-    h = w.hashes()
+    h1, h2 = w.both_hashes()
     count = np.diff(w.first)
     left = np.repeat(w.first[1:], count) - np.arange(len(w.start))
     at = np.flatnonzero(left >= n)
-    doc, key = [w.doc[at]], [windows(h, n)[at]]
+    of = lambda k: mix(windows(h1, k) ^ second(windows(h2, k)))  # noqa: E731  both decide
+    doc, key = [w.doc[at]], [of(n)[at]]
     for k in range(1, n):  # texts of fewer words
         few = np.flatnonzero(count == k)
         doc.append(few)
-        key.append(windows(h, k)[w.first[few]] if len(few) else np.zeros(0, U64))
+        key.append(of(k)[w.first[few]] if len(few) else np.zeros(0, U64))
     return Sets(np.concatenate(doc), np.concatenate(key), len(offsets) - 1)
 
 
@@ -380,31 +381,59 @@ def families(shared: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
 
 
 class Lists:
-    """Inverted lists of the sets of one family."""
+    """Inverted lists of the sets of one family, relative to what most of them have.
+
+    A shingle that more than half of the sets have is common. The list of a
+    common shingle holds the sets that lack it, any other list those that have it, so
+    no list holds more than half of the sets, however alike they are. Of sets
+    that lack x and y of the `common` shingles, |q & s| = shared lists + common - x - y.
+    """
 
     def __init__(self, h: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> None:
         self.sizes, self.n = sizes, len(sizes)
-        self.edge = np.concatenate([[0], np.cumsum(sizes)])
-        self.sets = h
         order = np.argsort(h, kind="stable")
-        self.docs = doc[order]
-        self.values, self.first = np.unique(h[order], return_index=True)
-        self.length = np.diff(np.concatenate([self.first, [len(h)]]))
-        self.list_of = np.searchsorted(self.values, h)
+        doc = doc[order]
+        first = np.unique(h[order], return_index=True)[1]
+        length = np.diff(np.concatenate([first, [len(h)]]))
+        of = np.repeat(np.arange(len(first)), length)
+        common = np.flatnonzero(2 * length > self.n)
+        item, member = [of[2 * length[of] <= self.n]], [doc[2 * length[of] <= self.n]]
+        lacks = [np.zeros(0, int)]
+        for k in common.tolist():
+            held = np.zeros(self.n, bool)
+            held[doc[first[k] : first[k] + length[k]]] = True
+            lacks.append(np.flatnonzero(~held))
+            item.append(np.full(len(lacks[-1]), k))
+        item, lacks = np.concatenate(item), np.concatenate(lacks)
+        member = np.concatenate([*member, lacks])
+        self.common = len(common)
+        self.lacks = np.bincount(lacks, minlength=self.n)
+        order = np.lexsort((item, member))
+        self.own, self.edge = item[order], np.searchsorted(member[order], np.arange(self.n + 1))
+        order = np.lexsort((member, item))
+        self.docs = member[order]
+        self.first = np.searchsorted(item[order], np.arange(len(first)))
+        self.length = np.bincount(item, minlength=len(first))
 
     def members(self, k: int) -> np.ndarray:
         """The sets of list k, in order."""
         return self.docs[self.first[k] : self.first[k] + self.length[k]]
 
-    def search(self, q: int) -> np.ndarray:
-        """Sets that link with set q."""
-        own = self.list_of[self.edge[q] : self.edge[q + 1]]
-        need = needed(self.sizes[q] + self.sizes)
-        fits = 5 * np.minimum(self.sizes[q], self.sizes) >= 4 * np.maximum(self.sizes[q], self.sizes)
+    def search(self, q: int, among: np.ndarray) -> np.ndarray:
+        """Sets that link with set q, of those that `among` marks."""
+        fits = among & (5 * np.minimum(self.sizes[q], self.sizes) >= 4 * np.maximum(self.sizes[q], self.sizes))
         fits[q] = False
         if not fits.any():
             return np.zeros(0, int)
+        # Lists that a set must share with q.
+        need = needed(self.sizes[q] + self.sizes) - self.common + self.lacks[q] + self.lacks
         least = int(need[fits].min())
+        if least <= 0:  # what is common is enough for some; all others are looked for
+            sure = np.flatnonzero(fits & (need <= 0))
+            return np.concatenate([sure, self.search(q, fits & (need > 0))])
+        own = self.own[self.edge[q] : self.edge[q + 1]]
+        if len(own) < least:
+            return np.zeros(0, int)
         by_length = own[np.argsort(self.length[own], kind="stable")]
         # DivideSkip's number of long lists.
         long = min(least - 1, int(least / (0.01 * np.log2(max(2, self.length[by_length[-1]])) + 1)))
@@ -449,8 +478,7 @@ class Forest:
     def ask(self, q: int) -> None:
         """Find the links of set q with sets that are not in its component."""
         root = self.root
-        near = self.lists.search(q)
-        near = near[root[near] != root[q]]
+        near = self.lists.search(q, root != root[q])
         for r in np.unique(root[near]).tolist():
             if r != root[q]:
                 self.edges.append((q, int(near[root[near] == r][0])))
@@ -516,7 +544,8 @@ def _dealt(size: Column, seed: int) -> tuple[Column, Column]:
 def connect(texts: DataFrame, family: DataFrame, scratch: Scratch, make: Make, index: type) -> DataFrame:
     """Links (a, b) that connect what links within families connect.
 
-    texts: (node, family, size, text); family: the same without texts.
+    texts: (node, family, size, weight, text), size being the sum of the family's weights;
+    family: the same without texts.
     """
     yes = F.lit(True).alias("asks")
     first = links(texts.select(F.xxhash64("family", _dealt(F.col("size"), 17)[1]).alias("task"), "node", "text", yes), make, index)
@@ -524,20 +553,20 @@ def connect(texts: DataFrame, family: DataFrame, scratch: Scratch, make: Make, i
     if family.where(large).isEmpty():
         return first
     texts, first = scratch.keep(texts.where(large)), scratch.keep(first)
-    family = texts.select("node", "family", "size")
+    family = texts.select("node", "family", "size", "weight")
 
     def rooted(edges: DataFrame) -> DataFrame:
         found = components(edges, scratch).withColumnRenamed("component", "root")
         return family.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     # The first of each component that a block found stands for it.
-    heads = scratch.keep(rooted(first).where("root = node").select("node", "family"))
-    counts = heads.groupBy("family").agg(F.count("*").alias("heads"))
+    heads = scratch.keep(rooted(first).where("root = node").select("node", "family", "weight"))
+    counts = heads.groupBy("family").agg(F.sum("weight").alias("heads"))
     heads = texts.join(heads.join(counts, "family").select("node", "heads"), "node")
     second = scratch.keep(links(heads.select(F.xxhash64("family", _dealt(F.col("heads"), 19)[1]).alias("task"), "node", "text", yes), make, index))
     # What no block has found has an end outside the largest component.
-    placed = scratch.keep(rooted(first.union(second)).select("node", "family", "root"))
-    sizes = placed.groupBy("family", "root").agg(F.count("*").alias("k"))
+    placed = scratch.keep(rooted(first.union(second)).select("node", "family", "root", "weight"))
+    sizes = placed.groupBy("family", "root").agg(F.sum("weight").alias("k"))
     main = sizes.groupBy("family").agg(F.max_by("root", F.struct("k", "root")).alias("main"), (F.sum("k") - F.max("k")).alias("askers"), F.sum("k").alias("k")).where("askers > 0")
     main = scratch.keep(main)
     askers = join_spread(placed, main, ["family"], "k", F.col("node")).where("root <> main").select("node")
@@ -561,12 +590,12 @@ def classes(docs: DataFrame, scratch: Scratch, by_row: bool = False, make: Make
     sets = scratch.keep(full.groupBy("n", "h1", "h2").agg(F.min(first).alias("first"), F.min_by("bits", first).alias("bits"), F.count("*").alias("copies")))
     known = d.where("doc_id IS NOT NULL")
     found = components(families(shared_prefixes(known, frequent, make, buckets), sets, buckets), scratch).withColumnRenamed("component", "family")
-    found = scratch.keep(found)
-    sizes = found.groupBy("family").agg(F.count("*").alias("size"))
+    found = scratch.keep(found.join(sets.select(F.col("h1").alias("node"), "first", F.greatest(F.lit(1), F.col("n") / SET_SHINGLES).cast("long").alias("weight")), "node"))
+    sizes = found.groupBy("family").agg(F.sum("weight").alias("size"))
     most = largest(sizes, "size")
     family = join_counted(found, sizes.withColumn("k", F.col("size")), ["family"], "k", F.col("node"), most)
-    family = scratch.keep(family.join(sets.select(F.col("h1").alias("node"), "first.doc_id", "first.row"), "node"))
-    texts = known.join(family, ["doc_id", "row"]).select("node", "family", "size", "text")
+    family = scratch.keep(family.select("node", "family", "size", "weight", "first.doc_id", "first.row"))
+    texts = known.join(family, ["doc_id", "row"]).select("node", "family", "size", "weight", "text")
     linked = scratch.keep(components(connect(texts, family, scratch, make, index), scratch).withColumnRenamed("node", "h1"))
     named = sets.select("n", "h1", "h2", "copies", F.col("first.doc_id").alias("rep")).join(linked, "h1", "left")
     names = named.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("k"))

@@ -6,8 +6,8 @@ however they are aligned, some shift below PERIOD puts both on the cover, and
 the anchor there is within both, since PERIOD - 1 + ANCHOR = WINDOW. So:
 
 1. anchors are dealt by hash; those of two or more documents are candidates;
-2. candidates extend to the windows about them, which are dealt by their 96-bit
-   hash; a window is removed where a document with a smaller doc_id has it too.
+2. candidates extend to the windows about them, which are dealt by 96
+   bits of two hashes of their bytes; a window is removed where a document with a smaller doc_id has it too.
 
 Before either shuffle a task settles what its own documents share, and sends
 one record for all of them, so a passage of very many documents is no hot key.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (
-    map_batches, U64, Words, blocks, bucket_count, by_bucket, deal, dealt_schema, gather, gather_tags, groups, long_column, only, per_id, second, tune, windows,
+    map_batches, U64, Words, blocks, bucket_count, by_bucket, deal, dealt_schema, gather, gather_tags, groups, long_column, only, per_id, tune, windows,
 )
 
 WINDOW = 13
@@ -199,8 +199,8 @@ def covered_windows(candidates: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             anchors, tags = batch.column(2).to_pylist(), long_column(batch.column(3))
             for ids, w, lo in _documents(batch):
-                h = w.hashes()
-                h1, h2 = windows(h, WINDOW), windows(second(h), WINDOW).astype(np.uint32)
+                h1, h2 = w.both_hashes()
+                h1, h2 = windows(h1, WINDOW), windows(h2, WINDOW).astype(np.uint32)
                 mark = np.zeros(len(w.start) + 1, bool)
                 for a, first, end in zip(anchors[lo : lo + len(ids)], w.first, w.first[1:]):
                     q = np.frombuffer(a, "<u4").astype(np.int64) + first
