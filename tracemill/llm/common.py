@@ -316,6 +316,23 @@ def join_spread(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str,
     return both.select(*map(name, rows.columns), *[F.col("found_row")[v].alias(v) for v in values])
 
 
+#: Keys whose hashes are broadcast, so that rows without a partner stay where they are (some 16 bytes a key).
+BROADCAST_KEYS = 2_000_000
+
+
+def may_match(rows: DataFrame, keyed: DataFrame, keys: list[str], of: list[str] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows that may have a key of `keyed`, the others, which surely have none).
+
+    Up to BROADCAST_KEYS keys, whatever shares a 64-bit hash with one may; beyond, all
+    rows may, and there are no others. of: the names of the keys in rows.
+    """
+    if keyed.count() > BROADCAST_KEYS:
+        return rows, None
+    hashes = F.broadcast(keyed.select(F.xxhash64(*keys).alias("may_match")).distinct())
+    same = F.xxhash64(*(of or keys)) == F.col("may_match")
+    return rows.join(hashes, same, "left_semi"), rows.join(hashes, same, "left_anti")
+
+
 def largest(keyed: DataFrame, count: str) -> int:
     """The most rows of any key."""
     return keyed.agg(F.max(count)).first()[0] or 0

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (
-    map_batches, U64, Scratch, Words, blocks, bucket_count, by_bucket, by_task, components, deal, gather, groups, join_counted, join_spread, largest, long_column, mix, only, second, tune, union_find, windows,
+    map_batches, U64, Scratch, Words, blocks, bucket_count, by_bucket, by_task, components, deal, gather, groups, join_counted, join_spread, largest, long_column, may_match, mix, only, second, tune, union_find, windows,
 )
 
 N = 5
@@ -595,7 +595,8 @@ def classes(docs: DataFrame, scratch: Scratch, by_row: bool = False, make: Make
     most = largest(sizes, "size")
     family = join_counted(found, sizes.withColumn("k", F.col("size")), ["family"], "k", F.col("node"), most)
     family = scratch.keep(family.select("node", "family", "size", "weight", "first.doc_id", "first.row"))
-    texts = known.join(family, ["doc_id", "row"]).select("node", "family", "size", "weight", "text")
+    # Most documents are in no family; their texts are not shuffled.
+    texts = may_match(known, family, ["doc_id", "row"])[0].join(family, ["doc_id", "row"]).select("node", "family", "size", "weight", "text")
     linked = scratch.keep(components(connect(texts, family, scratch, make, index), scratch).withColumnRenamed("node", "h1"))
     named = sets.select("n", "h1", "h2", "copies", F.col("first.doc_id").alias("rep")).join(linked, "h1", "left")
     names = named.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("k"))
@@ -626,7 +627,10 @@ def keep_first(docs: DataFrame, scratch: Scratch) -> DataFrame:
         keys = some.select(F.col("doc_id").alias("id_key"), F.col("row").alias("text_key"))
         return of.join(keys, ["id_key", "text_key"], how)
 
-    kept = at(told.where("NOT stays"), "left_anti", all_rows)
+    gone = told.where("NOT stays")
+    near, far = may_match(all_rows, gone, ["doc_id", "row"], ["id_key", "text_key"])
+    kept = at(gone, "left_anti", near)
+    kept = kept if far is None else kept.unionByName(far)
     again = told.where("stays AND copies > 1")
     if not again.isEmpty():
         one = at(again, "left_semi", kept).groupBy("id_key", "text_key").agg(F.min_by("all", F.xxhash64(F.to_json("all"))).alias("all"))
