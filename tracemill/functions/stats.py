@@ -9,11 +9,6 @@ from pyspark.sql.window import Window as W
 HOUR = 3600.0
 
 
-def quantile(us: Column | str, q: float) -> Column:
-    """Exact linearly interpolated quantile of a group; 0 for no values."""
-    return F.coalesce(F.percentile(us, F.lit(q)), F.lit(0.0))
-
-
 #: Added before cutting to whole microseconds, so that neither whole nor half ones
 #: nor usual fractions of quantiles are near the cut.
 _NUDGE = 0.1234567
@@ -42,22 +37,22 @@ def ratio(a: Column, b: Column) -> Column:
 RANGES = 4096
 
 
-def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], count: str | None = None) -> DataFrame:
+def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float | Column]], count: str | None = None) -> DataFrame:
     """One row of exact linearly interpolated quantiles; null where there are no values.
 
-    wanted: name -> (column of whole numbers, quantile); count: a name for the number of
-    values of the first column. Equal values are counted first. The counts of
+    wanted: name -> (column of whole numbers, quantile, or a place from 0 in terms of
+    their number n); count: a name for the number of values of the first column. Equal values are counted first. The counts of
     ranges of values, of which there is a bounded number, tell the range that holds a
     quantile's neighbours, and only the values of those ranges are put in order.
     """
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     series = [F.struct(F.lit(i).alias("s"), F.col(c).cast("long").alias("v")) for i, c in enumerate(columns)]
     values = df.select(F.explode(F.array(*series)).alias("x")).select("x.s", "x.v").where("v IS NOT NULL")
-    counts = values.groupBy("s", "v").agg(F.count("*").alias("c")).withColumn("range", F.signum("v") * F.floor(F.log2(1 + F.abs(F.col("v").cast("double"))) * RANGES))
+    counts = values.groupBy("s", "v").agg(F.count("*").alias("c")).withColumn("range", value_range())
     place = W.partitionBy("s")
     below = F.sum("k").over(place.orderBy("range").rowsBetween(W.unboundedPreceding, 0)) - F.col("k")
     ranges = counts.groupBy("s", "range").agg(F.sum("c").alias("k")).select("s", "range", "k", below.alias("below"), F.sum("k").over(place).alias("n"))
-    at = lambda q: F.lit(float(q)) * (F.col("n") - 1)
+    at = lambda q: q.cast("double") if isinstance(q, Column) else F.lit(float(q)) * (F.col("n") - 1)
     ends = [F.when(F.col("s") == columns.index(c), end(at(q))) for c, q in wanted.values() for end in (F.floor, F.ceil)]
     held = F.filter(F.array_distinct(F.array(*ends)), lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("k")))
     picked = ranges.select("s", "range", "below", "n", F.explode(held).alias("rank"))  # two rows a quantile at most
@@ -74,6 +69,45 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], count: str |
     return found.agg(*[one(c, q).alias(name) for name, (c, q) in wanted.items()], *extra)
 
 
+def value_range(v: str = "v") -> Column:
+    """The range of values that a whole number falls in: a bounded number of them, in order."""
+    return F.signum(v) * F.floor(F.log2(1 + F.abs(F.col(v).cast("double"))) * RANGES)
+
+
+def measures_by(df: DataFrame, keys: list[str], column: str, wanted: dict[str, float], sums: dict[str, Column]) -> DataFrame:
+    """A row per group: exact quantiles of a column of whole numbers, and sums; 0 for quantiles of no values.
+
+    All groups at once go the way of `quantiles`: equal values of a group are counted,
+    and summed with, before a shuffle by (group, value); counts of ranges, of which a
+    group has a bounded number, tell those that hold a quantile's neighbours, and only
+    their values are put in order. So no task receives the values of a group, and
+    one pass over the rows serves quantiles and sums alike.
+    """
+    counted = df.groupBy(*keys, F.col(column).cast("long").alias("q_v")).agg(F.count(column).alias("q_c"), *[F.sum(x).alias(name) for name, x in sums.items()]).withColumn("q_range", value_range("q_v"))
+    ranges = counted.groupBy(*keys, "q_range").agg(F.sum("q_c").alias("q_k"), *[F.sum(name).alias(name) for name in sums])
+    group = W.partitionBy(*keys)
+    below = F.sum("q_k").over(group.orderBy("q_range").rowsBetween(W.unboundedPreceding, 0)) - F.col("q_k")
+    ranges = ranges.select(*keys, "q_range", "q_k", below.alias("q_below"), F.sum("q_k").over(group).alias("q_n"), *[F.sum(name).over(group).alias(name) for name in sums], F.row_number().over(group.orderBy("q_range")).alias("q_place"))
+    at = {name: F.lit(float(q)) * (F.col("q_n") - 1) for name, q in wanted.items()}
+    ends = F.array_distinct(F.array(*[end(p) for p in at.values() for end in (F.floor, F.ceil)]))
+    held = F.filter(ends, lambda r: (r >= F.col("q_below")) & (r < F.col("q_below") + F.col("q_k")))
+    picked = ranges.select(*keys, "q_range", "q_below", "q_n", *sums, "q_place", F.explode_outer(held).alias("q_rank")).where("q_rank IS NOT NULL OR (q_n = 0 AND q_place = 1)")
+    same = F.lit(True)
+    for c in [*keys, "q_range"]:
+        same = same & F.col(f"p.`{c}`").eqNullSafe(F.col(f"c.`{c}`"))
+    # One exchange by group serves the window and the sums; a group's rows are those of a few ranges.
+    met = picked.alias("p").join(counted.alias("c"), same).select(*[F.col(f"p.`{c}`") for c in [*keys, "q_below", "q_n", *sums, "q_rank"]], "c.q_v", "c.q_c").repartition(*keys)
+    through = F.col("q_below") + F.sum("q_c").over(W.partitionBy(*keys, "q_rank").orderBy("q_v").rowsBetween(W.unboundedPreceding, 0))
+    found = met.withColumn("q_through", through).where("q_rank IS NULL OR (q_rank < q_through AND q_rank >= q_through - q_c)")
+
+    def one(p: Column) -> Column:
+        low, high = (F.max(F.when(F.col("q_rank") == end(p), F.col("q_v"))) for end in (F.floor, F.ceil))
+        part = F.max(p - F.floor(p))
+        return F.coalesce(F.when(low == high, low.cast("double")).otherwise((1 - part) * low + part * high), F.lit(0.0))
+
+    return found.groupBy(*keys).agg(*[one(p).alias(name) for name, p in at.items()], *[F.max(name).alias(name) for name in sums])
+
+
 #: What fences are made of, beside the number n of values.
 QUARTILES = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
 

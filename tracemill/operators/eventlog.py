@@ -15,6 +15,11 @@ from ..functions.session import Scratch
 from ..functions.stats import micros, seconds
 
 SEPARATOR = "␟"
+#: What metrics and detectors read of a step.
+STEP_COLUMNS = (
+    "case_id", "activity", "occurred_at", "completed_at", "occ", "fin", "service", "owner", "pos", "prev_owner", "prev_fin", "next_activity", "next_owner", "next_occ", "is_repeat",
+    "is_manual", "monetary_value", "source_system",
+)
 
 
 def owner(team: Column, actor: Column) -> Column:
@@ -29,6 +34,7 @@ class EventLog:
         self.events = events
         self._kept: DataFrame | None = None
         self._kept_cases: DataFrame | None = None
+        self.scratch: Scratch | None = None
 
     def keep(self) -> EventLog:
         """Computes the steps once for all that follows, until `release`."""
@@ -40,11 +46,14 @@ class EventLog:
             self._kept.unpersist()
             self._kept = None
 
-    def fixed(self) -> EventLog:
-        """Writes the steps and the cases once, in the shared folder, for all that follows."""
-        scratch = Scratch(self.events.sparkSession, "log")
-        self._kept = scratch.keep(self.steps())
-        self._kept_cases = scratch.keep(self.cases())
+    def fixed(self, *columns: str) -> EventLog:
+        """Writes the steps and the cases once, in the shared folder, for all that follows.
+
+        columns: those of the steps, by default all; metrics and detectors read STEP_COLUMNS.
+        """
+        self.scratch = Scratch(self.events.sparkSession, "log")
+        self._kept = self.scratch.keep(self.steps().select(*columns or ("*",)))
+        self._kept_cases = self.scratch.keep(self.cases())
         return self
 
     def between(self, start: str | None = None, end: str | None = None) -> EventLog:

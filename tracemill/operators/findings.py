@@ -6,9 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
+from ..functions.session import Scratch
 from ..functions.stats import HOUR, confidence, fence, impact, monthly_hours, quantiles, quartiles, severity
+from .halves import is_late, last_early
 from .metrics import activity_base, loop_base, transition_base, variant_base, window_days
 
 US_HOUR = HOUR * 1e6
@@ -32,10 +33,16 @@ class Thresholds:
 class Findings:
     """Detectors over one event log's steps, cases and transitions."""
 
-    def __init__(self, steps: DataFrame, cases: DataFrame, transitions: DataFrame, config: Thresholds | None = None) -> None:
+    def __init__(self, steps: DataFrame, cases: DataFrame, transitions: DataFrame, config: Thresholds | None = None, scratch: Scratch | None = None) -> None:
+        """scratch: where what several detectors read is written once; without one, each plans it anew."""
         self.steps, self.cases, self.transitions, self.c = steps, cases, transitions, config or Thresholds()
-        self.quartiles = quartiles(cases, "throughput")
-        self.scope = F.broadcast(cases.agg(F.count("*").alias("all_cases")).crossJoin(window_days(cases)))  # one row
+        self.once = scratch.keep if scratch else lambda df: df
+        self.quartiles = self.once(quartiles(cases, "throughput"))
+        self.scope = F.broadcast(self.once(cases.agg(F.count("*").alias("all_cases")).crossJoin(window_days(cases))))  # one row
+
+    def edges(self) -> DataFrame:
+        """The edges of the model, which are read more than once."""
+        return self.once(transition_base(self.transitions))
 
     def finding(self, df: DataFrame, kind: str, subject: Column, title: Column, cases: Column, metric: Column, baseline: Column, hours: Column, evidence: list[Column], sure: Column | None = None, inner: Column | None = None) -> DataFrame:
         """Rows in the common schema. df has all_cases and days; inner: what falls in the detector's own order."""
@@ -50,15 +57,16 @@ class Findings:
 
     def excessive_waiting(self) -> DataFrame:
         """Waits far above the median of all other edges."""
-        # The medians in order, a value per edge of the model; without its own, an edge's
-        # others are the same list with a gap at its rank.
-        order = W.Window.orderBy("median_wait", "source", "target")
-        edges = transition_base(self.transitions).withColumn("rank", F.row_number().over(order))
-        medians = edges.agg(F.array_sort(F.collect_list("median_wait")).alias("medians"))
-        at = lambda k: F.get("medians", (k + F.when(k + 1 >= F.col("rank"), 1).otherwise(0)).cast("int"))
-        others = F.size("medians") - 1
-        middle = (at(F.floor((others - 1) / 2)) + at(F.floor(others / 2))) / 2
-        df = edges.crossJoin(F.broadcast(medians)).withColumn("base", F.when(others > 0, middle).otherwise(0.0)).drop("medians", "rank").crossJoin(self.scope)
+        # Of the others' medians in order, the middle ones are among three about the middle of all:
+        # without its own, an edge has the value at a place, or the next one where its own is not above it.
+        # A median is a whole number of half microseconds.
+        edges = self.edges()
+        low = F.floor((F.col("n") - 2) / 2)
+        twice = edges.select((2 * F.col("median_wait")).cast("long").alias("twice"))
+        middle = quantiles(twice, {f"m{i}": ("twice", low + i) for i in range(3)}, "edges")
+        at = lambda i: F.when(2 * F.col("median_wait") > F.col(f"m{i}"), F.col(f"m{i}")).otherwise(F.col(f"m{i + 1}")) / 2
+        base = (at(0) + F.when(F.col("edges") % 2 == 0, at(0)).otherwise(at(1))) / 2
+        df = edges.crossJoin(F.broadcast(middle)).withColumn("base", F.when(F.col("edges") > 1, base).otherwise(0.0)).crossJoin(self.scope)
         df = df.where((F.col("case_count") >= self.c.min_cases) & (F.col("median_wait") >= self.c.min_wait_hours * US_HOUR) & ~((F.col("base") > 0) & (F.col("median_wait") < F.col("base") * self.c.wait_baseline_multiple)))
         hours = monthly_hours(F.col("total_wait"), F.col("days"))
         return self.finding(
@@ -99,17 +107,9 @@ class Findings:
         )
 
     def halves(self) -> DataFrame:
-        """Medians of the earlier and later half of the cases, by start.
-
-        Cases are numbered within ranges of their start, after the counts of the
-        ranges before, so that no task holds them all.
-        """
-        day = F.floor(F.col("started") / 3_600_000_000).alias("slot")
-        counts = self.cases.groupBy(day).agg(F.count("*").alias("k"))
-        before = counts.select("slot", (F.sum("k").over(W.Window.orderBy("slot")) - F.col("k")).alias("before"))
-        place = F.row_number().over(W.Window.partitionBy("slot").orderBy("started", "case_id"))
-        placed = self.cases.select("*", day).withColumn("place", place).join(before, "slot").withColumn("place", F.col("place") + F.col("before"))
-        late = F.col("place") > F.floor(F.col("all_cases") / 2)
+        """Medians of the earlier and later half of the cases, by start."""
+        placed = self.cases.crossJoin(F.broadcast(last_early(self.cases)))
+        late = is_late()
         each = placed.crossJoin(self.scope).select(
             "all_cases", "days", "started_at", late.alias("late"), F.when(~late, F.col("throughput")).alias("early_time"), F.when(late, F.col("throughput")).alias("late_time")
         )

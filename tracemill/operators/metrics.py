@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions.stats import fence, quantile, quantiles, quartiles, ratio, seconds
+from ..functions.stats import fence, measures_by, quantiles, quartiles, ratio, seconds
 
 
 def shown(name: str) -> Column:
@@ -36,17 +36,20 @@ def throughput(cases: DataFrame) -> DataFrame:
     return both.select("case_count", shown("median_seconds"), "mean_seconds", shown("p90_seconds"), shown("p95_seconds"), "min_seconds", "max_seconds")
 
 
+def flag(c: Column | str) -> Column:
+    """1 where a condition holds."""
+    return F.when(F.col(c) if isinstance(c, str) else c, 1).otherwise(0)
+
+
 def activity_base(steps: DataFrame) -> DataFrame:
-    """Per activity, with durations in microseconds."""
-    return steps.groupBy("activity").agg(
-        F.count("*").alias("occurrence_count"),
-        F.countDistinct("case_id").alias("case_count"),
-        quantile("service", 0.5).alias("median_service"),
-        F.sum("service").alias("total_service"),
-        F.avg(F.col("is_manual").cast("int")).alias("manual_share"),
-        F.countDistinct("owner").alias("distinct_actors"),
-        F.count_if("is_repeat").alias("repeat_events"),
-    )
+    """Per activity, with durations in microseconds.
+
+    A case has an activity for the first time once, so cases need no distinct count.
+    """
+    sums = {"occurrence_count": F.lit(1), "case_count": flag(~F.col("is_repeat")), "total_service": F.col("service"), "manual": flag("is_manual"), "known": flag(F.col("is_manual").isNotNull()), "repeat_events": flag("is_repeat")}
+    base = measures_by(steps, ["activity"], "service", {"median_service": 0.5}, sums).withColumn("manual_share", ratio(F.col("manual"), F.col("known"))).drop("manual", "known")
+    owners = steps.groupBy("activity", "owner").agg(F.lit(1).alias("one")).groupBy("activity").agg(F.count("owner").alias("distinct_actors"))
+    return base.join(owners, "activity")
 
 
 def activity_metrics(steps: DataFrame) -> DataFrame:
@@ -57,14 +60,15 @@ def activity_metrics(steps: DataFrame) -> DataFrame:
 
 
 def transition_base(transitions: DataFrame) -> DataFrame:
-    return transitions.groupBy("source", "target").agg(
-        F.count("*").alias("occurrence_count"),
-        F.countDistinct("case_id").alias("case_count"),
-        quantile("wait", 0.5).alias("median_wait"),
-        quantile("wait", 0.9).alias("p90_wait"),
-        F.sum("wait").alias("total_wait"),
-        F.avg(F.col("is_handoff").cast("int")).alias("handoff_rate"),
-    )
+    """Per edge, with waits in microseconds.
+
+    Which transition is the first of its kind in a case is told within cases, which are
+    dealt by case already; so what is shuffled by edge are counts.
+    """
+    first = F.row_number().over(W.Window.partitionBy("case_id", "source", "target").orderBy("pos")) == 1
+    sums = {"occurrence_count": F.lit(1), "case_count": flag("first"), "total_wait": F.col("wait"), "handoffs": flag("is_handoff")}
+    base = measures_by(transitions.withColumn("first", first), ["source", "target"], "wait", {"median_wait": 0.5, "p90_wait": 0.9}, sums)
+    return base.withColumn("handoff_rate", F.col("handoffs") / F.col("occurrence_count")).drop("handoffs")
 
 
 def _edges_shown(base: DataFrame, *more: str) -> DataFrame:
@@ -84,7 +88,7 @@ def slowest_transitions(transitions: DataFrame, n: int = 6) -> DataFrame:
 
 
 def loop_base(steps: DataFrame) -> DataFrame:
-    total = steps.agg(F.countDistinct("case_id").alias("all_cases"))
+    total = steps.agg(F.count_if(F.col("pos") == 1).alias("all_cases"))
     return (
         steps.where("is_repeat").groupBy("activity").agg(F.count("*").alias("repeat_events"), F.countDistinct("case_id").alias("affected_cases"), F.sum("service").alias("extra"))
         .crossJoin(F.broadcast(total))  # one row
@@ -103,19 +107,14 @@ def variant_base(cases: DataFrame) -> DataFrame:
     before the shuffle too, and the aggregate needs no order.
     """
     order = W.Window.partitionBy("variant_key").orderBy("started", "case_id")
-    first = cases.select("variant_key", "started", "case_id").withColumn("rank", F.row_number().over(order)).where("rank <= 5")
-    first = first.groupBy("variant_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "case_id"))), lambda x: x.case_id).alias("example_case_ids"))
+    first = cases.select("variant_key", "started", "case_id", "sequence").withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    first = first.groupBy("variant_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "case_id"))), lambda x: x.case_id).alias("example_case_ids"), F.first("sequence").alias("sequence"))
     total = cases.agg(F.count("*").alias("all_cases"))
-    return cases.groupBy("variant_key").agg(
-        F.first("sequence").alias("sequence"),
-        F.count("*").alias("case_count"),
-        quantile("throughput", 0.5).alias("median_throughput"),
-        F.avg("throughput").alias("mean_throughput"),
-        F.avg(F.col("sla_breached").cast("int")).alias("sla_breach_rate"),
-        F.avg("handoff_count").alias("mean_handoffs"),
-        F.avg((F.col("rework_count") > 0).cast("int")).alias("rework_case_ratio"),
-        F.coalesce(F.sum("monetary_value"), F.lit(0.0)).alias("total_monetary_value"),
-    ).join(first, "variant_key").crossJoin(F.broadcast(total)).withColumn("share", F.col("case_count") / F.col("all_cases"))
+    sums = {"case_count": F.lit(1), "total": F.col("throughput"), "late": flag("sla_breached"), "handoffs": F.col("handoff_count"), "reworked": flag(F.col("rework_count") > 0), "money": F.col("monetary_value")}
+    base = measures_by(cases, ["variant_key"], "throughput", {"median_throughput": 0.5}, sums)
+    means = {"mean_throughput": "total", "sla_breach_rate": "late", "mean_handoffs": "handoffs", "rework_case_ratio": "reworked"}
+    base = base.select("variant_key", "case_count", "median_throughput", F.coalesce("money", F.lit(0.0)).alias("total_monetary_value"), *[(F.col(c) / F.col("case_count")).alias(name) for name, c in means.items()])
+    return base.join(first, "variant_key").crossJoin(F.broadcast(total)).withColumn("share", F.col("case_count") / F.col("all_cases"))
 
 
 def variants(cases: DataFrame) -> DataFrame:
@@ -183,8 +182,11 @@ def before_after(cases: DataFrame, split_at: str) -> DataFrame:
     """Seven metrics of the cases that start before and from a time; lower is better."""
     period = F.when(F.col("started_at") < F.lit(split_at).cast("timestamp_ntz"), "before").otherwise("after")
     wanted = ", ".join(f"'{m}', `{m}`" for m in COMPARED)
-    medians = [seconds(quantile(c, q)).alias(name) for name, (c, q) in MEDIANS.items()]
-    long = cases.groupBy(period.alias("period")).agg(*case_aggregates(), *medians).selectExpr("period", f"stack({len(COMPARED)}, {wanted}) AS (metric, value)")
+    columns = list(dict.fromkeys(c for c, _ in MEDIANS.values()))
+    times = cases.select(period.alias("period"), F.explode(F.array(*[F.struct(F.lit(c).alias("s"), F.col(c).alias("t")) for c in columns])).alias("x")).select("period", "x.s", "x.t")
+    found = measures_by(times, ["period", "s"], "t", {f"q{q}": q for _, q in MEDIANS.values()}, {})
+    found = found.groupBy("period").agg(*[seconds(F.max(F.when(F.col("s") == c, F.col(f"`q{q}`")))).alias(name) for name, (c, q) in MEDIANS.items()])
+    long = cases.groupBy(period.alias("period")).agg(*case_aggregates()).join(found, "period").selectExpr("period", f"stack({len(COMPARED)}, {wanted}) AS (metric, value)")
     wide = long.groupBy("metric").agg(*[F.coalesce(F.max(F.when(F.col("period") == p, F.col("value"))), F.lit(0.0)).alias(p) for p in ("before", "after")])
     change = F.col("after") - F.col("before")
     return wide.select(

@@ -4,32 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
-from ..functions.stats import monthly_hours
-from .metrics import window_days
+from ..functions.stats import measures_by, monthly_hours, ratio
+from .halves import is_late, last_early
+from .metrics import flag, window_days
 
+#: What is advised by each approach.
+ADVICE = {
+    "monitor": "Most runs are done by systems already; look at those that are still done by hand.",
+    "integration": "Several systems take part; connect them rather than copy between them.",
+    "rule_based_automation": "Runs take much the same time; a rule or a template may do most of them.",
+    "assisted": "Runs differ in time, which speaks for judgement; prepare the work and leave the decision.",
+}
 COMPONENTS = ("frequency", "time_cost", "manuality", "repeatability", "stability", "business_impact", "confidence")
 
 
-def half_of_case(cases: DataFrame) -> DataFrame:
-    """(case_id, is_late): the later half of the cases by start."""
-    slot = F.floor(F.col("started") / 3_600_000_000).alias("slot")
-    counts = cases.groupBy(slot).agg(F.count("*").alias("k"))
-    before = counts.select("slot", (F.sum("k").over(W.Window.orderBy("slot")) - F.col("k")).alias("before"))
-    total = cases.agg(F.greatest(F.floor(F.count("*") / 2), F.lit(1)).alias("middle"))
-    place = F.row_number().over(W.Window.partitionBy("slot").orderBy("started", "case_id")) + F.col("before")
-    return cases.select("case_id", "started", slot).join(before, "slot").crossJoin(F.broadcast(total)).withColumn("place", place).select("case_id", (F.col("place") > F.col("middle")).alias("is_late"))
-
-
 def score_opportunities(steps: DataFrame, cases: DataFrame, min_occurrences: int = 20, hourly_cost: float = 35.0) -> DataFrame:
     scope = F.broadcast(cases.agg(F.count("*").alias("all_cases")).crossJoin(window_days(cases)))  # one row
-    rows = steps.join(half_of_case(cases), "case_id").join(cases.select("case_id", F.col("monetary_value").alias("case_money")), "case_id")
-    per = rows.groupBy("activity").agg(
-        F.count("*").alias("n"), F.countDistinct("case_id").alias("case_count"), F.sum("service").alias("total"), F.avg("service").alias("mean"), F.stddev_pop("service").alias("spread"),
-        F.percentile("service", F.lit(0.5)).alias("median"), F.avg(F.col("is_manual").cast("int")).alias("manual_share"), F.countDistinct("owner").alias("owners"),
-        F.array_sort(F.collect_set("source_system")).alias("systems"), F.count_if("is_late").alias("late"), F.avg("case_money").alias("money"), F.count("case_money").alias("paid"),
-    )
+    of_case = cases.crossJoin(F.broadcast(last_early(cases, 1))).select("case_id", is_late().alias("is_late"), F.col("monetary_value").alias("case_money"))
+    rows = steps.join(of_case, "case_id")
+    sums = {
+        "n": F.lit(1), "case_count": flag(~F.col("is_repeat")), "total": F.col("service"), "manual": flag("is_manual"), "known": flag(F.col("is_manual").isNotNull()),
+        "late": flag("is_late"), "paid_money": F.col("case_money"), "paid": flag(F.col("case_money").isNotNull()),
+    }
+    per = measures_by(rows, ["activity"], "service", {"median": 0.5}, sums)
+    per = per.withColumns({"manual_share": ratio(F.col("manual"), F.col("known")), "money": ratio(F.col("paid_money"), F.col("paid"))})
+    kinds = steps.groupBy("activity", "owner", "source_system").agg(F.lit(1).alias("one")).groupBy("activity").agg(F.countDistinct("owner").alias("owners"), F.array_sort(F.collect_set("source_system")).alias("systems"))
+    spread = steps.groupBy("activity").agg(F.avg("service").alias("mean"), F.stddev_pop("service").alias("spread"))
+    per = per.join(kinds, "activity").join(spread, "activity")
     top = steps.agg(F.coalesce(F.max("monetary_value"), F.lit(0.0)).alias("top"))
     df = per.where(F.col("n") >= min_occurrences).crossJoin(scope).crossJoin(F.broadcast(top))
     hours = monthly_hours(F.col("total"), F.col("days"))
@@ -55,8 +57,9 @@ def score_opportunities(steps: DataFrame, cases: DataFrame, min_occurrences: int
     ))
     return df.select(
         "activity", F.round(product, 2).alias("score"), *[F.round(c, 4).alias(c) for c in COMPONENTS], F.round(hours, 2).alias("estimated_hours_per_month"), F.round(hours * hourly_cost, 2).alias("estimated_eur_per_month"),
-        F.col("n").alias("occurrences"), F.col("case_count").alias("cases"), F.round(F.col("median") / 6e7, 2).alias("median_minutes"), F.col("owners"), F.array_join("systems", ",").alias("systems"), approach.alias("approach"), F.array_join(blockers, "; ").alias("blockers"),
-    )
+        F.col("n").alias("occurrences"), F.col("case_count").alias("cases"), F.round(F.col("median") / 6e7, 2).alias("median_minutes"), F.col("owners"), F.array_join("systems", ",").alias("systems"), F.round("manual_share", 3).alias("manual_share"), F.round("days", 1).alias("window_days"),
+        approach.alias("approach"), F.array_join(blockers, "; ").alias("blockers"),
+    ).withColumn("detail", F.coalesce(*[F.when(F.col("approach") == k, v) for k, v in ADVICE.items()]))
 
 
 def carry_status(new: DataFrame, old: DataFrame) -> DataFrame:

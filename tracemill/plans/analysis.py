@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.session import with_checkpoints
-from ..operators import graph, metrics
+from ..operators import graph, metrics, order
 from ..operators.eventlog import EventLog, cases_shown
 from ..operators.findings import Findings, Thresholds, upsert_findings
 from ..operators.opportunities import carry_status, score_opportunities
@@ -41,20 +41,33 @@ def analyze(store: Store, process_id: str, sla_hours: float | None = None, hourl
         snapshot = metrics.summary(steps, cases)
         payload = F.to_json(F.struct(*snapshot.columns)).alias("payload")
         store.append("metrics", snapshot.select(F.current_timestamp().alias("computed_at"), "window_start", "window_end", payload), process_id)
-        found = Findings(steps, cases, transitions, thresholds).all().drop("detector", "inner").withColumn("detected_at", F.current_timestamp())
-        store.replace("findings", upsert_findings(_stored(store, "findings", process_id, found, "narrative"), found), process_id)
+        found = Findings(steps, cases, transitions, thresholds).all().withColumn("detected_at", F.current_timestamp())
+        store.update("findings", process_id, lambda old: upsert_findings(_or_none(old, found, "narrative"), found))
         scored = score_opportunities(steps, cases, hourly_cost=hourly_cost)
-        store.replace("opportunities", carry_status(scored, _stored(store, "opportunities", process_id, scored)), process_id)
+        store.update("opportunities", process_id, lambda old: carry_status(scored, _or_none(old, scored)))
         return {name: store.read(name, process_id).count() if store.exists(name) else 0 for name in counts}
     finally:
         log.release()
 
 
-def _stored(store: Store, table: str, process_id: str, like: DataFrame, *more: str) -> DataFrame:
-    """The process's rows in a table, or none with the columns of `like`."""
-    if store.exists(table):
-        return store.read(table, process_id)
-    return like.limit(0).select("*", *[F.lit(None).cast("string").alias(c) for c in ("status", *more)])
+def _or_none(old: DataFrame | None, like: DataFrame, *more: str) -> DataFrame:
+    """The rows, or none with the columns of `like`."""
+    return like.limit(0).select("*", *[F.lit(None).cast("string").alias(c) for c in ("status", *more)]) if old is None else old
+
+
+#: The table in which each stored result is.
+RESULTS = {"cases": "cases", "variants": "variants", "edges": "edges", "findings": "findings", "opportunities": "opportunities"}
+
+
+def results(store: Store, process_id: str, result: str, limit: int | None = None, status: str | None = None) -> DataFrame:
+    """A stored result of a process as it is shown: in its order, and as many rows as are shown or asked for."""
+    df = store.read(RESULTS[result], process_id)
+    if status is not None:
+        df = df.where(F.col("status") == status)
+    if result in order.LIMITS:
+        return order.first(df, result, limit)
+    df = order.ordered(df, result)
+    return df if limit is None else df.limit(limit)
 
 
 def report(store: Store, process_id: str, name: str) -> str:

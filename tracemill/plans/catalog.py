@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.session import with_checkpoints
-from ..operators import graph, metrics
-from ..operators.eventlog import EventLog, cases_shown
+from ..operators import graph, metrics, order
+from ..operators.eventlog import STEP_COLUMNS, EventLog, cases_shown
 from ..operators.findings import Findings, Thresholds, upsert_findings
 from ..operators.opportunities import carry_status, score_opportunities
 from ..sources import files
@@ -115,6 +115,19 @@ def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.before_after(_cases(spark, sf_dir), SPLIT_AT)
 
 
+@query
+def before_after_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.before_after_counts(_cases(spark, sf_dir), SPLIT_AT)
+
+
+def _first(name: str, of: str, result: str, limit: int | None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return order.first(QUERIES[of](spark, sf_dir), result, limit)
+
+    run.__name__ = name
+    query(run)
+
+
 @query
 def case_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The timeline of user 1's 7 January, or no rows."""
@@ -154,16 +167,36 @@ def edge_render_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edge_render_flags(metrics.transition_metrics(log.transitions()), log.cases().agg(F.count("*").alias("n")))
 
 
+def _timed(spark: SparkSession, sf_dir: str) -> EventLog:
+    """The day log whose activities tell the quarter of the day: a graph with cycles and with an order."""
+    log = day_log(with_checkpoints(spark), sf_dir)
+    quarter = F.floor(F.hour("occurred_at") / 6).cast("string")
+    return EventLog(log.withColumn("activity", F.concat_ws("@", "activity", quarter)))
+
+
+@query
+def process_map_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _timed(spark, sf_dir)
+    return graph.map_nodes(graph.dfg_nodes(log.steps()), graph.levels(graph.edge_pairs(log.transitions())))
+
+
+@query
+def process_map_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _timed(spark, sf_dir)
+    edges = metrics.transition_metrics(log.transitions())
+    return graph.map_edges(edges, graph.levels(graph.edge_pairs(log.transitions())), log.cases().agg(F.count("*").alias("n")))
+
+
 FINDING_COLUMNS = ("finding_type", "subject", "severity", "affected_case_count", "metric_value", "baseline_value", "impact_hours", "impact_score", "confidence", "fingerprint")
 
 
 def _findings(log: EventLog, config: Thresholds = TUNED) -> Findings:
-    return Findings(log.steps(), log.cases(SLA_HOURS), log.transitions(), config)
+    return Findings(log.steps(), log.cases(SLA_HOURS), log.transitions(), config, log.scratch)
 
 
 def _fixed(spark: SparkSession, sf_dir: str) -> EventLog:
     """The day log with steps and cases written once."""
-    return _day(spark, sf_dir).fixed()
+    return _day(spark, sf_dir).fixed(*STEP_COLUMNS)
 
 
 def _detector(name: str, method: str, sessions: bool = False) -> None:
@@ -240,6 +273,16 @@ def process_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.process_list(log.cases().select(process.alias("process_id"), "throughput"), late)
 
 
+for _name, _of, _result, _limit in (("variants_shown", "variants", "variants", None), ("opportunities_shown", "opportunities", "opportunities", 3)):
+    _first(_name, _of, _result, _limit)
+
+
+@query
+def findings_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five first findings, in the order of a run."""
+    return order.first(_findings(_fixed(spark, sf_dir)).all(), "findings", 5).select(*FINDING_COLUMNS)
+
+
 @query
 def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.report_totals(opportunities(spark, sf_dir), top=3)

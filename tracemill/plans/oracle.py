@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators.opportunities import ADVICE
+
 #: Canonical events of a user's day, in microseconds.
 EVENTS = """
 clicks AS (
@@ -58,6 +60,22 @@ def day(body: str, base: str = DAY, more: str = "", recursive: bool = False) ->
 EDGES = f"source, target, occurrence_count, case_count, {s('median_wait')} AS median_wait_seconds, {s('p90_wait')} AS p90_wait_seconds, {s('total_wait')} AS total_wait_seconds, round(handoff_rate, 6) AS handoff_rate"
 NODES = f"""SELECT activity, ac.occurrence_count, ac.case_count, {s('median_service')} AS median_service_seconds, round(ac.manual_share, 6) AS manual_share, is_start, is_end FROM ac
 JOIN (SELECT activity, bool_or(pos = 1) AS is_start, bool_or(next_activity IS NULL) AS is_end FROM st GROUP BY activity) USING (activity)"""
+#: A day's activities by the quarter of the day.
+TIMED = EVENTS + """, ev AS (
+  SELECT * REPLACE (activity || '@' || (hour(ts) // 6) AS activity), user_id || '-' || strftime(ts, '%Y-%m-%d') AS case_id, CAST(event_id AS VARCHAR) AS sid FROM clicks
+)"""
+#: Components by what reaches what, and the longest path to each.
+MAP = """, reach(a, b) AS (
+  SELECT source, target FROM eg UNION SELECT r.a, e.target FROM reach r JOIN eg e ON r.b = e.source
+), comp AS (
+  SELECT activity, least(activity, coalesce(min(y.b), activity)) AS component FROM ac LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach z ON x.a = z.b AND x.b = z.a) y ON y.a = activity GROUP BY activity
+), between_components AS (
+  SELECT DISTINCT p.component AS c, q.component AS d FROM eg JOIN comp p ON p.activity = source JOIN comp q ON q.activity = target WHERE p.component <> q.component
+), lv(c, l) AS (
+  SELECT DISTINCT component, CAST(0 AS BIGINT) FROM comp UNION SELECT d, l + 1 FROM lv JOIN between_components USING (c)
+), pl AS (
+  SELECT activity, component, (SELECT max(l) FROM lv WHERE lv.c = component) AS level FROM comp
+)"""
 KEPT = ", kept AS (SELECT eg.* FROM eg, sc WHERE case_count >= 0.06 * all_cases)"
 VARIANTS = """, vr AS (
   SELECT variant_key, any_value(seq) AS seq, count(*) AS case_count, count(*) / any_value(all_cases) AS share, quantile_cont(throughput, 0.5) AS median_throughput, avg(throughput) AS mean_throughput, avg(CAST(sla_breached AS INT)) AS sla_breach_rate,
@@ -103,6 +121,7 @@ def detectors(wait: float = 1.05, rework: float = 0.05, handoffs: float = 1.0, t
 
 
 DETECTORS = detectors()
+DETECTOR_ORDER = ("excessive_waiting", "repeated_activity", "high_handoff_count", "rare_expensive_variant", "worsening_cycle_time", "high_manual_repetition", "cycle_time_outliers")
 ALL = " UNION ALL ".join(f"({q})" for q in DETECTORS.values())
 OPPORTUNITIES = f""", ranked AS (
   SELECT case_id, monetary_value AS case_money, row_number() OVER (ORDER BY started, case_id) > greatest(all_cases // 2, 1) AS is_late FROM cs, sc
@@ -120,7 +139,7 @@ OPPORTUNITIES = f""", ranked AS (
 ), op AS (
   SELECT activity, round(100 * frequency * time_cost * manuality * repeatability * stability * business_impact * confidence, 2) AS score, round(frequency, 4) AS frequency, round(time_cost, 4) AS time_cost, round(manuality, 4) AS manuality,
     round(repeatability, 4) AS repeatability, round(stability, 4) AS stability, round(business_impact, 4) AS business_impact, CAST(round(confidence, 4) AS DOUBLE) AS confidence, round(hours, 2) AS estimated_hours_per_month, round(hours * 35, 2) AS estimated_eur_per_month,
-    n AS occurrences, case_count AS cases, round(median / 6e7, 2) AS median_minutes, owners, array_to_string(systems, ',') AS systems,
+    n AS occurrences, case_count AS cases, round(median / 6e7, 2) AS median_minutes, owners, array_to_string(systems, ',') AS systems, round(manual_share, 3) AS manual_share, round(days, 1) AS window_days,
     CASE WHEN manual_share < 0.3 THEN 'monitor' WHEN len(systems) > 1 THEN 'integration' WHEN repeatability >= 0.7 THEN 'rule_based_automation' ELSE 'assisted' END AS approach,
     concat_ws('; ', CASE WHEN stability < 0.6 THEN 'volume differs between the halves of the window' END, CASE WHEN repeatability < 0.4 THEN 'duration varies widely' END, CASE WHEN confidence < 0.7 THEN 'few observations' END) AS blockers
   FROM op2
@@ -157,6 +176,8 @@ ORACLE_SQL: dict[str, str] = {
     "sla_breach_rate": day("SELECT round(avg(CAST(sla_breached AS INT)), 6) AS sla_breach_rate FROM cs"),
     "variants": day(f"""SELECT variant_key, array_to_string(seq, ' > ') AS sequence, case_count, round(share, 6) AS share, {s('median_throughput')} AS median_throughput_seconds, {s('mean_throughput')} AS mean_throughput_seconds,
       round(money, 2) AS total_monetary_value, array_to_string(examples, ',') AS example_case_ids FROM vr""", more=VARIANTS),
+    "variants_shown": day(f"""SELECT variant_key, array_to_string(seq, ' > ') AS sequence, case_count, round(share, 6) AS share, {s('median_throughput')} AS median_throughput_seconds, {s('mean_throughput')} AS mean_throughput_seconds,
+      round(money, 2) AS total_monetary_value, array_to_string(examples, ',') AS example_case_ids FROM vr ORDER BY case_count DESC, variant_key LIMIT 50""", more=VARIANTS),
     "variants_enriched": day("SELECT variant_key, case_count, round(share, 6) AS share, round(sla_breach_rate, 6) AS sla_breach_rate, round(mean_handoffs, 6) AS mean_handoffs, round(rework_case_ratio, 6) AS rework_case_ratio FROM vr", more=VARIANTS),
     "start_end_activities": day("SELECT 'start' AS kind, activity, count(*) AS case_count FROM st WHERE pos = 1 GROUP BY activity UNION ALL SELECT 'end', activity, count(*) FROM st WHERE next_activity IS NULL GROUP BY activity"),
     "dfg_nodes": day(NODES),
@@ -166,6 +187,9 @@ ORACLE_SQL: dict[str, str] = {
     "dfg_nodes_filtered": day(f"{NODES} WHERE activity IN (SELECT source FROM kept UNION SELECT target FROM kept) OR NOT EXISTS (SELECT 1 FROM kept)", more=KEPT),
     "cyclic_activities": day("SELECT DISTINCT a AS activity FROM reach WHERE a = b", more=KEPT + ", reach(a, b) AS (SELECT source, target FROM kept UNION SELECT r.a, e.target FROM reach r JOIN kept e ON r.b = e.source)", recursive=True),
     "edge_render_flags": day(f"SELECT source, target, {s('median_wait')} > 0.6 * (SELECT max({s('median_wait')}) FROM eg) AS is_slow, round(1 + 4 * case_count / all_cases, 6) AS width FROM eg, sc"),
+    "process_map_nodes": day("SELECT activity, component, level, round(manual_share, 6) > 0.5 AS is_manual FROM ac JOIN pl USING (activity)", TIMED, MAP, recursive=True),
+    "process_map_edges": day(f"""SELECT source, target, {s('median_wait')} > 0.6 * (SELECT max({s('median_wait')}) FROM eg) AS is_slow, round(1 + 4 * case_count / all_cases, 6) AS width, q.level <= p.level AS is_back
+      FROM eg JOIN pl p ON p.activity = source JOIN pl q ON q.activity = target, sc""", TIMED, MAP, recursive=True),
     "outlier_cases": day(f"""SELECT case_id, {s('throughput')} AS throughput_seconds, variant_key, {s('fence')} AS threshold_seconds FROM cs,
       (SELECT quantile_cont(throughput, 0.75) + 1.5 * (quantile_cont(throughput, 0.75) - quantile_cont(throughput, 0.25)) AS fence FROM cs) WHERE throughput > fence""", SESSION),
     "window_filter": day("SELECT case_id, event_count, throughput FROM cs WHERE make_timestamp(started) >= TIMESTAMP '2024-01-05' AND make_timestamp(started) < TIMESTAMP '2024-01-12'"),
@@ -173,16 +197,20 @@ ORACLE_SQL: dict[str, str] = {
       CASE WHEN round(a.value - b.value, 6) <> 0 THEN a.value < b.value END AS improved FROM long b JOIN long a ON a.metric = b.metric AND b.period = 'before' AND a.period = 'after'""",
         more=f""", per AS (SELECT CASE WHEN make_timestamp(started) < TIMESTAMP '2024-01-16' THEN 'before' ELSE 'after' END AS period, {SUMMARY} FROM cs GROUP BY 1),
         long AS (UNPIVOT per ON median_throughput_seconds, p90_throughput_seconds, median_waiting_seconds, mean_handoffs, rework_case_ratio, sla_breach_rate, manual_event_share INTO NAME metric VALUE value)"""),
+    "before_after_counts": day("""SELECT count(*) FILTER (make_timestamp(started) < TIMESTAMP '2024-01-16') AS cases_before, count(*) FILTER (make_timestamp(started) >= TIMESTAMP '2024-01-16') AS cases_after,
+      CASE WHEN least(cases_before, cases_after) < 10 THEN 'a side has fewer than 10 cases' ELSE 'differences are not causes' END AS note FROM cs"""),
     "case_timeline": day(f"""SELECT case_id, pos, activity, make_timestamp(occ) AS occurred_at, make_timestamp(fin) AS completed_at, owner, source_system, is_manual, {s('service')} AS service_seconds,
       {s('coalesce(greatest(occ - prev_fin, 0), 0)')} AS wait_before_seconds FROM st WHERE case_id = '1-2024-01-07'"""),
     **{k: day(q, SESSION if k == "finding_outliers" else DAY, VARIANTS) for k, q in DETECTORS.items()},
     "findings": day(ALL, more=VARIANTS),
     "findings_inbox": day(f"SELECT finding_type, subject, severity, impact_score FROM ({ALL}) WHERE severity = 'high' ORDER BY impact_score DESC, subject LIMIT 10", more=VARIANTS),
+    "findings_shown": day(f"SELECT * FROM ({ALL}) ORDER BY impact_score DESC, list_position({list(DETECTOR_ORDER)}, finding_type), impact_hours DESC, subject LIMIT 5", more=VARIANTS),
     "findings_upsert": day(f"""SELECT coalesce(o.fingerprint, n.fingerprint) AS fingerprint, CASE WHEN o.fingerprint IS NULL THEN 'open' WHEN n.fingerprint IS NULL AND o.status = 'open' THEN 'resolved' ELSE o.status END AS status,
       o.narrative, coalesce(n.impact_score, o.impact_score) AS impact_score
       FROM (SELECT fingerprint, CASE WHEN fingerprint[1] < '8' THEN 'open' WHEN fingerprint[1] < 'c' THEN 'resolved' ELSE 'dismissed' END AS status, 'noted' AS narrative, impact_score FROM ({UPSERT_OLD})) o
       FULL JOIN (SELECT fingerprint, impact_score FROM ({UPSERT_NEW})) n ON o.fingerprint = n.fingerprint""", more=VARIANTS),
-    "opportunities": day("SELECT * FROM op", more=OPPORTUNITIES),
+    "opportunities": day(f"SELECT *, CASE approach {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in ADVICE.items())} END AS detail FROM op", more=OPPORTUNITIES),
+    "opportunities_shown": day(f"SELECT *, CASE approach {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in ADVICE.items())} END AS detail FROM op ORDER BY score DESC, activity LIMIT 3", more=OPPORTUNITIES),
     "overview": day(f"""SELECT (SELECT count(*) FROM cs) AS case_count, (SELECT count(*) FROM ({ALL})) AS open_findings, (SELECT subject FROM ({ALL}) ORDER BY impact_score DESC, subject DESC LIMIT 1) AS top_finding,
       round(sum(estimated_hours_per_month) FILTER (activity <> 'click'), 2) AS recoverable_hours, round(sum(estimated_eur_per_month) FILTER (activity <> 'click'), 2) AS recoverable_eur,
       (SELECT activity FROM op ORDER BY score DESC, activity DESC LIMIT 1) AS top_opportunity FROM op""", more=VARIANTS + OPPORTUNITIES),
@@ -207,4 +235,16 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT event_id, 'channel', CASE WHEN user_id % 2 = 0 THEN 'Manual' ELSE 'web' END FROM events UNION ALL SELECT event_id, 'formula', '=' || event_type FROM events
       ), v AS (SELECT "column", value, count(*) AS k, min(event_id) AS first FROM r WHERE value <> '' GROUP BY ALL)
       SELECT "column", CAST(sum(k) AS BIGINT) AS non_empty, count(*) AS distinct_count, array_to_string(list(value ORDER BY first, value)[1:5], '|') AS samples FROM v GROUP BY "column" """,
+    "infer_types": r"""WITH r AS (
+        SELECT event_id, 'order_id' AS "column", CASE WHEN event_id % 11 = 0 THEN '' ELSE chr(39) || 'U-' || user_id END AS value FROM events UNION ALL SELECT event_id, 'step', ' ' || event_type FROM events
+        UNION ALL SELECT event_id, 'channel', CASE WHEN user_id % 2 = 0 THEN 'Manual' ELSE 'web' END FROM events
+        UNION ALL SELECT event_id, 'amount', replace(CAST(CAST(round(value, 2) AS DECIMAL(18, 2)) AS VARCHAR), '.', ',') FROM events
+        UNION ALL SELECT event_id, 'timestamp', CASE WHEN event_id % 6 = 5 THEN 'soon' ELSE strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') || ' form ' || (event_id % 6) END FROM events
+      ), v AS (
+        SELECT "column", value FROM r WHERE value <> '' QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY event_id) <= 200
+      ), a AS (
+        SELECT "column", count(*) AS n, bool_and("column" = 'timestamp' AND value <> 'soon') AS dates, bool_and(regexp_full_match(replace(value, ',', '.'), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)')) AS numbers,
+          count(DISTINCT lower(value)) AS folded, count(DISTINCT value) AS kinds FROM v GROUP BY "column"
+      )
+      SELECT "column", CASE WHEN dates THEN 'datetime' WHEN numbers THEN 'number' WHEN folded <= 2 THEN 'boolean' WHEN kinds <= greatest(2, n // 10) THEN 'categorical' ELSE 'string' END AS inferred_type FROM a""",
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import order
+
 SEVERITY_RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3}
 
 
@@ -61,7 +63,7 @@ def workspace(events: DataFrame, cases: DataFrame, findings: DataFrame, opportun
 
 def report_totals(opportunities: DataFrame, top: int = 10) -> DataFrame:
     """What the best opportunities would save; the others do not count."""
-    best = opportunities.orderBy(F.desc("score"), "activity").limit(top)
+    best = order.first(opportunities, "opportunities", top)
     return best.agg(F.count("*").alias("listed"), F.round(F.sum("estimated_hours_per_month"), 2).alias("hours_per_month"), F.round(F.sum("estimated_eur_per_month"), 2).alias("eur_per_month"))
 
 
@@ -70,9 +72,9 @@ def report_payload(summary: DataFrame, variants: DataFrame, findings: DataFrame,
     rows = lambda df: [r.asDict(True) for r in df.collect()]
     return {
         "summary": rows(summary)[0],
-        "variants": rows(variants.orderBy(F.desc("case_count"), "variant_key").limit(5)),
+        "variants": rows(order.first(variants, "variants", 5)),
         "findings": rows(findings.where("status <> 'dismissed'").orderBy(F.desc("impact_score"), "subject").limit(10)),
-        "opportunities": rows(opportunities.orderBy(F.desc("score"), "activity").limit(10)),
+        "opportunities": rows(order.first(opportunities, "opportunities", 10)),
         "totals": rows(report_totals(opportunities))[0],
     }
 
@@ -87,11 +89,12 @@ def render_markdown(name: str, payload: dict) -> str:
         "Waiting, of the cycle time": share(s.get("waiting_share")), "Handoffs a case": f"{s.get('mean_handoffs') or 0:.2f}", "Cases with rework": share(s.get("rework_case_ratio")), "Events by hand": share(s.get("manual_event_share")),
     }
     out = [f"# {name}", "", f"{s['case_count']} cases in {s['variant_count']} variants.", "", "| | |", "|-|-|", *[f"| {k} | {v} |" for k, v in facts.items()], "", "## Findings", ""]
-    out += [f"- **{f['severity']}** {f['title']}: {f['affected_case_count']} cases, {f['impact_hours']:.1f} h, confidence {f['confidence']:.2f}" for f in payload["findings"]] or ["Nothing is beyond the thresholds."]
+    out += [f"- **{f['severity']}** {explain(f)}" for f in payload["findings"]] or ["Nothing is beyond the thresholds."]
     out += ["", "## Opportunities", ""]
     if payload["opportunities"]:
         out += ["| Activity | Score | Hours a month | EUR a month | Approach |", "|-|-|-|-|-|"]
         out += [f"| {o['activity']} | {o['score']:.2f} | {o['estimated_hours_per_month']:.2f} | {o['estimated_eur_per_month']:.2f} | {o['approach']} |" for o in payload["opportunities"]]
+        out += ["", *[f"- {explain_opportunity(o)}" for o in payload["opportunities"] if "detail" in o]]
         out += ["", f"All of these: {totals['hours_per_month'] or 0:.2f} hours and {totals['eur_per_month'] or 0:.2f} EUR a month."]
     else:
         out += ["No activity is frequent enough."]
@@ -103,3 +106,9 @@ def render_markdown(name: str, payload: dict) -> str:
 def explain(finding: dict) -> str:
     """A sentence about a finding from its own numbers."""
     return f"{finding['title']}. It affects {finding['affected_case_count']} cases at about {finding['impact_hours']:.1f} hours (confidence {finding['confidence']:.2f})."
+
+
+def explain_opportunity(o: dict) -> str:
+    """A sentence about an opportunity from its own numbers, and what is advised."""
+    held_back = f" Against it: {o['blockers']}." if o["blockers"] else ""
+    return f"{o['activity']}: {o['occurrences']} runs in {o['cases']} cases within {o['window_days']:g} days, {100 * o['manual_share']:.0f} % of them by hand. {o['detail']}{held_back}"
