@@ -178,3 +178,66 @@ def test_orders_and_limits(spark):
             order.first(rows, "variants", limit)
     found = spark.createDataFrame([("low", "f1", "open", 9.0), ("high", "f2", "open", 1.0), ("medium", "f3", "open", 5.0)], "severity string, subject string, status string, impact_score double")
     assert [r.subject for r in rollups.findings_inbox(found, limit=2).collect()] == ["f3", "f1"]
+
+
+def csv_rows(path):
+    import csv
+
+    with open(path, newline="", encoding="utf-8") as f:
+        rows = [r for r in csv.reader(f) if r and any(c.strip() for c in r)]
+    return rows[1:]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_records_with_breaks_by_many_tasks(spark, tmp_path, seed):
+    """A file in many blocks, with quotes at every turn, against the csv module."""
+    import csv
+    import random
+
+    rng = random.Random(seed)
+    cell = lambda: rng.choice(["", "plain", "a b", "x\ny", 'he said ""so""', '"', "two\n\nlines", "a,b", ",\n,", 'end"', "1.5", "é漢", '5 inch" pipe'])
+    path = tmp_path / "a.csv"
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        out = csv.writer(f, lineterminator="\n")
+        out.writerow(["id", "one", "two", "three"])
+        for i in range(3000):
+            out.writerow([i, cell(), cell(), cell()])
+            if rng.random() < 0.02:
+                f.write("\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        df = files.read_delimited(spark, str(path))
+        got = [[r.id, r.one or "", r.two or "", r.three or ""] for r in df.orderBy("row_index").collect()]
+        index = [r.row_index for r in df.select("row_index").orderBy("row_index").collect()]
+        tasks = files.records(spark, str(path), ",").rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert tasks > 5 and index == list(range(1, 3001))
+    bare = lambda rows: [[c.strip(" \t\n\r") for c in r] for r in rows]
+    assert bare(got) == bare(csv_rows(path))
+
+
+def test_records_of_several_files(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "1.csv").write_text('﻿k,v\n1,"a\nb"\n\n2,c\n', encoding="utf-8")
+    (tmp_path / "d" / "2.csv").write_text('k,v\r\n3,"open\r\nto the end\r\n', encoding="utf-8")
+    (tmp_path / "d" / "3.csv").write_text("k,v\n4,d", encoding="utf-8")
+    got = files.read_delimited(spark, str(tmp_path / "d")).orderBy("row_index").collect()
+    assert [(r.row_index, r.k, r.v) for r in got][:2] == [(1, "1", "a\nb"), (2, "2", "c")]
+    assert [(r.row_index, r.k) for r in got][2:] == [(3, "3"), (4, "4")] and got[3].v == "d"
+
+
+def test_errors_of_an_import(spark, tmp_path):
+    store = Store(with_checkpoints(spark), str(tmp_path / "store"), "t1")
+    rows = spark.createDataFrame([(i, "", "x", "2026-05-01") for i in range(260)], "row_index long, c string, a string, t string")
+    done = store.import_rows(rows, files.Mapping({"case_id": "c", "activity_name": "a", "occurred_at": "t"}), "p")
+    assert done["rejected"] == 260 and [e["row_index"] for e in done["errors"]] == list(range(200))
+
+
+def test_profile_has_no_window_over_all_values(spark):
+    rows = spark.createDataFrame([(i, f"v{i % 9}", "") for i in range(40)], "row_index long, a string, b string")
+    df = files.column_profile(rows, ["a", "b"])
+    assert [(r.column, r.non_empty, r.distinct_count, r.samples) for r in df.collect()] == [("a", 40, 9, "v0|v1|v2|v3|v4")]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan.split("Exchange")[-2]  # before the shuffle too

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
 from dataclasses import dataclass, field
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import text as tx
+from ..functions.session import with_checkpoints
+from .records import records
 
 # Names of columns by which a canonical field is recognised, best first.
 FIELD_NAMES = {
@@ -30,6 +33,8 @@ FIELD_NAMES = {
     "is_manual": ("is_manual", "manual", "channel", "automated"),
 }
 REQUIRED = ("case_id", "activity_name", "occurred_at")
+#: Values of a column that a profile shows.
+SAMPLES = 5
 
 
 def sniff_delimiter(head: str) -> str:
@@ -42,24 +47,32 @@ def sniff_delimiter(head: str) -> str:
 def read_delimited(spark: SparkSession, path: str, max_rows: int | None = None, breaks: bool | None = None) -> DataFrame:
     """All columns that have a name as sanitised text, with row_index from 1 in the order of the file.
 
-    breaks: whether quoted cells hold line breaks, which keeps Spark from splitting
-    a file; looked up where it is not stated.
+    breaks: whether quoted cells may hold line breaks. If not (False), lines are records;
+    else they are cut as `records` does. Either way files are split among tasks.
     """
-    lines = spark.read.text(path)
-    head = [r.value for r in lines.limit(20).collect()]
-    sep = sniff_delimiter("\n".join(head).lstrip("\ufeff"))
-    if breaks is None:  # a line within a quoted cell has an odd number of quotes
-        breaks = not lines.where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
-    raw = spark.read.option("header", True).option("sep", sep).option("multiLine", breaks).option("quote", '"').option("escape", '"').csv(path)
-    named = next(csv.reader(head[:1], delimiter=sep), []) if not breaks else raw.columns
-    raw = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
-    blank = {i for i, c in enumerate(named) if not c.lstrip("\ufeff").strip()} | ({i for i, c in enumerate(raw.columns) if c == f"_c{i}"} if breaks else set())
-    raw = raw.select(*[F.col(f"`{c}`") for i, c in enumerate(raw.columns) if c and i not in blank])
-    df = raw.select(*[tx.sanitize(F.col(f"`{c}`")).alias(c) for c in raw.columns], F.monotonically_increasing_id().alias("row_index"))
-    df = number_rows(df)
+    head = "\n".join(r.value for r in spark.read.text(path).limit(200).collect()).lstrip("\ufeff")
+    sep = sniff_delimiter("\n".join(head.split("\n")[:20]))
+    named = next((r for r in csv.reader(io.StringIO(head), delimiter=sep) if r), [])
+    if breaks is False:
+        raw = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(path)
+        raw = number_rows(raw.toDF(*[f"c{i}" for i in range(len(raw.columns))]).withColumn("row_index", F.monotonically_increasing_id()))
+    else:
+        raw = _parsed_records(records(with_checkpoints(spark), path, sep), len(named), sep)
+    columns = [(f"c{i}", c.strip()) for i, c in enumerate(named) if c.strip()]
+    df = raw.select(*[tx.sanitize(F.col(k)).alias(c) for k, c in columns], "row_index")
     return df if max_rows is None else df.where(F.col("row_index") <= max_rows)
 
 
+def _parsed_records(found: DataFrame, width: int, sep: str) -> DataFrame:
+    """Cells c0, c1, ... of the records but the first of each file, with row_index from 1."""
+    first = found.groupBy("file").agg(F.min("record").alias("first"))
+    order = W.Window.orderBy("first")
+    first = first.withColumn("heads", F.row_number().over(order))  # a row per file
+    cells = F.from_csv("text", ", ".join(f"c{i} string" for i in range(width)), {"sep": sep, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"})
+    rows = found.join(F.broadcast(first), "file").where("record > first")
+    return rows.select((F.col("record") - F.col("heads")).alias("row_index"), F.regexp_replace("text", "^\ufeff", "").alias("text")).select("row_index", cells.alias("cells")).select("row_index", "cells.*")
+
+
 def number_rows(df: DataFrame) -> DataFrame:
     """row_index from 1, dense, in the order of an increasing row_index.
 
@@ -76,9 +89,11 @@ def column_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(column, non_empty, distinct_count, samples): a row per source column."""
     long = rows.select("row_index", F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(f"`{c}`") for c in columns]))).alias("column", "value")).where("value IS NOT NULL AND value <> ''")
     values = long.groupBy("column", "value").agg(F.count("*").alias("k"), F.min("row_index").alias("first"))
-    ranked = values.withColumn("rank", F.row_number().over(W.Window.partitionBy("column").orderBy("first", "value")))
-    sample = F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, F.struct("rank", "value")))), lambda x: x.value)
-    return ranked.groupBy("column").agg(F.sum("k").alias("non_empty"), F.count("*").alias("distinct_count"), F.array_join(sample, "|").alias("samples"))
+    counts = values.groupBy("column").agg(F.sum("k").alias("non_empty"), F.count("*").alias("distinct_count"))
+    # Each task gives its first values of a column before they meet; no task sees all of a column.
+    first = values.withColumn("rank", F.row_number().over(W.Window.partitionBy("column").orderBy("first", "value"))).where(F.col("rank") <= SAMPLES)
+    sample = first.groupBy("column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x.value), "|").alias("samples"))
+    return counts.join(sample, "column").select("column", "non_empty", "distinct_count", "samples")
 
 
 def infer_types(rows: DataFrame, columns: list[str], sample: int = 200) -> DataFrame:
@@ -215,5 +230,6 @@ def new_events(incoming: DataFrame, stored: DataFrame, default_system: str = "ap
     """
     key = ["source_system", "source_event_id"]
     known = with_identity(incoming, default_system)
-    once = known.withColumn("k", F.row_number().over(W.Window.partitionBy(*key).orderBy("row_index"))).where("k = 1 OR source_event_id IS NULL").drop("k")
-    return once.join(stored.select(*key).distinct(), key, "left_anti")
+    named = known.where("source_event_id IS NOT NULL")
+    once = named.withColumn("k", F.row_number().over(W.Window.partitionBy(*key).orderBy("row_index"))).where("k = 1").drop("k")
+    return once.join(stored.select(*key), key, "left_anti").unionByName(known.where("source_event_id IS NULL"))
