@@ -206,7 +206,7 @@ def test_open_cases_end_as_batch_cases(rocks, tmp_path):
     late = [rows[3], rows[8]]  # come after later events of their cases
     first = [r for r in rows if r not in late]
     end = [("end", "other", "z", 24 * 30)]
-    parts = [first[:15], [*first[10:], *first[:4]], [*late, *late], [("e", "other", "z", 24 * 20)], end, [("end2", "other", "z", 24 * 30 + 1)]]
+    parts = [first[:15], [*first[10:], *first[:4]], [*late, *late], [("e0", "other", "z", 84)], [("e", "other", "z", 24 * 20)], end, [("end2", "other", "z", 24 * 30 + 1)]]
     live.to_memory(live.open_cases(fed(spark, tmp_path, parts), timedelta(hours=8), timedelta(days=3), "2 days"), "open_cases", "update").awaitTermination()
     got = spark.table("open_cases").collect()
     batch = {r.case_id: r for r in EventLog(conform(made(spark, rows))).cases().collect()}
