@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pytest
 
-from tracemill.llm import fingerprints, ngram_join, pii, substring_dedup
+from tracemill.llm import embedding_dedup, fingerprints, ngram_join, pii, substring_dedup
 from tracemill.llm.common import Scratch, Words, tune
 
 
@@ -93,3 +93,21 @@ def test_search_in_families(seed):
         both = np.array([len(np.intersect1d(sets[q], s)) for s in sets])
         want = [y for y in range(80) if y != q and among[y] and 100 * both[y] >= 80 * (sizes[q] + sizes[y] - both[y])]
         assert sorted(lists.search(q, among).tolist()) == want
+
+
+def test_vectors_of_any_scale(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 0.99e200], 1), (3, [1.0, 1.0], 1), (4, [1e-200, 1e-200], 1), (5, [5e-324, 5e-324], 1), (6, [-1e308, 1e308], 1), (7, [1.0, 1.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.deduplicate(df, Scratch(tune(spark), "t")).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 5: (4, 1), 6: (0, 6), 7: (0, 7)}
+
+
+def test_pairs_at_the_threshold_count_on_both_sides():
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((400, 33))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    threshold = float(x[3] @ x[11])  # a cosine of the table itself
+    near = embedding_dedup.reach(x, x, threshold)
+    assert (near == near.T).all()
+    for lo in range(0, 400, 37):
+        assert (embedding_dedup.reach(x[lo : lo + 37], x, threshold) == near[lo : lo + 37]).all()

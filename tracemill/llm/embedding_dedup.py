@@ -32,6 +32,8 @@ STEP, RECALL = 2.0, 0.97
 #: Vectors in a block of a bucket or component.
 BLOCK = 1024
 SEED = 13
+#: A cosine is this near to the threshold where its product of blocks may be wrong about it.
+CLOSE = 1e-12
 
 
 def collision(distance: float, step: float = STEP) -> float:
@@ -52,14 +54,28 @@ def plan_tables(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
-    """Vectors of one length as unit rows in double precision."""
+    """Vectors of one length as unit rows in double precision, whatever their scale."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat.reshape(len(column), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def reach(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which cosines of unit rows are at or above the threshold.
+
+    The last bits of a product of blocks depend on the blocks; what is that near is
+    decided by the exact sum of the products of components, for both sides alike.
+    """
+    s = a @ b.T
+    near = s >= threshold
+    for i, j in zip(*np.nonzero(np.abs(s - threshold) < CLOSE)):
+        near[i, j] = math.fsum(a[i] * b[j]) >= threshold
+    return near
+
+
 def usable() -> Column:
     """Whether a row's vector can link (never null)."""
     v = F.col("embedding")
@@ -101,7 +117,7 @@ def _linked(x: np.ndarray, threshold: float) -> np.ndarray:
         frontier, pool = pool[:1], pool[1:]
         while len(frontier) and len(pool):
             take, frontier = frontier[:512], frontier[512:]
-            near = x[pool] @ x[take].T >= threshold
+            near = reach(x[pool], x[take], threshold)
             hit = near.any(1)
             new = pool[hit]
             edges.append(np.stack([new, take[near[hit].argmax(1)]], 1))
@@ -142,7 +158,7 @@ def link_counts(rows: DataFrame, threshold: float) -> DataFrame:
                 home = bool(part.column("home")[0].as_py())
                 out = np.zeros(len(x), np.int64)
                 for lo in range(0, len(x), 512):
-                    near = x[lo : lo + 512] @ x.T >= threshold
+                    near = reach(x[lo : lo + 512], x, threshold)
                     if home:
                         near[np.arange(len(near)), np.arange(lo, lo + len(near))] = False
                     else:
@@ -161,9 +177,9 @@ def deduplicate(emb: DataFrame, scratch: Scratch, threshold: float = THRESHOLD)
     reps = scratch.keep(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     k, tables = plan_tables(reps.count(), threshold)
     placed = hash_tables(reps, k, tables)
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").withColumn("n", F.col("k"))
     vectors = reps.select("rep", "v")
-    met = placed.join(shared, "bucket").join(vectors, "rep")
+    met = join_spread(placed, shared, ["bucket"], "k", F.col("rep")).where("n IS NOT NULL").join(vectors, "rep")
     edges = bucket_edges(in_blocks(met, "bucket", F.col("n"), BLOCK), threshold)
     # A representative is the first of its copies, so components need no others.
     comp = scratch.keep(components(edges, scratch).withColumnRenamed("node", "rep"))
