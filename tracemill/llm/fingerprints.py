@@ -258,3 +258,8 @@ def compare_edits(docs: DataFrame) -> DataFrame:
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edits(tune(spark).read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near duplicates that op3's sets make, by partitions of length and pruned comparisons."""
+    return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(tune(spark), "fingerprints"))

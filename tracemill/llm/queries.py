@@ -18,6 +18,7 @@ QUERIES = {
     "op11_topk": topk.op11_topk,
     "op12_alignment": alignment.op12_alignment,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
+    "fingerprint_classes": fingerprints.fingerprint_classes,
 }
 
 ORACLE_SQL = {
