@@ -83,7 +83,7 @@ def measures_by(df: DataFrame, keys: list[str], column: str, wanted: dict[str, f
     their values are put in order. So no task receives the values of a group, and
     one pass over the rows serves quantiles and sums alike.
     """
-    counted = df.groupBy(*keys, F.col(column).cast("long").alias("q_v")).agg(F.count(column).alias("q_c"), *[F.sum(x).alias(name) for name, x in sums.items()]).withColumn("q_range", value_range("q_v"))
+    counted = df.groupBy(*keys, F.col(column).cast("long").alias("q_v")).agg(F.count(column).alias("q_c"), *[F.sum(x).alias(name) for name, x in sums.items()]).withColumn("q_range", value_range("q_v")).repartition(*keys, "q_range")  # serves the ranges and the join
     ranges = counted.groupBy(*keys, "q_range").agg(F.sum("q_c").alias("q_k"), *[F.sum(name).alias(name) for name in sums])
     group = W.partitionBy(*keys)
     below = F.sum("q_k").over(group.orderBy("q_range").rowsBetween(W.unboundedPreceding, 0)) - F.col("q_k")
@@ -96,7 +96,7 @@ def measures_by(df: DataFrame, keys: list[str], column: str, wanted: dict[str, f
     for c in [*keys, "q_range"]:
         same = same & F.col(f"p.`{c}`").eqNullSafe(F.col(f"c.`{c}`"))
     # One exchange by group serves the window and the sums; a group's rows are those of a few ranges.
-    met = picked.alias("p").join(counted.alias("c"), same).select(*[F.col(f"p.`{c}`") for c in [*keys, "q_below", "q_n", *sums, "q_rank"]], "c.q_v", "c.q_c").repartition(*keys)
+    met = picked.alias("p").join(counted.alias("c"), same).select(*[F.col(f"p.`{c}`") for c in [*keys, "q_below", "q_n", *sums, "q_rank"]], "c.q_v", "c.q_c", *[F.col(f"c.`{c}`").alias(f"q_own_{c}") for c in sums]).repartition(*keys)
     through = F.col("q_below") + F.sum("q_c").over(W.partitionBy(*keys, "q_rank").orderBy("q_v").rowsBetween(W.unboundedPreceding, 0))
     found = met.withColumn("q_through", through).where("q_rank IS NULL OR (q_rank < q_through AND q_rank >= q_through - q_c)")
 
@@ -105,7 +105,10 @@ def measures_by(df: DataFrame, keys: list[str], column: str, wanted: dict[str, f
         part = F.max(p - F.floor(p))
         return F.coalesce(F.when(low == high, low.cast("double")).otherwise((1 - part) * low + part * high), F.lit(0.0))
 
-    return found.groupBy(*keys).agg(*[one(p).alias(name) for name, p in at.items()], *[F.max(name).alias(name) for name in sums])
+    # Where a group's sum is null, so are those of its values. With them both readers of the counts read the same
+    # columns, so Spark counts once; without, it would drop them for one reader and go through the rows twice.
+    total = lambda name: F.coalesce(F.max(name), F.max(f"q_own_{name}"))
+    return found.groupBy(*keys).agg(*[one(p).alias(name) for name, p in at.items()], *[total(name).alias(name) for name in sums])
 
 
 #: What fences are made of, beside the number n of values.

@@ -10,10 +10,10 @@ from pyspark.sql import window as W
 DIGITS = (3_600_000_000, 1_000_000, 1)
 
 
-def _at_place(counts: DataFrame, place: str, by: list[str]) -> DataFrame:
-    """The row (by) of counts(by, k) in which the place is counted, in the order of by, with the place within it."""
-    order = W.Window.orderBy(*by).rowsBetween(W.Window.unboundedPreceding, 0)
-    return counts.withColumn("through", F.sum("k").over(order)).where(f"{place} <= through AND {place} > through - k").select(*by, (F.col(place) - F.col("through") + F.col("k")).alias(place))
+def _at_place(counts: DataFrame) -> DataFrame:
+    """One row (d, place) of counts (d, place, k): where the place is counted in the order of d, and the place within it."""
+    through = F.sum("k").over(W.Window.orderBy("d").rowsBetween(W.Window.unboundedPreceding, 0))
+    return counts.withColumn("through", through).where("place <= through AND place > through - k").select("d", (F.col("place") - F.col("through") + F.col("k")).alias("place"))
 
 
 def last_early(cases: DataFrame, least: int = 0) -> DataFrame:
@@ -27,14 +27,13 @@ def last_early(cases: DataFrame, least: int = 0) -> DataFrame:
     order by case_id.
     """
     rows = cases.select("started", "case_id")
-    at = rows.agg(F.greatest(F.floor(F.count("*") / 2), F.lit(least)).alias("place"))
-    unit, inside = None, rows
+    total = rows.agg(F.greatest(F.floor(F.count("*") / 2), F.lit(least)).alias("place"))
+    inside = rows.crossJoin(F.broadcast(total))  # every row carries the place: one table at a time is read
+    unit, at = None, None
     for digit in DIGITS:
-        if unit is not None:
-            inside = rows.crossJoin(F.broadcast(at)).where(F.expr(f"started div {unit}") == F.col("d")).drop("d", "place")
-        counts = inside.groupBy(F.expr(f"started div {digit}").alias("d")).agg(F.count("*").alias("k"))
-        place = at.select("place")
-        at = _at_place(counts.crossJoin(F.broadcast(place)), "place", ["d"])
+        if at is not None:
+            inside = rows.crossJoin(F.broadcast(at)).where(F.expr(f"started div {unit}") == F.col("d")).drop("d")
+        at = _at_place(inside.groupBy(F.expr(f"started div {digit}").alias("d"), "place").agg(F.count("*").alias("k")))
         unit = digit
     same = rows.crossJoin(F.broadcast(at)).where(F.col("started") == F.col("d"))
     same = same.withColumn("k", F.row_number().over(W.Window.orderBy("case_id"))).where("k = place")

@@ -59,15 +59,24 @@ def activity_metrics(steps: DataFrame) -> DataFrame:
     )
 
 
+def _with_first(transitions: DataFrame) -> DataFrame:
+    """Transitions with `first`: whether it is the first of its kind in the case."""
+    return transitions.withColumn("first", F.row_number().over(W.Window.partitionBy("case_id", "source", "target").orderBy("pos")) == 1)
+
+
+def transition_counts(transitions: DataFrame) -> DataFrame:
+    """Edges with their counts alone, without waits."""
+    return _with_first(transitions).groupBy("source", "target").agg(F.count("*").alias("occurrence_count"), F.count_if("first").alias("case_count"))
+
+
 def transition_base(transitions: DataFrame) -> DataFrame:
     """Per edge, with waits in microseconds.
 
     Which transition is the first of its kind in a case is told within cases, which are
     dealt by case already; so what is shuffled by edge are counts.
     """
-    first = F.row_number().over(W.Window.partitionBy("case_id", "source", "target").orderBy("pos")) == 1
     sums = {"occurrence_count": F.lit(1), "case_count": flag("first"), "total_wait": F.col("wait"), "handoffs": flag("is_handoff")}
-    base = measures_by(transitions.withColumn("first", first), ["source", "target"], "wait", {"median_wait": 0.5, "p90_wait": 0.9}, sums)
+    base = measures_by(_with_first(transitions), ["source", "target"], "wait", {"median_wait": 0.5, "p90_wait": 0.9}, sums)
     return base.withColumn("handoff_rate", F.col("handoffs") / F.col("occurrence_count")).drop("handoffs")
 
 

@@ -158,7 +158,9 @@ def dfg_nodes_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cyclic_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cyclic_activities(_filtered(with_checkpoints(spark), sf_dir)[2])
+    log = _day(with_checkpoints(spark), sf_dir)
+    total = log.cases().agg(F.count("*").alias("n"))
+    return graph.cyclic_activities(graph.filter_edges(metrics.transition_counts(log.transitions()), total, 0.06))
 
 
 @query
