@@ -329,3 +329,17 @@ def test_walk_of_small_graphs():
 def test_empty_graph(spark, small, monkeypatch):
     monkeypatch.setattr(graph, "SMALL_GRAPH", small)
     assert graph.levels(with_checkpoints(spark).createDataFrame([], "source string, target string")).count() == 0
+
+
+@pytest.mark.parametrize("piece", [1, 3, 4096])
+def test_long_cases_in_pieces(spark, piece, monkeypatch):
+    monkeypatch.setattr("tracemill.operators.eventlog.PIECE", piece)
+    rng = random.Random(piece)
+    rows = [event("long", rng.choice("abc"), i, n=i, manual=i % 3 == 0, monetary_value=float(i % 7)) for i in range(40)] + [event("short", "a", 0)]
+    got = {r.case_id: r for r in log(spark, rows).cases(2.0).collect()}
+    path = [r["activity"] for r in rows[:40]]
+    one = got["long"]
+    assert one.sequence == path and one.path == "␟".join(path) and one.variant_key == hashlib.sha1(one.path.encode()).hexdigest()[:16]
+    assert (one.event_count, one.rework_count, one.handoff_count, one.manual_event_count, one.monetary_value) == (40, 40 - len(set(path)), 0, 14, 6.0)
+    assert one.service == 40 * 300_000_000 and one.throughput == (39 * 60 + 5) * 60_000_000 and one.sla_breached
+    assert got["short"].sequence == ["a"] and got["short"].event_count == 1

@@ -14,7 +14,10 @@ from pyspark.sql import window as W
 from ..functions.session import Scratch
 from ..functions.stats import micros, seconds
 
+#: Between the activities of a path; names of activities are taken to lack it.
 SEPARATOR = "␟"
+#: Steps of a case that are put in order together.
+PIECE = 4096
 #: What metrics and detectors read of a step.
 STEP_COLUMNS = (
     "case_id", "activity", "occurred_at", "completed_at", "occ", "fin", "service", "owner", "pos", "prev_owner", "prev_fin", "next_activity", "next_owner", "next_occ", "is_repeat",
@@ -27,6 +30,11 @@ def owner(team: Column, actor: Column) -> Column:
     return F.coalesce(F.nullif(team, F.lit("")), F.nullif(actor, F.lit("")), F.lit("unassigned"))
 
 
+def _in_order(by: str, text: str) -> Column:
+    """An aggregate: the texts of a group as one, in the order of `by`."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, text))), lambda x: x[text]), SEPARATOR)
+
+
 class EventLog:
     """Canonical events: case_id, activity, occurred_at, and what else is known."""
 
@@ -53,7 +61,7 @@ class EventLog:
         """
         self.scratch = Scratch(self.events.sparkSession, "log")
         self._kept = self.scratch.keep(self.steps().select(*columns or ("*",)))
-        self._kept_cases = self.scratch.keep(self.cases())
+        self._kept_cases = self.scratch.keep(self.cases().drop("sequence", "sla_breached"))
         return self
 
     def between(self, start: str | None = None, end: str | None = None) -> EventLog:
@@ -114,12 +122,18 @@ class EventLog:
         )
 
     def cases(self, sla_hours: float | None = None) -> DataFrame:
-        """One row per case, in microseconds."""
+        """One row per case, in microseconds.
+
+        `path` is the text of its activities in order, and `sequence` their list. A case is summed
+        up in pieces of PIECE steps first and then over these, both where it was dealt to,
+        so what a task holds of a very long case is its path, never a list of its steps.
+        """
+        df = self._case_rows() if self._kept_cases is None else self._kept_cases
         late = F.col("throughput") > sla_hours * 3_600_000_000 if sla_hours else F.lit(False)
-        if self._kept_cases is not None:
-            return self._kept_cases.withColumn("sla_breached", late)
-        names = F.transform(F.array_sort(F.collect_list(F.struct("pos", "activity"))), lambda x: x.activity)
-        df = self.steps().groupBy("case_id").agg(
+        return df.withColumn("sequence", F.split("path", SEPARATOR)).withColumn("sla_breached", late)
+
+    def _case_rows(self) -> DataFrame:
+        pieces = self.steps().groupBy("case_id", F.floor((F.col("pos") - 1) / PIECE).alias("piece")).agg(
             F.min("occ").alias("started"),
             F.max("fin").alias("ended"),
             F.min(F.col("occurred_at").cast("timestamp_ntz")).alias("started_at"),
@@ -130,12 +144,14 @@ class EventLog:
             F.count_if("is_repeat").alias("rework_count"),
             F.count_if("is_manual").alias("manual_event_count"),
             F.max("monetary_value").alias("monetary_value"),
-            names.alias("sequence"),
+            _in_order("pos", "activity").alias("path"),
         )
+        how = {"started": F.min, "started_at": F.min, "ended": F.max, "ended_at": F.max, "monetary_value": F.max}
+        whole = [how.get(c, F.sum)(c).alias(c) for c in pieces.columns[2:-1]]
+        df = pieces.groupBy("case_id").agg(*whole, _in_order("piece", "path").alias("path"))
         df = df.withColumn("throughput", F.greatest(F.col("ended") - F.col("started"), F.lit(0)))
         df = df.withColumn("waiting", F.greatest(F.col("throughput") - F.col("service"), F.lit(0)))
-        df = df.withColumn("variant_key", F.substring(F.sha1(F.array_join("sequence", SEPARATOR)), 1, 16))
-        return df.withColumn("sla_breached", late)
+        return df.withColumn("variant_key", F.substring(F.sha1("path"), 1, 16))
 
     def timeline(self, case_id: str) -> DataFrame:
         """Steps of one case; the filter reaches the scan."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.stats import fence, measures_by, quantiles, quartiles, ratio, seconds
+from .eventlog import SEPARATOR
 
 
 def shown(name: str) -> Column:
@@ -14,6 +15,11 @@ def shown(name: str) -> Column:
     return seconds(F.coalesce(F.col(name), F.lit(0.0))).alias(name)
 
 
+def shown_path(joint: str) -> Column:
+    """The path of a case or variant with another joint."""
+    return F.replace("path", F.lit(SEPARATOR), F.lit(joint))
+
+
 def percentiles(cases: DataFrame) -> DataFrame:
     names = {f"p{q}_seconds": ("throughput", q / 100) for q in (5, 25, 50, 75, 90, 95, 99)}
     return quantiles(cases, names).select(*map(shown, names))
@@ -116,8 +122,9 @@ def variant_base(cases: DataFrame) -> DataFrame:
     before the shuffle too, and the aggregate needs no order.
     """
     order = W.Window.partitionBy("variant_key").orderBy("started", "case_id")
-    first = cases.select("variant_key", "started", "case_id", "sequence").withColumn("rank", F.row_number().over(order)).where("rank <= 5")
-    first = first.groupBy("variant_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "case_id"))), lambda x: x.case_id).alias("example_case_ids"), F.first("sequence").alias("sequence"))
+    first = cases.select("variant_key", "started", "case_id", "path").withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    first = first.groupBy("variant_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "case_id"))), lambda x: x.case_id).alias("example_case_ids"), F.first("path").alias("path"))
+    first = first.withColumn("sequence", F.split("path", SEPARATOR))
     total = cases.agg(F.count("*").alias("all_cases"))
     sums = {"case_count": F.lit(1), "total": F.col("throughput"), "late": flag("sla_breached"), "handoffs": F.col("handoff_count"), "reworked": flag(F.col("rework_count") > 0), "money": F.col("monetary_value")}
     base = measures_by(cases, ["variant_key"], "throughput", {"median_throughput": 0.5}, sums)
@@ -128,7 +135,7 @@ def variant_base(cases: DataFrame) -> DataFrame:
 
 def variants(cases: DataFrame) -> DataFrame:
     return variant_base(cases).select(
-        "variant_key", F.array_join("sequence", " > ").alias("sequence"), "case_count", F.round("share", 6).alias("share"), seconds("median_throughput").alias("median_throughput_seconds"),
+        "variant_key", shown_path(" > ").alias("sequence"), "case_count", F.round("share", 6).alias("share"), seconds("median_throughput").alias("median_throughput_seconds"),
         seconds("mean_throughput").alias("mean_throughput_seconds"), F.round("total_monetary_value", 2).alias("total_monetary_value"), F.array_join("example_case_ids", ",").alias("example_case_ids"),
     )
 

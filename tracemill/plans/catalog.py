@@ -64,7 +64,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def case_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cases(spark, sf_dir).select("case_id", "variant_key", F.array_join("sequence", ">").alias("sequence"))
+    return _cases(spark, sf_dir).select("case_id", "variant_key", metrics.shown_path(">").alias("sequence"))
 
 
 @query
