@@ -5,8 +5,8 @@ piece of what pattern matches leave of a run. A
 convolutional network in numpy sees the candidate with the characters around it,
 a long one in overlapping windows of which the highest score counts. It is
 trained on labelled tables of short and long findings, its scores are calibrated
-on held-out findings, and its threshold is the highest that keeps the stated
-recall there. Candidates that it accepts and that no match of the patterns touches
+on held-out findings, and its thresholds are the highest that keep the stated
+recall there, of all secrets and of those of each shape (hex, capitals, others). Candidates that it accepts and that no match of the patterns touches
 are added as spans of kind `cnn`; matches of the patterns always stay. Of the
 runs that a match touches, n_seen counts those that the network saw and
 n_agreed those that it accepts, which measures it on findings that are known.
@@ -45,12 +45,20 @@ STRIDE, BEHIND = 28, 8
 RECALL = 0.98
 
 _RUN = table_of("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+_TIED = re.compile(r"[A-Za-z0-9+/_=-]+\Z")
 _HEX_RUN = table_of("0123456789abcdef")
 #: Character classes that the network sees; 0 is outside the text.
 _CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "_-", "+/", "=", ":", "\"'", " \t", "\n\r", ".,;()[]{}<>!?")
 _CLASS = np.full(256, len(_CLASSES) + 1, np.uint8)
 for _i, _chars in enumerate(_CLASSES):
     _CLASS[list(_chars.encode())] = _i + 1
+#: What a candidate is made of, as bits: digits, a to f, capitals, anything else.
+_BITS = np.full(256, 8, np.uint8)
+for _i, _chars in enumerate(("0123456789", "abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")):
+    _BITS[list(_chars.encode())] = 1 << _i
+#: The shape by these bits of the last characters: hex with a letter, capitals with or without digits, others.
+SHAPES = ("hex", "capitals", "other")
+_SHAPE = np.array([{2: 0, 3: 0, 4: 1, 5: 1}.get(i, 2) for i in range(16)])
 CHANNELS = len(_CLASSES) + 3  # the classes, outside, other, and a mark on the candidate
 
 
@@ -90,7 +98,7 @@ def labelled_findings(n: int, seed: int = 7) -> list[tuple[bytes, int, int, int]
                 rng.choice((pick(lower + upper + digit, rng.randint(16, 44)), rng.choice(("AKIA", "ASIA")) + pick(upper + digit, rng.randint(12, 20)))),
                 rng.choice(("ghp_", "sk-", "xoxb-", "pk_live_")) + pick(lower + upper + digit, rng.randint(20, 36)),
                 pick(lower + upper + digit + "+/", rng.randint(24, 44)) + rng.choice(("", "=", "==")),
-                pick(digit + "abcdef", rng.randint(16, 64)),
+                pick(digit + "abcdef", rng.choice((rng.randint(16, 24), rng.randint(16, 64)))),
                 pick(lower + upper, rng.randint(20, 40)),
             )[kind]
             cue = rng.choice(("key: ", "token=", "secret: '", "Authorization: Bearer ", "credential ", " ", 'apikey="', "password=", "passwd: "))
@@ -112,7 +120,9 @@ def labelled_findings(n: int, seed: int = 7) -> list[tuple[bytes, int, int, int]
             cue = rng.choice((" ", "see ", "file: ", "id ", "/", "of "))
         before = " ".join(word() for _ in range(rng.randint(0, 6))) + cue
         text = before + body + rng.choice(("", "'", '"', ".", "\n", " ")) + " ".join(word() for _ in range(rng.randint(0, 6)))
-        rows.append((text.encode(), len(before), len(before) + len(body), secret))
+        # As in documents, a candidate is a whole run: with a cue that no other character parts from it.
+        start = len(_TIED.sub("", before))
+        rows.append((text.encode(), start, len(before) + len(body), secret))
     return rows
 
 
@@ -163,6 +173,13 @@ def places(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, start[of] + STRIDE * (np.arange(len(of)) - first[of])
 
 
+def shapes(data: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The place in SHAPES of each candidate, by its last LEAST characters: a cue may be tied to its beginning."""
+    if not len(end):
+        return np.zeros(0, np.intp)
+    return _SHAPE[np.bitwise_or.reduceat(np.append(_BITS[data], np.uint8(0)), np.stack([end - LEAST, end], 1).ravel())[::2]]
+
+
 def encode_windows(data: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
     """(window, position, channel) of candidates in texts [low, high), at their start or where `place` says."""
     at = (start if place is None else place)[:, None] - BEFORE + np.arange(WIDTH)
@@ -186,6 +203,7 @@ class CharCnn:
             "c": np.zeros(1, np.float32),
         }
         self.slope, self.shift, self.threshold = 1.0, 0.0, 0.5
+        self.thresholds = np.full(len(SHAPES), 0.5)
 
     @staticmethod
     def patches(x: np.ndarray) -> np.ndarray:
@@ -225,10 +243,10 @@ class CharCnn:
     def raw(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self.forward(self.patches(part))[0] for part in np.array_split(x, max(1, len(x) // 128))]) if len(x) else np.zeros(0)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, of: np.ndarray, recall: float = RECALL) -> None:
-        """Platt scaling, then the highest threshold that keeps the recall.
+    def calibrate(self, x: np.ndarray, y: np.ndarray, of: np.ndarray, shape: np.ndarray, recall: float = RECALL) -> None:
+        """Platt scaling, then the highest thresholds that keep the recall of all secrets and of each shape's.
 
-        of: the finding of each window, in order.
+        of: the finding of each window, in order. shape: that of each finding.
         """
         z = best(self.raw(x), of)
         a, b = 1.0, 0.0
@@ -236,8 +254,18 @@ class CharCnn:
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
             a, b = a - 0.05 * ((p - y) * z).mean(), b - 0.05 * (p - y).mean()
         self.slope, self.shift = a, b
-        good = np.sort(best(self.probability(x), of)[y == 1])
-        self.threshold = float(good[int((1 - recall) * len(good))]) if len(good) else 0.5
+        p = best(self.probability(x), of)
+
+        def keeps(use: np.ndarray, otherwise: float) -> float:
+            good = np.sort(p[(y == 1) & use])
+            return float(good[int((1 - recall) * len(good))]) if len(good) else otherwise
+
+        self.threshold = keeps(np.ones(len(y), bool), 0.5)
+        self.thresholds = np.array([min(self.threshold, keeps(shape == i, self.threshold)) for i in range(len(SHAPES))])
+
+    def accepts(self, p: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        """Which candidates of these probabilities and shapes are secrets."""
+        return p >= self.thresholds[shape]
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(x) + self.shift, -30, 30)))
@@ -265,23 +293,28 @@ def long_windows(findings: list[tuple[bytes, int, int, int, int]]) -> tuple[np.n
     return encode_windows(data, edge[of], edge[of + 1], start[of], end[of], place), of, np.maximum(shown, 0)
 
 
+def shapes_of(findings: list[tuple]) -> np.ndarray:
+    edge = np.cumsum([0, *(len(f[0]) for f in findings)])[:-1]
+    return shapes(np.frombuffer(b"".join(f[0] for f in findings), np.uint8), edge + [f[2] for f in findings])
+
+
 @lru_cache(maxsize=1)
 def train(rows: int = 3200, long_rows: int = 800) -> CharCnn:
-    """Fit on four fifths of the labelled findings, calibrate on the rest.
+    """Fit on labelled findings, calibrate on as many others.
 
     A window of a long finding is one of a secret if it shows LEAST characters of
     the key at least; windows that show fewer teach nothing.
     """
     x, y = windows_of(labelled_findings(rows))
-    findings = long_findings(long_rows)
-    wide, of, shown = long_windows(findings)
-    cut, part = rows * 4 // 5, long_rows * 4 // 5
-    use = (of < part) & ((shown == 0) | (shown >= LEAST))
+    wide, _, shown = long_windows(long_findings(long_rows))
+    use = (shown == 0) | (shown >= LEAST)
     model = CharCnn()
-    model.fit(np.concatenate([x[:cut], wide[use]]), np.concatenate([y[:cut], (shown[use] > 0).astype(np.float32)]))
-    held = of >= part
-    secret = np.array([f[4] > f[3] for f in findings[part:]], np.float32)
-    model.calibrate(np.concatenate([x[cut:], wide[held]]), np.concatenate([y[cut:], secret]), np.concatenate([np.arange(rows - cut), of[held] - part + rows - cut]))
+    model.fit(np.concatenate([x, wide[use]]), np.concatenate([y, (shown[use] > 0).astype(np.float32)]))
+    short, long = labelled_findings(rows, seed=29), long_findings(long_rows, seed=31)
+    x, y = windows_of(short)
+    wide, of, _ = long_windows(long)
+    secret = np.array([f[4] > f[3] for f in long], np.float32)
+    model.calibrate(np.concatenate([x, wide]), np.concatenate([y, secret]), np.concatenate([np.arange(rows), of + rows]), shapes_of(short + long))
     return model
 
 
@@ -312,7 +345,7 @@ def scan_block(data: np.ndarray, offsets: np.ndarray, texts: list[str], model: C
             if len(part):
                 c = of[part]
                 p[part] = model.probability(encode_windows(data, offsets[doc[c]], offsets[doc[c] + 1], start[c], end[c], place[part]))
-        accepted = best(p, of) >= model.threshold
+        accepted = model.accepts(best(p, of), shapes(data, end))
         np.add.at(seen, doc[known == 1], 1)
         np.add.at(agreed, doc[(known == 1) & accepted], 1)
         for i in np.flatnonzero(accepted & (known == 0)).tolist():
