@@ -256,6 +256,24 @@ def test_measures_by_group_against_percentiles(spark):
     assert stats.measures_by(df.limit(0), ["g"], "v", wanted, {}).count() == 0
 
 
+def test_sums_of_waits_beyond_a_long(spark):
+    """40 waits of 9,000 years, and as much service: more microseconds than a long holds."""
+    first, last = datetime(1000, 1, 1), datetime(9999, 1, 1)
+    hours = [(at - FIRST_DAY) / timedelta(hours=1) for at in (first, last)]
+    rows = [event(f"c{i}", a, h, minutes=0) for i in range(40) for a, h in zip("xy", hours)]
+    rows += [event(f"d{i}", "z", hours[0], n, minutes=int((last - first) / timedelta(minutes=1))) for i in range(20) for n in range(2)]
+    lg = log(spark, rows)
+    apart = (last - first).total_seconds()
+    assert 40 * apart * 1e6 > 2**63
+    (edge,) = metrics.transition_metrics(lg.transitions()).where("source = 'x'").collect()
+    assert (edge.total_wait_seconds, edge.median_wait_seconds, edge.occurrence_count) == (40 * apart, apart, 40)
+    assert {r.activity: r.total_service_seconds for r in metrics.activity_metrics(lg.steps()).collect()} == {"x": 0.0, "y": 0.0, "z": 40 * apart}
+    assert [r.mean_throughput_seconds for r in metrics.variants(lg.cases()).collect()] == [apart, apart]
+    assert metrics.loop_metrics(lg.steps()).first().extra_seconds_total == 20 * apart
+    assert metrics.summary(lg.steps(), lg.cases()).first().waiting_share == round(40 / 60, 6)
+    assert {r.activity: r.occurrences for r in score_opportunities(lg.steps(), lg.cases()).collect()} == {"x": 40, "y": 40, "z": 40}
+
+
 def test_no_task_takes_the_values_of_a_group(spark):
     """Equal values are counted once, by one pass over the log; no aggregate holds values."""
     df = metrics.transition_metrics(log(spark, [event("A", "x", 0), event("A", "y", 1)]).transitions())

@@ -33,6 +33,15 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
+#: What microseconds are added up in: those of many rows are beyond a long.
+WIDE = "decimal(20,0)"
+
+
+def total(c: str) -> Column:
+    """The exact sum of a column of whole numbers, then a double."""
+    return F.sum(F.col(c).cast(WIDE)).cast("double")
+
+
 #: Ranges of values for each doubling: some 10^5 ranges from a microsecond to centuries.
 RANGES = 4096
 
@@ -74,9 +83,11 @@ def value_range(v: str = "v") -> Column:
     return F.signum(v) * F.floor(F.log2(1 + F.abs(F.col(v).cast("double"))) * RANGES)
 
 
-def measures_by(df: DataFrame, keys: list[str], column: str, wanted: dict[str, float], sums: dict[str, Column]) -> DataFrame:
+def measures_by(df: DataFrame, keys: list[str], column: str, wanted: dict[str, float], sums: dict[str, Column], total: str | None = None) -> DataFrame:
     """A row per group: exact quantiles of a column of whole numbers, and sums; 0 for quantiles of no values.
 
+    total: a name for the sum of the column itself, which may be beyond a long: a double, null where there are no values.
+
     All groups at once go the way of `quantiles`: equal values of a group are counted,
     and summed with, before a shuffle by (group, value); counts of ranges, of which a
     group has a bounded number, tell those that hold a quantile's neighbours, and only
@@ -84,19 +95,21 @@ def measures_by(df: DataFrame, keys: list[str], column: str, wanted: dict[str, f
     one pass over the rows serves quantiles and sums alike.
     """
     counted = df.groupBy(*keys, F.col(column).cast("long").alias("q_v")).agg(F.count(column).alias("q_c"), *[F.sum(x).alias(name) for name, x in sums.items()]).withColumn("q_range", value_range("q_v")).repartition(*keys, "q_range")  # serves the ranges and the join
-    ranges = counted.groupBy(*keys, "q_range").agg(F.sum("q_c").alias("q_k"), *[F.sum(name).alias(name) for name in sums])
+    own = [F.sum(F.col("q_v").cast(WIDE) * F.col("q_c")).alias(total)] if total else []
+    ranges = counted.groupBy(*keys, "q_range").agg(F.sum("q_c").alias("q_k"), *[F.sum(name).alias(name) for name in sums], *own)
+    carried = [*sums, total] if total else [*sums]
     group = W.partitionBy(*keys)
     below = F.sum("q_k").over(group.orderBy("q_range").rowsBetween(W.unboundedPreceding, 0)) - F.col("q_k")
-    ranges = ranges.select(*keys, "q_range", "q_k", below.alias("q_below"), F.sum("q_k").over(group).alias("q_n"), *[F.sum(name).over(group).alias(name) for name in sums], F.row_number().over(group.orderBy("q_range")).alias("q_place"))
+    ranges = ranges.select(*keys, "q_range", "q_k", below.alias("q_below"), F.sum("q_k").over(group).alias("q_n"), *[F.sum(name).over(group).alias(name) for name in carried], F.row_number().over(group.orderBy("q_range")).alias("q_place"))
     at = {name: F.lit(float(q)) * (F.col("q_n") - 1) for name, q in wanted.items()}
     ends = F.array_distinct(F.array(*[end(p) for p in at.values() for end in (F.floor, F.ceil)]))
     held = F.filter(ends, lambda r: (r >= F.col("q_below")) & (r < F.col("q_below") + F.col("q_k")))
-    picked = ranges.select(*keys, "q_range", "q_below", "q_n", *sums, "q_place", F.explode_outer(held).alias("q_rank")).where("q_rank IS NOT NULL OR (q_n = 0 AND q_place = 1)")
+    picked = ranges.select(*keys, "q_range", "q_below", "q_n", *carried, "q_place", F.explode_outer(held).alias("q_rank")).where("q_rank IS NOT NULL OR (q_n = 0 AND q_place = 1)")
     same = F.lit(True)
     for c in [*keys, "q_range"]:
         same = same & F.col(f"p.`{c}`").eqNullSafe(F.col(f"c.`{c}`"))
     # One exchange by group serves the window and the sums; a group's rows are those of a few ranges.
-    met = picked.alias("p").join(counted.alias("c"), same).select(*[F.col(f"p.`{c}`") for c in [*keys, "q_below", "q_n", *sums, "q_rank"]], "c.q_v", "c.q_c", *[F.col(f"c.`{c}`").alias(f"q_own_{c}") for c in sums]).repartition(*keys)
+    met = picked.alias("p").join(counted.alias("c"), same).select(*[F.col(f"p.`{c}`") for c in [*keys, "q_below", "q_n", *carried, "q_rank"]], "c.q_v", "c.q_c", *[F.col(f"c.`{c}`").alias(f"q_own_{c}") for c in sums]).repartition(*keys)
     through = F.col("q_below") + F.sum("q_c").over(W.partitionBy(*keys, "q_rank").orderBy("q_v").rowsBetween(W.unboundedPreceding, 0))
     found = met.withColumn("q_through", through).where("q_rank IS NULL OR (q_rank < q_through AND q_rank >= q_through - q_c)")
 
@@ -107,8 +120,8 @@ def measures_by(df: DataFrame, keys: list[str], column: str, wanted: dict[str, f
 
     # Where a group's sum is null, so are those of its values. With them both readers of the counts read the same
     # columns, so Spark counts once; without, it would drop them for one reader and go through the rows twice.
-    total = lambda name: F.coalesce(F.max(name), F.max(f"q_own_{name}"))
-    return found.groupBy(*keys).agg(*[one(p).alias(name) for name, p in at.items()], *[total(name).alias(name) for name in sums])
+    whole = [F.coalesce(F.max(name), F.max(f"q_own_{name}")).alias(name) for name in sums] + ([F.max(total).cast("double").alias(total)] if total else [])
+    return found.groupBy(*keys).agg(*[one(p).alias(name) for name, p in at.items()], *whole)
 
 
 #: What fences are made of, beside the number n of values.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions.stats import fence, measures_by, quantiles, quartiles, ratio, seconds
+from ..functions.stats import fence, measures_by, quantiles, quartiles, ratio, seconds, total
 from .eventlog import SEPARATOR
 
 
@@ -52,8 +52,8 @@ def activity_base(steps: DataFrame) -> DataFrame:
 
     A case has an activity for the first time once, so cases need no distinct count.
     """
-    sums = {"occurrence_count": F.lit(1), "case_count": flag(~F.col("is_repeat")), "total_service": F.col("service"), "manual": flag("is_manual"), "known": flag(F.col("is_manual").isNotNull()), "repeat_events": flag("is_repeat")}
-    base = measures_by(steps, ["activity"], "service", {"median_service": 0.5}, sums).withColumn("manual_share", ratio(F.col("manual"), F.col("known"))).drop("manual", "known")
+    sums = {"occurrence_count": F.lit(1), "case_count": flag(~F.col("is_repeat")), "manual": flag("is_manual"), "known": flag(F.col("is_manual").isNotNull()), "repeat_events": flag("is_repeat")}
+    base = measures_by(steps, ["activity"], "service", {"median_service": 0.5}, sums, "total_service").withColumn("manual_share", ratio(F.col("manual"), F.col("known"))).drop("manual", "known")
     owners = steps.groupBy("activity", "owner").agg(F.lit(1).alias("one")).groupBy("activity").agg(F.count("owner").alias("distinct_actors"))
     return base.join(owners, "activity")
 
@@ -81,8 +81,8 @@ def transition_base(transitions: DataFrame) -> DataFrame:
     Which transition is the first of its kind in a case is told within cases, which are
     dealt by case already; so what is shuffled by edge are counts.
     """
-    sums = {"occurrence_count": F.lit(1), "case_count": flag("first"), "total_wait": F.col("wait"), "handoffs": flag("is_handoff")}
-    base = measures_by(_with_first(transitions), ["source", "target"], "wait", {"median_wait": 0.5, "p90_wait": 0.9}, sums)
+    sums = {"occurrence_count": F.lit(1), "case_count": flag("first"), "handoffs": flag("is_handoff")}
+    base = measures_by(_with_first(transitions), ["source", "target"], "wait", {"median_wait": 0.5, "p90_wait": 0.9}, sums, "total_wait")
     return base.withColumn("handoff_rate", F.col("handoffs") / F.col("occurrence_count")).drop("handoffs")
 
 
@@ -103,10 +103,10 @@ def slowest_transitions(transitions: DataFrame, n: int = 6) -> DataFrame:
 
 
 def loop_base(steps: DataFrame) -> DataFrame:
-    total = steps.agg(F.count_if(F.col("pos") == 1).alias("all_cases"))
+    every = steps.agg(F.count_if(F.col("pos") == 1).alias("all_cases"))
     return (
-        steps.where("is_repeat").groupBy("activity").agg(F.count("*").alias("repeat_events"), F.countDistinct("case_id").alias("affected_cases"), F.sum("service").alias("extra"))
-        .crossJoin(F.broadcast(total))  # one row
+        steps.where("is_repeat").groupBy("activity").agg(F.count("*").alias("repeat_events"), F.countDistinct("case_id").alias("affected_cases"), total("service").alias("extra"))
+        .crossJoin(F.broadcast(every))  # one row
         .withColumn("rework_ratio", F.col("affected_cases") / F.col("all_cases"))
     )
 
@@ -125,12 +125,12 @@ def variant_base(cases: DataFrame) -> DataFrame:
     first = cases.select("variant_key", "started", "case_id", "path").withColumn("rank", F.row_number().over(order)).where("rank <= 5")
     first = first.groupBy("variant_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "case_id"))), lambda x: x.case_id).alias("example_case_ids"), F.first("path").alias("path"))
     first = first.withColumn("sequence", F.split("path", SEPARATOR))
-    total = cases.agg(F.count("*").alias("all_cases"))
-    sums = {"case_count": F.lit(1), "total": F.col("throughput"), "late": flag("sla_breached"), "handoffs": F.col("handoff_count"), "reworked": flag(F.col("rework_count") > 0), "money": F.col("monetary_value")}
-    base = measures_by(cases, ["variant_key"], "throughput", {"median_throughput": 0.5}, sums)
+    every = cases.agg(F.count("*").alias("all_cases"))
+    sums = {"case_count": F.lit(1), "late": flag("sla_breached"), "handoffs": F.col("handoff_count"), "reworked": flag(F.col("rework_count") > 0), "money": F.col("monetary_value")}
+    base = measures_by(cases, ["variant_key"], "throughput", {"median_throughput": 0.5}, sums, "total")
     means = {"mean_throughput": "total", "sla_breach_rate": "late", "mean_handoffs": "handoffs", "rework_case_ratio": "reworked"}
     base = base.select("variant_key", "case_count", "median_throughput", F.coalesce("money", F.lit(0.0)).alias("total_monetary_value"), *[(F.col(c) / F.col("case_count")).alias(name) for name, c in means.items()])
-    return base.join(first, "variant_key").crossJoin(F.broadcast(total)).withColumn("share", F.col("case_count") / F.col("all_cases"))
+    return base.join(first, "variant_key").crossJoin(F.broadcast(every)).withColumn("share", F.col("case_count") / F.col("all_cases"))
 
 
 def variants(cases: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def case_aggregates() -> list[Column]:
         F.count("*").alias("case_count"),
         F.sum("event_count").alias("event_count"),
         F.countDistinct("variant_key").alias("variant_count"),
-        F.round(ratio(F.sum("waiting"), F.sum("throughput")), 6).alias("waiting_share"),
+        F.round(ratio(total("waiting"), total("throughput")), 6).alias("waiting_share"),
         F.round(F.coalesce(F.avg("handoff_count"), F.lit(0.0)), 6).alias("mean_handoffs"),
         F.round(F.coalesce(F.avg((F.col("rework_count") > 0).cast("int")), F.lit(0.0)), 6).alias("rework_case_ratio"),
         F.round(F.coalesce(F.avg(F.col("sla_breached").cast("int")), F.lit(0.0)), 6).alias("sla_breach_rate"),

@@ -24,10 +24,10 @@ def score_opportunities(steps: DataFrame, cases: DataFrame, min_occurrences: int
     of_case = cases.crossJoin(F.broadcast(last_early(cases, 1))).select("case_id", is_late().alias("is_late"), F.col("monetary_value").alias("case_money"))
     rows = steps.join(of_case, "case_id")
     sums = {
-        "n": F.lit(1), "case_count": flag(~F.col("is_repeat")), "total": F.col("service"), "manual": flag("is_manual"), "known": flag(F.col("is_manual").isNotNull()),
+        "n": F.lit(1), "case_count": flag(~F.col("is_repeat")), "manual": flag("is_manual"), "known": flag(F.col("is_manual").isNotNull()),
         "late": flag("is_late"), "paid_money": F.col("case_money"), "paid": flag(F.col("case_money").isNotNull()),
     }
-    per = measures_by(rows, ["activity"], "service", {"median": 0.5}, sums)
+    per = measures_by(rows, ["activity"], "service", {"median": 0.5}, sums, "total")
     per = per.withColumns({"manual_share": ratio(F.col("manual"), F.col("known")), "money": ratio(F.col("paid_money"), F.col("paid"))})
     kinds = steps.groupBy("activity", "owner", "source_system").agg(F.lit(1).alias("one")).groupBy("activity").agg(F.countDistinct("owner").alias("owners"), F.array_sort(F.collect_set("source_system")).alias("systems"))
     spread = steps.groupBy("activity").agg(F.avg("service").alias("mean"), F.stddev_pop("service").alias("spread"))
