@@ -32,3 +32,18 @@ def test_rows(spark, name):
     mine = sorted((tuple(r) for r in got.select(columns).collect()), key=key)
     theirs = sorted(con.sql("SELECT " + ", ".join(f'"{c}"' for c in columns) + " FROM b").fetchall(), key=key)
     assert mine == theirs
+
+
+def test_findings_of_equal_impact_are_shown_by_hours(spark, tmp_path):
+    """Six loops of all cases whose impact is 100; those with more repeats have fewer hours."""
+    at = str(tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.sql(f"""COPY (
+      SELECT row_number() OVER () AS event_id, TIMESTAMP '2024-01-02' + (i * 60 + k) * INTERVAL 1 MINUTE AS ts, u AS user_id, 'a' || i AS event_type, 1e6 * (i + 1) AS value, '' AS props
+      FROM range(40) us(u), range(6) kinds(i), range(8) repeats(k) WHERE k < 8 - i
+    ) TO '{at}' (FORMAT parquet)""")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{at}'")
+    wanted = con.sql(oracle.ORACLE_SQL["findings_shown"])
+    rows = [dict(zip(wanted.columns, r)) for r in wanted.fetchall()]
+    assert {r["impact_score"] for r in rows} == {100.0} and len(rows) == 5
+    assert [r.asDict() for r in catalog.QUERIES["findings_shown"](spark, str(tmp_path)).collect()] == rows

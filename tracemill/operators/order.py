@@ -16,10 +16,11 @@ ORDERS = {
     "edges": ("-occurrence_count", "source", "target"),
     "outliers": ("-throughput_seconds", "case_id"),
     "findings": ("-impact_score", "detector", "-inner", "subject"),
+    "findings_shown": ("-impact_score", "detector", "-impact_hours", "subject"),
     "opportunities": ("-score", "activity"),
 }
 #: How many rows are shown, and at most.
-LIMITS = {"variants": (50, 500), "findings": (100, 500), "opportunities": (50, 200)}
+LIMITS = {"variants": (50, 500), "findings": (100, 500), "findings_shown": (100, 500), "opportunities": (50, 200)}
 
 
 def ordered(df: DataFrame, result: str) -> DataFrame:
