@@ -47,3 +47,21 @@ def test_findings_of_equal_impact_are_shown_by_hours(spark, tmp_path):
     rows = [dict(zip(wanted.columns, r)) for r in wanted.fetchall()]
     assert {r["impact_score"] for r in rows} == {100.0} and len(rows) == 5
     assert [r.asDict() for r in catalog.QUERIES["findings_shown"](spark, str(tmp_path)).collect()] == rows
+
+
+def test_upsert_measures_once_for_both_thresholds(spark, monkeypatch):
+    from tracemill.operators import findings
+
+    made = []
+    for name in ("transition_base", "loop_base", "variant_base", "last_early", "activity_base", "quartiles"):
+        f = getattr(findings, name)
+        monkeypatch.setattr(findings, name, lambda *a, f=f, name=name: made.append(name) or f(*a))
+    log = catalog._fixed(spark, SF)
+    first = catalog._findings(log).measured()
+    other = findings.Thresholds(min_cases=2, wait_baseline_multiple=0.5, rework_case_share=0.0, handoff_threshold=0.0, rare_variant_share=1.0, manual_repetition_share=0.0)
+    shared = {str(r) for r in first.under(other).all().collect()}
+    assert sorted(made) == sorted(set(made)) and len(made) == 6
+    assert shared == {str(r) for r in catalog._findings(log, other).all().collect()} and shared != {str(r) for r in first.all().collect()}
+    made.clear()
+    catalog.QUERIES["findings_upsert"](spark, SF)
+    assert sorted(made) == sorted(set(made)) and len(made) == 6

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -57,10 +60,17 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write and reread."""
-        at = self.path()
-        df.write.option("compression", "zstd").parquet(at)
-        out = self.spark.read.schema(df.schema).parquet(at)
-        self.kept[id(out)] = (out, at)
+        return self.keep_all([df])[0]
+
+    def keep_all(self, tables: list[DataFrame]) -> list[DataFrame]:
+        """Write and reread tables that do not read each other, all at the same time."""
+        places = [(df, self.path()) for df in tables]
+        # Each thread gets properties of its own: those of jobs are kept there.
+        writes = [inheritable_thread_target(partial(df.write.option("compression", "zstd").parquet, at)) for df, at in places]
+        with ThreadPoolExecutor(len(writes)) as pool:
+            list(pool.map(lambda write: write(), writes))
+        out = [self.spark.read.schema(df.schema).parquet(at) for df, at in places]
+        self.kept |= {id(df): (df, at) for df, (_, at) in zip(out, places)}
         return out
 
     def drop(self, *tables: DataFrame) -> None:
